@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, circulant_minhash, mixing, sharding, topk
+from . import ann_forest, arc_convert, circulant_minhash, cotrain, line_dedup, mixing, packing, sharding, topk, unigram_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,13 @@ def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_forest.nearest(_table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return cotrain.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).select(
+        "doc_id", "content_score", "meta_score", "score", "good"
+    )
+
+
 def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes from each document."""
     return (
@@ -48,21 +56,45 @@ def op6_term_at_a_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ARC files to WARC files and back."""
+    return arc_convert.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op8_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_unigram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return unigram_count.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later repeats of runs of lines."""
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_lpt_sharding, op2_prefix_forest, op4_weighted_mix, op5_circulant_minhash, op6_term_at_a_time)
+    for f in (
+        op1_lpt_sharding, op2_prefix_forest, op3_cotraining, op4_weighted_mix, op5_circulant_minhash,
+        op6_term_at_a_time, op7_arc_to_warc, op8_bin_slack_packing, op9_unigram_counts, op10_line_winnowing,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op10_line_winnowing": line_dedup.SQL,
     "op6_term_at_a_time": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-              AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
         ), s AS (
             SELECT a.vec_id AS query_id, b.vec_id,
-                   CAST(list_sum(list_transform(list_zip(a.q, b.q), p -> p[1] * p[2])) AS BIGINT) AS score
+                   CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
             FROM v a JOIN v b ON a.vec_id <> b.vec_id
             WHERE a.vec_id % 50 = 0
         ), r AS (
