@@ -135,49 +135,71 @@ def connected(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def _shared_sizes(sets: DataFrame) -> DataFrame:
+    """(doc_id, n, core): a set's size, and how many of its shingles any other set has."""
+    own = (
+        sets.select("doc_id", F.explode("s").alias("x")).groupBy("x")
+        .agg(F.count("*").alias("holders"), F.min("doc_id").alias("doc_id")).where("holders = 1")
+        .groupBy("doc_id").agg(F.count("*").alias("own"))
+    )
+    n = F.size("s").cast("long")
+    return sets.select("doc_id", n.alias("n")).join(own, "doc_id", "left").select(
+        "doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core")
+    )
+
+
 def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
     """Confirmed links (u, v) between distinct sets, enough to connect all that are linked; None: none.
 
-    Rows of a bucket are not paired with each other. In each round the bucket's
-    smallest members are its pivots, 1, then 5, 21, ... of them. A pivot is
+    A shingle that no other set has lies in no intersection. So a pair's intersection is
+    at most the smaller `core`, and a pair that this bound rules out is dropped before
+    its sets are read: copies that were all edited apart from each other do not meet.
+
+    Rows of a bucket are not paired with each other. In each round the members with the
+    fewest shingles of their own are its pivots, 1, then 5, 21, ... of them. A pivot is
     compared with the later members that are not yet in its component, and confirmed
     links merge components. A bucket is done when one component holds it or all members
-    have been pivots. So every candidate pair is compared, or lies in one component.
+    have been pivots. So every candidate pair is ruled out exactly, compared, or lies
+    in one component.
     """
-    spark = docs.sparkSession
-    buckets = reps.select(F.posexplode("bands").alias("band", "key"), "doc_id", "n_shingles")
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
-    buckets = cut(buckets.join(shared, ["band", "key"]))
-    ids = buckets.select("doc_id").distinct()
+
+    def crowded(rows: DataFrame) -> DataFrame:
+        """Rows whose bucket has more than one, with the bucket's `members`."""
+        many = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+        return rows.join(many, "key")
+
+    met = cut(crowded(reps.select(F.explode("bands").alias("key"), "doc_id")).select("key", "doc_id"))
+    ids = met.select("doc_id").distinct()
     if ids.isEmpty():
         return None
     sets = cut(_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), words))
+    able = cut(_shared_sizes(sets).where(100 * F.col("core") >= percent * F.col("n")))
+    buckets = cut(crowded(met.join(able, "doc_id")))
     found: DataFrame | None = None
     label = None
     tested, pivots = 0, 1
+    order = F.struct((F.col("n") - F.col("core")).alias("own"), "doc_id")
     while True:
         rows = buckets.withColumn("component", F.col("doc_id")) if label is None else (
             buckets.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .withColumn("component", F.coalesce("component", "doc_id"))
         )
         if tested:
-            open_ = (
-                rows.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                .where("lo <> hi").select("band", "key")
-            )
-            rows = cut(rows.where(F.col("members") > tested + 1).join(open_, ["band", "key"]))
+            open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+            rows = cut(rows.where(F.col("members") > tested + 1).join(open_, "key"))
             if rows.isEmpty():
                 return found
             buckets = rows.drop("component")
-        w = Window.partitionBy("band", "key").orderBy("doc_id")
+        w = Window.partitionBy("key").orderBy(order)
         pivot = (
-            rows.withColumn("nth", F.row_number().over(w)).where((F.col("nth") <= pivots))
+            rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= pivots)
             .where(F.col("nth") > tested)
-            .select("band", "key", F.col("doc_id").alias("u"), F.col("n_shingles").alias("un"), F.col("component").alias("uc"))
+            .select("key", order.alias("uo"), F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("core").alias("uc"), F.col("component").alias("ug"))
         )
-        apart = (F.col("doc_id") > F.col("u")) & (F.col("component") != F.col("uc"))
-        near = 100 * F.least("n_shingles", "un") >= percent * F.greatest("n_shingles", "un")
-        pairs = rows.join(pivot, ["band", "key"]).where(apart & near).select("u", F.col("doc_id").alias("v")).distinct()
+        most = F.least("core", "uc")
+        apart = (order > F.col("uo")) & (F.col("component") != F.col("ug"))
+        near = 100 * most >= percent * (F.col("n") + F.col("un") - most)
+        pairs = rows.join(pivot, "key").where(apart & near).select("u", F.col("doc_id").alias("v")).distinct()
         common = F.size(F.array_intersect("us", "vs"))
         union = F.size("us") + F.size("vs") - common
         links = (

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,29 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir
+
 #: A word is a maximal run of bytes outside space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 # ---------------------------------------------------------------- scratch space
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None:
-            named = tempfile.mkdtemp(prefix="wayfold-checkpoint-")
-            atexit.register(shutil.rmtree, named, True)
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, which survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch(spark: SparkSession, what: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
