@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import decisions, episodes
@@ -116,7 +117,7 @@ def episodic_boost(spark, sf_dir):
 
 
 @query(f"""
-    WITH {PATTERNS}, similar AS (
+    WITH {PATTERNS}, alike AS (
         SELECT p.id AS page_id, p.original_decision AS model, e.original_decision, e.correction_decision, e.correction_type,
                row_number() OVER (PARTITION BY p.id ORDER BY e.timestamp DESC, e.id DESC) AS rank
         FROM episodes p JOIN episodes e ON p.domain = e.domain AND p.page_type = e.page_type AND e.timestamp < p.timestamp
@@ -124,7 +125,7 @@ def episodic_boost(spark, sf_dir):
         SELECT page_id, count(*) AS influences,
                count(*) FILTER (WHERE correction_decision <> original_decision AND correction_decision <> model) AS against,
                count(*) FILTER (WHERE correction_decision <> model) AS contrary, arg_max(correction_type, rank) FILTER (WHERE correction_type IS NOT NULL) AS ctype
-        FROM similar WHERE rank <= 5 AND correction_decision IS NOT NULL GROUP BY page_id
+        FROM alike WHERE rank <= 5 AND correction_decision IS NOT NULL GROUP BY page_id
     ), j AS (
         SELECT e.*, coalesce(c.influences, 0) AS influences, c.against, c.contrary, c.ctype,
                coalesce(c.against, 0) * -0.05 + CASE p.pattern WHEN 'accept' THEN 0.2 WHEN 'reject' THEN -0.2 ELSE 0 END AS adjustment, p.pattern
@@ -148,12 +149,11 @@ def memory_adjust(spark, sf_dir):
 
 def _similar(e, limit):
     """For each episode the `limit` earlier ones next to it of its domain and type: lagged, not joined."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("domain", "page_type").orderBy("timestamp", "id")
     past = [F.lag(F.struct("original_decision", "correction_decision", "correction_type"), i).over(w) for i in range(1, limit + 1)]
+    lagged = e.select(F.col("id").alias("page_id"), *[x.alias(f"s{i}") for i, x in enumerate(past)])
     return (
-        e.select(F.col("id").alias("page_id"), F.posexplode(F.array(*past)).alias("pos", "s")).where("s IS NOT NULL")
+        lagged.select("page_id", F.posexplode(F.array(*[f"s{i}" for i in range(limit)])).alias("pos", "s")).where("s IS NOT NULL")
         .select("page_id", (F.col("pos") + 1).alias("rank"), "s.*")
     )
 
