@@ -30,6 +30,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame under names that no operator uses, and the map from old names to new ones."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
 # ------------------------------------------------------------ gapless numbering
 def block_rows(n: int, least: int = 1024) -> int:
     """Rows of a block so that both the blocks and their contents grow with the root of n."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_chunks, text_buffers, word_hashes
+from .common import cut, doc_chunks, neutral, text_buffers, word_hashes
 
 PUNCTUATION = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
 CONTENT = 11 + len(PUNCTUATION)
@@ -232,9 +232,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
     """
     new = ["content_score", "meta_score", "score", "good"]
     plain = docs.drop(*new)
+    rows, name = neutral(plain)
     model = fit(plain, labels, **options)
     return (
-        plain.withColumn("_s", score_column(model))
-        .select(*plain.columns, "_s.content_score", "_s.meta_score", "_s.score")
+        rows.withColumn("_s", score_column(model, name["text"], name["lang"], name["source"], name["n_chars"]))
+        .select(*[F.col(v).alias(k) for k, v in name.items()], "_s.content_score", "_s.meta_score", "_s.score")
         .withColumn("good", F.col("score") >= threshold)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import neutral, word_count
 
 #: Least words of a repeated run that is deleted; the weight of a winnowing window.
 RUN_WORDS = 50
@@ -110,8 +110,9 @@ def dedup_lines(
     the id are documents of their own. Existing columns n_lines and n_removed are
     replaced. An empty table gives an empty result.
     """
-    plain = docs.drop("n_lines", "n_removed")
-    keyed, flags = repeated_lines(plain, least, id_col, text_col)
+    rows, name = neutral(docs.drop("n_lines", "n_removed"))
+    target, text_col = text_col, name[text_col]
+    keyed, flags = repeated_lines(rows, least, name[id_col], text_col)
     lines = F.split(F.col(text_col), "\n")
     left = F.filter(lines, lambda _, i: ~F.get(F.col("flags"), i)["gone"])
     own = F.coalesce(F.col("_text"), F.lit(0))
@@ -120,10 +121,12 @@ def dedup_lines(
         .withColumns({
             "n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)),
             "n_removed": F.coalesce(F.size(F.filter("flags", lambda x: x["gone"])), F.lit(0)),
-            text_col: F.when(F.col("flags").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")),
+            "_left": F.when(F.col("flags").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")),
         })
-        .withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-        .select(*plain.columns, "n_lines", "n_removed")
+        .select(
+            *[F.col("_left" if k == target else v).alias(k) for k, v in name.items()],
+            "n_lines", F.greatest("n_removed", F.lit(0)).alias("n_removed"),
+        )
     )
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_rows, cut, word_count
+from .common import block_rows, cut, neutral, word_count
 
 CYCLE = (1, 2, 3)
 
@@ -80,7 +80,9 @@ def mix(
     table gives an empty result.
     """
     plain = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    sized = plain.withColumns({
+    rows, name = neutral(plain)
+    id_col, text_col, source_col = name[id_col], name[text_col], name[source_col]
+    sized = rows.withColumns({
         "mix_size": word_count(F.col(text_col)),
         "_u": F.xxhash64(F.col(id_col), F.crc32(F.col(text_col).cast("binary")), F.lit(seed)),
     })
@@ -141,7 +143,7 @@ def mix(
         "mix_shard": F.when(F.col("mix_taken") > 0, F.size(F.filter("_ends", lambda e: e <= unit))),
         "mix_order": F.xxhash64("_u", "mix_pass", F.lit(seed + 1)),
     }).select(
-        *plain.columns, "mix_size", "mix_source_size", "mix_target", F.col("mix_pass").cast("int"),
+        *[F.col(v).alias(k) for k, v in name.items()], "mix_size", "mix_source_size", "mix_target", F.col("mix_pass").cast("int"),
         "mix_taken", "mix_shard", "mix_order",
     )
 
@@ -153,11 +155,13 @@ def mixed_documents(
 
     A document drawn in part keeps its first words; `chars_col` follows, if there is one.
     """
-    rows = mix(docs, text_col=text_col, **options).where(F.col("mix_taken") > 0)
-    part = F.col("mix_taken") < F.col("mix_size")
-    words = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    plain, name = neutral(docs)
+    named = {k: name[options.pop(k, v)] for k, v in (("id_col", "doc_id"), ("source_col", "source"))}
+    rows = mix(plain, text_col=name[text_col], **named, **options).where(F.col("mix_taken") > 0)
+    text, part = F.col(name[text_col]), F.col("mix_taken") < F.col("mix_size")
+    words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col("mix_taken").cast("int"))), "")
-    rows = rows.withColumn(text_col, F.when(part, head).otherwise(F.col(text_col)))
-    if chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.when(part, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
-    return rows.select(*docs.columns)
+    out = {c: F.col(v) for c, v in name.items()} | {text_col: F.when(part, head).otherwise(text)}
+    if chars_col in out:
+        out[chars_col] = F.when(part, F.length(head).cast("long")).otherwise(F.col(name[chars_col]))
+    return rows.select(*[v.alias(k) for k, v in out.items()])
