@@ -10,8 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ORPHAN_TTL_SECONDS = 60
-_TAB = Window.partitionBy("tab_id").orderBy("ts", "event_id")
-_SO_FAR = _TAB.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _tab():
+    return Window.partitionBy("tab_id").orderBy("ts", "event_id")
+
+
+def _so_far():
+    return _tab().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def first_navigations(visits: DataFrame) -> DataFrame:
@@ -22,9 +28,9 @@ def first_navigations(visits: DataFrame) -> DataFrame:
 
 def history(visits: DataFrame) -> DataFrame:
     """Each tab's current URL, and the last different one with its time."""
-    before, at = F.lag("url").over(_TAB), F.lag("page_loaded_at").over(_TAB)
+    before, at = F.lag("url").over(_tab()), F.lag("page_loaded_at").over(_tab())
     moved = visits.withColumns({"_p": before, "_t": at}).withColumn("_moved", F.col("_p").isNotNull() & (F.col("_p") != F.col("url")))
-    keep = lambda c: F.last(F.when(F.col("_moved"), F.col(c)), ignorenulls=True).over(_SO_FAR)
+    keep = lambda c: F.last(F.when(F.col("_moved"), F.col(c)), ignorenulls=True).over(_so_far())
     return moved.withColumns({"current_url": F.col("url"), "previous_url": keep("_p"), "previous_url_timestamp": keep("_t")}).drop("_p", "_t", "_moved")
 
 
@@ -34,7 +40,7 @@ def resolve_referrers(visits: DataFrame) -> DataFrame:
     The opener's state at the time is a running last value over both tabs' rows, keyed
     by the opener, so no join multiplies rows.
     """
-    own = visits.withColumn("_own", F.lag("url").over(_TAB))
+    own = visits.withColumn("_own", F.lag("url").over(_tab()))
     shown = own.select(F.col("tab_id").alias("_key"), "ts", "event_id", F.col("url").alias("_shown"), F.lit(False).alias("_ask"))
     asks = own.where(F.col("opener_tab_id").isNotNull()).select(
         F.col("opener_tab_id").alias("_key"), "ts", "event_id", F.lit(None).cast("string").alias("_shown"), F.lit(True).alias("_ask")
@@ -52,7 +58,7 @@ def resolve_referrers(visits: DataFrame) -> DataFrame:
 
 def inherit_groups(visits: DataFrame, opened: Column) -> DataFrame:
     """group_id: the last group that the tab opened or -1."""
-    return visits.withColumn("_g", opened).withColumn("group_id", F.coalesce(F.last("_g", ignorenulls=True).over(_SO_FAR), F.lit(-1))).drop("_g")
+    return visits.withColumn("_g", opened).withColumn("group_id", F.coalesce(F.last("_g", ignorenulls=True).over(_so_far()), F.lit(-1))).drop("_g")
 
 
 def chain_statistics(visits: DataFrame) -> DataFrame:
