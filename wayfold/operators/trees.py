@@ -22,7 +22,8 @@ def roots(edges: DataFrame) -> DataFrame:
         "id", "parent_id", F.when(F.col("_in") & (F.col("parent_id") != F.col("id")), F.col("parent_id")).otherwise(F.col("id")).alias("up")
     )
     state = cut(rooted.withColumn("far", (F.col("up") != F.col("id")).cast("long")))
-    for _ in range(64):
+    # the longest path has fewer steps than nodes, so what still moves after this runs in a cycle
+    for _ in range(state.count().bit_length() + 1):
         jump = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2")).where("far2 > 0")
         if jump.isEmpty():
             break

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +40,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once for each context.
+
+    Call it before making a UDF: a UDF carries the files known when it is made.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_wayfold_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="wayfold-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/wayfold.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, Path(home.name) / f.relative_to(home))
+    sc.addPyFile(f"{folder}/wayfold.zip")
+    sc._wayfold_shipped = True
+
+
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle and checkpoint files that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects garbage, which small iterative jobs
+    seldom make it do.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.codec import decode_payload
 from ..functions.url import page_id
+from ..session import ship
 
 VISIT = T.StructType([
     T.StructField("url", T.StringType()),
@@ -33,6 +34,7 @@ def parse_visits(messages: DataFrame, value: str = "value", decode: bool = True)
     from base64 and zstd, or kept where that fails. Rejected messages keep their text and a
     reason.
     """
+    ship(messages.sparkSession)
     p = messages.withColumn("v", _parse(F.col(value)))
     reason = (
         F.when(F.col("v._corrupt").isNotNull(), "not a visit object")

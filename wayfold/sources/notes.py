@@ -12,7 +12,7 @@ def read_notes(spark: SparkSession, root: str, limit: int | None = None) -> Data
     """All .md files below `root`, newest first: name, path, sections, description, body, updated_at."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
-        .select("path", F.col("modificationTime").alias("updated_at"), F.decode("content", F.lit("utf-8")).alias("body"))
+        .select("path", F.col("modificationTime").alias("updated_at"), F.decode("content", "utf-8").alias("body"))
     )
     if limit is not None:
         files = files.orderBy(F.desc("updated_at"), "path").limit(limit)

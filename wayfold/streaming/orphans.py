@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import ship
+
 TTL_MS = 60_000
 RETRY_MS = 5_000
 MAX_RETRIES = 5
@@ -84,6 +86,7 @@ def attach_orphans(visits: DataFrame, timers: bool = False) -> DataFrame:
     A visit is a parent under its own tab and a child under its opener's; tab 0 and
     negative tabs are tabs like others.
     """
+    ship(visits.sparkSession)
     at = F.unix_millis("ts").alias("arrived_ms")
     parents = F.struct(F.col("tab_id").alias("key"), "id", F.lit(False).alias("is_child"), at)
     children = F.struct(F.col("opener_tab_id").alias("key"), "id", F.lit(True).alias("is_child"), at)
