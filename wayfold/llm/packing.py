@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left
 from itertools import islice
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, gapless_rank
+from .common import cut, gapless_rank, ship
 
 WINDOW = 1024
 #: Entries of a worker's word cache; later words are encoded anew each time.
@@ -20,6 +21,30 @@ CACHE = 400_000
 _STATE: dict = {}
 
 
+#: Words of these characters only go through the faster encoder of the same merges.
+PLAIN = re.compile("[\\x21-\\x7e\\u00a1-\\u024f]+")
+#: How the vocabulary's pre-tokenizer parts a text.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _fast_encoder(tokenizer):
+    """The same byte-level vocabulary in a faster library; None if it is not of that kind.
+
+    A token's string names each byte by a printable character: itself where it is
+    printable, else the next character from 256 on. A merge's rank is its id.
+    """
+    import tiktoken
+
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
+    added = {x.content for x in tokenizer.get_added_tokens_decoder().values()}
+    try:
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token not in added}
+        return tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    except (KeyError, ValueError):
+        return None
+
+
 def _tokenizer(path: str):
     if _STATE.get("path") != path:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,7 +54,7 @@ def _tokenizer(path: str):
         lengths = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
         for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
             lengths[i] = len(token)  # of a byte-level alphabet: a character for each byte
-        _STATE.update(path=path, tokenizer=tokenizer, lengths=lengths, words={})
+        _STATE.update(path=path, tokenizer=tokenizer, lengths=lengths, words={}, fast=_fast_encoder(tokenizer))
     return _STATE["tokenizer"], _STATE["words"]
 
 
@@ -39,10 +64,15 @@ def _ids(encoding) -> bytes:
 
 def _encode_words(tokenizer, words: list[str], together: int = 1024) -> dict[str, bytes]:
     """Ids of each " word": words are encoded many at a time and parted by byte lengths."""
+    fast = _STATE["fast"]
+    plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w] if fast else []
+    other = set(words).difference(plain)
+    slow = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
     out = {}
-    groups = [words[i : i + together] for i in range(0, len(words), together)]
-    for group, encoding in zip(groups, tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(encoding.ids, dtype="<u4")
+    jobs = [(encode, x[i : i + together]) for encode, x in ((fast and fast.encode_ordinary, plain), (slow, sorted(other))) for i in range(0, len(x), together)]
+    for encode, group in jobs:
+        listed = encode(" " + " ".join(group))
+        ids = np.array(listed, dtype="<u4")
         ends = np.cumsum([len(w.encode()) + 1 for w in group])
         cuts = [0, *(4 * np.searchsorted(np.cumsum(_STATE["lengths"][ids]), ends, side="right")).tolist()]
         raw = ids.tobytes()
@@ -167,6 +197,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id
     null ids, repeated ids and repeated rows are allowed. Other columns are ignored.
     An empty table gives an empty result. `path` is the vocabulary's file.
     """
+    ship(docs.sparkSession)
     pieces = cut(token_pieces(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path, window, with_ids))
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     keys, base, per, offset = [], [], [], []
