@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, remove, scratch
+from .common import cut, remove, scratch, ship
 
 # Fixed values of the ARC file format: the field names of a record line, by version.
 ARC_FIELDS = {
@@ -157,6 +157,7 @@ def _unzip(content: bytes) -> bytes:
 
 def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
     """Write (page_id, url, html) as ARC files; without a version, tasks alternate between 1 and 2."""
+    ship(pages.sparkSession)
     out = pa.schema([("record", pa.binary())])
 
     def run(batches):
@@ -181,6 +182,7 @@ def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, date, payload_digest, warc_id, head and payload of each ARC record."""
+    ship(spark)
     names = ["page_id", "url", "date", "payload_digest", "warc_id", "head", "payload"]
     kinds = [pa.int64(), pa.binary(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
     out = pa.schema(list(zip(names, kinds, strict=True)))
@@ -256,6 +258,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     A revisit keeps the original HTTP header, which declares the payload's length; a
     response's payload is measured and must have the declared digest.
     """
+    ship(spark)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "warc_id"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     out = pa.schema(list(zip(names, kinds, strict=True)))

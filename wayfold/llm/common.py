@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, shared_dir
+from ..session import cut, release, shared_dir, ship  # noqa: F401  passed on to the operators
 
 #: A word is a maximal run of bytes outside space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -212,6 +212,7 @@ def top_k_in_blocks(
     Memory in a task is bounded by the two block sizes. Only vectors of the same
     length are compared.
     """
+    ship(vectors.sparkSession)
     vectors = cut(vectors.withColumn("width", F.size("v")))
     queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
     row_blocks = max(1, -(-vectors.count() // rows_per_block))

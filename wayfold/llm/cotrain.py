@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, doc_chunks, neutral, text_buffers, word_hashes
+from .common import cut, doc_chunks, neutral, ship, text_buffers, word_hashes
 
 PUNCTUATION = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
 CONTENT = 11 + len(PUNCTUATION)
@@ -183,6 +183,7 @@ def fit(
 
     Without labels of both classes the model stays unfitted and scores 0.5.
     """
+    ship(docs.sparkSession)
     truth = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))

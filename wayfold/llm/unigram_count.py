@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 MARK = "▁"
 #: What an unknown character scores below the vocabulary's least score.
 UNKNOWN_PENALTY = 10.0
@@ -119,6 +121,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             columns = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(out)[1:], strict=True))], schema=out)
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, n_words long, n_tokens long, best_score double"
     )
