@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, doc_chunks, mix64, text_buffers, word_hashes
+from .common import cut, doc_chunks, mix64, release, ship, text_buffers, word_hashes
 
 CELLS = 1 << 20
 #: A link at the threshold may miss every band with this probability at most.
@@ -148,15 +148,15 @@ def _shared_sizes(sets: DataFrame) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """Confirmed links (u, v) between distinct sets, enough to connect all that are linked; None: none.
+def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
+    """(node, component) of the sets that confirmed links connect; None if there is no link.
 
     A shingle that no other set has lies in no intersection. So a pair's intersection is
     at most the smaller `core`, and a pair that this bound rules out is dropped before
     its sets are read: copies that were all edited apart from each other do not meet.
 
     Rows of a bucket are not paired with each other. In each round the members with the
-    fewest shingles of their own are its pivots, 1, then 5, 21, ... of them. A pivot is
+    fewest shingles of their own are its pivots, 1, then 17, 273, ... of them. A pivot is
     compared with the later members that are not yet in its component, and confirmed
     links merge components. A bucket is done when one component holds it or all members
     have been pivots. So every candidate pair is ruled out exactly, compared, or lies
@@ -175,8 +175,7 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFr
     sets = cut(_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), words))
     able = cut(_shared_sizes(sets).where(100 * F.col("core") >= percent * F.col("n")))
     buckets = cut(crowded(met.join(able, "doc_id")))
-    found: DataFrame | None = None
-    label = None
+    label: DataFrame | None = None
     tested, pivots = 0, 1
     order = F.struct((F.col("n") - F.col("core")).alias("own"), "doc_id")
     while True:
@@ -188,7 +187,7 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFr
             open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
             rows = cut(rows.where(F.col("members") > tested + 1).join(open_, "key"))
             if rows.isEmpty():
-                return found
+                return label
             buckets = rows.drop("component")
         w = Window.partitionBy("key").orderBy(order)
         pivot = (
@@ -208,9 +207,12 @@ def _links(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFr
             .where(100 * common >= percent * union).select("u", "v")
         )
         links = cut(links)
-        found = links if found is None else cut(found.unionByName(links))
-        label = connected(found)
-        tested, pivots = pivots, 4 * pivots + 1
+        if not links.isEmpty():
+            if label is not None:
+                links = links.unionByName(label.select(F.col("node").alias("u"), F.col("component").alias("v")))
+            label = connected(links)
+        release(docs.sparkSession)
+        tested, pivots = pivots, 16 * pivots + 1
 
 
 def near_duplicates(
@@ -227,6 +229,7 @@ def near_duplicates(
     null and kept true. Rows that repeat an id are documents of their own with that
     name. Other columns are ignored. An empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     bands, rows = bands_for(percent)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     marks = cut(_signatures(docs, words, bands, rows))
@@ -234,10 +237,10 @@ def near_duplicates(
     same = able.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     same = cut(same)
     reps = able.join(same.select(F.col("rep").alias("doc_id"), "a", "b", "n_shingles"), ["doc_id", "a", "b", "n_shingles"], "left_semi")
-    links = _links(docs, reps.dropDuplicates(["doc_id", "a", "b", "n_shingles"]), words, percent)
-    if links is not None:
+    label = _linked(docs, reps.dropDuplicates(["doc_id", "a", "b", "n_shingles"]), words, percent)
+    if label is not None:
         same = (
-            same.join(connected(links).withColumnRenamed("node", "rep"), "rep", "left")
+            same.join(label.withColumnRenamed("node", "rep"), "rep", "left")
             .withColumn("rep", F.coalesce("component", "rep")).drop("component")
         )
     same = same.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n_shingles").alias("_n"), F.col("rep"))
