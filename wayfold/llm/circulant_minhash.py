@@ -158,7 +158,8 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
     Rows of a bucket are not paired with each other. In each round the members with the
     fewest shingles of their own are its pivots, 1, then 17, 273, ... of them. A pivot is
     compared with the later members that are not yet in its component, and confirmed
-    links merge components. A bucket is done when one component holds it or all members
+    links merge components. After the first round two documents meet only in the least
+    bucket that they share. A bucket is done when one component holds it or all members
     have been pivots. So every candidate pair is ruled out exactly, compared, or lies
     in one component.
     """
@@ -185,7 +186,10 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
         )
         if tested:
             open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-            rows = cut(rows.where(F.col("members") > tested + 1).join(open_, "key"))
+            rows = rows.where(F.col("members") > tested + 1).join(open_, "key")
+            if tested == 1:  # few documents are left: from now on each knows all its buckets
+                rows = rows.join(buckets.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id")
+            rows = cut(rows)
             if rows.isEmpty():
                 return label
             buckets = rows.drop("component")
@@ -193,12 +197,16 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
         pivot = (
             rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= pivots)
             .where(F.col("nth") > tested)
-            .select("key", order.alias("uo"), F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("core").alias("uc"), F.col("component").alias("ug"))
+            .select(
+                "key", order.alias("uo"), F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("core").alias("uc"), F.col("component").alias("ug"),
+                *[F.col("keys").alias("uk")] * (tested > 0),
+            )
         )
         most = F.least("core", "uc")
         apart = (order > F.col("uo")) & (F.col("component") != F.col("ug"))
         near = 100 * most >= percent * (F.col("n") + F.col("un") - most)
-        pairs = rows.join(pivot, "key").where(apart & near).select("u", F.col("doc_id").alias("v")).distinct()
+        once = F.array_min(F.array_intersect("keys", "uk")) == F.col("key") if tested else F.lit(True)
+        pairs = rows.join(pivot, "key").where(apart & near & once).select("u", F.col("doc_id").alias("v")).distinct()
         common = F.size(F.array_intersect("us", "vs"))
         union = F.size("us") + F.size("vs") - common
         links = (
