@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, doc_chunks, mix64, release, ship, text_buffers, word_hashes
 
 CELLS = 1 << 20
+#: 64-bit words of the bitmap that bounds the intersection of two sets.
+BITMAP_WORDS = 16
 #: A link at the threshold may miss every band with this probability at most.
 MISS = 1e-6
 _STATE: dict = {}
@@ -97,15 +100,24 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The bits that a set's shingles hash to."""
+    at = (shingles >> np.uint64(5)) & np.uint64(64 * BITMAP_WORDS - 1)
+    bits = np.zeros(64 * BITMAP_WORDS, dtype=np.uint8)
+    bits[at.astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    out = pa.schema([("doc_id", pa.int64()), ("s", pa.list_(pa.int64()))])
+    out = pa.schema([("doc_id", pa.int64()), ("s", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            s = [u.view(np.int64) for u in shingle_sets(batch.column(1), words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.list_(pa.int64()))], schema=out)
+            s = list(shingle_sets(batch.column(1), words))
+            columns = [[u.view(np.int64) for u in s], [bitmap(u) for u in s]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.list_(pa.int64())) for c in columns]], schema=out)
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>")
+    return docs.mapInArrow(run, "doc_id long, s array<long>, bits array<long>")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -136,15 +148,15 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
-    """(doc_id, n, core): a set's size, and how many of its shingles any other set has."""
+    """(doc_id, n, core, bits): a set's size, how many of its shingles any other set has, and its bitmap."""
     own = (
         sets.select("doc_id", F.explode("s").alias("x")).groupBy("x")
         .agg(F.count("*").alias("holders"), F.min("doc_id").alias("doc_id")).where("holders = 1")
         .groupBy("doc_id").agg(F.count("*").alias("own"))
     )
     n = F.size("s").cast("long")
-    return sets.select("doc_id", n.alias("n")).join(own, "doc_id", "left").select(
-        "doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core")
+    return sets.select("doc_id", n.alias("n"), "bits").join(own, "doc_id", "left").select(
+        "doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core"), "bits"
     )
 
 
@@ -159,7 +171,9 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
     fewest shingles of their own are its pivots, 1, then 17, 273, ... of them. A pivot is
     compared with the later members that are not yet in its component, and confirmed
     links merge components. After the first round two documents meet only in the least
-    bucket that they share. A bucket is done when one component holds it or all members
+    bucket that they share, and only if their bitmaps allow a link: a bit that one set
+    has alone is a shingle outside the intersection, so that holds at most the common
+    bits and the shingles that share a bit with another of their set. A bucket is done when one component holds it or all members
     have been pivots. So every candidate pair is ruled out exactly, compared, or lies
     in one component.
     """
@@ -175,7 +189,10 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
         return None
     sets = cut(_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), words))
     able = cut(_shared_sizes(sets).where(100 * F.col("core") >= percent * F.col("n")))
-    buckets = cut(crowded(met.join(able, "doc_id")))
+    buckets = cut(crowded(met.join(able.drop("bits"), "doc_id")))
+    ones = lambda *maps: sum(
+        (F.bit_count(functools.reduce(Column.bitwiseAND, [F.get(m, F.lit(i)) for m in maps])) for i in range(BITMAP_WORDS)), F.lit(0)
+    )
     label: DataFrame | None = None
     tested, pivots = 0, 1
     order = F.struct((F.col("n") - F.col("core")).alias("own"), "doc_id")
@@ -187,8 +204,10 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
         if tested:
             open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
             rows = rows.where(F.col("members") > tested + 1).join(open_, "key")
-            if tested == 1:  # few documents are left: from now on each knows all its buckets
-                rows = rows.join(buckets.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id")
+            if tested == 1:  # few documents are left: from now on each knows all its buckets, and its bitmap
+                rows = rows.join(buckets.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id").join(
+                    able.select("doc_id", "bits", (F.col("n") - ones("bits")).alias("hidden")), "doc_id"
+                )
             rows = cut(rows)
             if rows.isEmpty():
                 return label
@@ -199,14 +218,17 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
             .where(F.col("nth") > tested)
             .select(
                 "key", order.alias("uo"), F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("core").alias("uc"), F.col("component").alias("ug"),
-                *[F.col("keys").alias("uk")] * (tested > 0),
+                *[F.col(c).alias(f"u_{c}") for c in ("keys", "bits", "hidden") if tested],
             )
         )
         most = F.least("core", "uc")
         apart = (order > F.col("uo")) & (F.col("component") != F.col("ug"))
-        near = 100 * most >= percent * (F.col("n") + F.col("un") - most)
-        once = F.array_min(F.array_intersect("keys", "uk")) == F.col("key") if tested else F.lit(True)
-        pairs = rows.join(pivot, "key").where(apart & near & once).select("u", F.col("doc_id").alias("v")).distinct()
+        near = lambda most: 100 * most >= percent * (F.col("n") + F.col("un") - most)
+        meet = apart & near(most)
+        if tested:
+            both = ones("bits", "u_bits") + F.least("hidden", "u_hidden")
+            meet = meet & near(both) & (F.array_min(F.array_intersect("keys", "u_keys")) == F.col("key"))
+        pairs = rows.join(pivot, "key").where(meet).select("u", F.col("doc_id").alias("v")).distinct()
         common = F.size(F.array_intersect("us", "vs"))
         union = F.size("us") + F.size("vs") - common
         links = (
