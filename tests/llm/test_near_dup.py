@@ -95,3 +95,32 @@ def test_components(spark):
     got = {r.node: r.component for r in cm.connected(spark.createDataFrame(pairs, "u long, v long")).collect()}
     alone = {a for a, b in pairs if a == b} - {x for a, b in pairs if a != b for x in (a, b)}
     assert got == {k: v for k, v in up.items() if k not in alone}
+
+
+def test_bitmaps_never_bound_below_the_intersection():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 6000, dtype=np.uint64)
+    count = lambda x: int(np.unpackbits(x.view(np.uint8)).sum())
+    for size, moved in ((1, 0), (1, 1), (160, 0), (160, 12), (160, 160), (3000, 300), (3000, 3000)):
+        a, b = pool[:size], pool[moved : moved + size]
+        x, y = cm.bitmap(a), cm.bitmap(b)
+        bound = count(x & y) + min(size - count(x), size - count(y))
+        assert size - moved <= bound <= size
+        if size == 160 and moved:
+            assert bound < size - moved / 2
+    assert not cm.bitmap(pool[:0]).any() and len(cm.bitmap(pool)) == cm.BITMAP_WORDS
+
+
+def test_many_copies_edited_apart(spark):
+    """Copies below the threshold whose shingles others have too: bitmaps rule them out, and no link is lost."""
+    rng = np.random.default_rng(8)
+    base = [f"w{x}" for x in range(150)]
+    rows = []
+    for i in range(220):
+        t = list(base)
+        for at in rng.choice(150, rng.integers(2, 9), replace=False):
+            t[at] = f"e{rng.integers(0, 3)}-{at}"
+        rows.append((i, " ".join(t)))
+    for words, percent in ((3, 85), (5, 80)):
+        got = cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, words, percent)
