@@ -3,7 +3,7 @@ import random
 import duckdb
 import pytest
 
-from wayfold.llm.line_dedup import SQL, dedup_lines
+from wayfold.llm.line_dedup import SQL, dedup_lines, dedup_passages
 
 
 def brute(rows, least=50):
@@ -88,3 +88,52 @@ def test_odd_rows(spark, odd_docs, no_docs):
     again = [(None, line), (None, line), (3, line), (3, line), (3, f"{line}\nmore"), (4, f"a\n{line}\nb")]
     out = sorted((str(r.doc_id), r.text) for r in dedup_lines(spark.createDataFrame(again, "doc_id long, text string")).collect())
     assert out == sorted([("None", line), ("None", line), ("3", ""), ("3", ""), ("3", "more"), ("4", "a\nb")])
+
+
+def brute_passages(rows, least=50):
+    """The definition, word by word: (key, text) -> words that stay."""
+    words = {k: t.split() for k, t in rows if t is not None}
+    first, gone = {}, set()
+    for k in sorted(words):
+        for i in range(len(words[k]) - least + 1):
+            fk, fi = first.setdefault(tuple(words[k][i : i + least]), (k, i))
+            if fk != k or i - fi >= least:
+                gone |= {(k, p) for p in range(i, i + least)}
+    return {k: [w for p, w in enumerate(own) if (k, p) not in gone] for k, own in words.items()}, gone
+
+
+@pytest.mark.parametrize("least", [50, 16, 5])
+def test_passages_against_the_definition(spark, least):
+    rng = random.Random(least)
+    shared = [[f"w{rng.randint(0, 500)}" for _ in range(n)] for n in (4, 20, 49, 50, 51, 70, 130)] + [["x"] * 170, ["x", "y", "z"] * 60]
+    rows = []
+    for i in range(80):
+        own = []
+        for _ in range(rng.randint(1, 5)):
+            part = rng.choice(shared)
+            a = rng.randint(0, len(part) // 4)
+            own += part[a:] if rng.random() < 0.6 else [f"u{rng.randint(0, 10**9)}" for _ in range(rng.randint(1, 40))]
+        rows.append((i, "".join(w + rng.choice([" ", " ", "\n", "\t "]) for w in own)))
+    want, gone = brute_passages(rows, least)
+    got = {r.doc_id: r for r in dedup_passages(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+    assert {k: r.text.split() for k, r in got.items()} == want
+    assert sum(r.n_removed for r in got.values()) == len(gone) > 0
+    assert all(r.text == dict(rows)[k] for k, r in got.items() if not r.n_removed)
+
+
+def test_a_passage_inside_lines_goes(spark):
+    """Which line deduplication alone leaves: it shares its lines with other text."""
+    passage = [f"p{i}" for i in range(60)]
+    spread = " ".join(passage[:20]) + "\n" + " ".join(passage[20:])
+    rows = [(1, f"one {' '.join(passage)} uno"), (2, f"two {spread} due\nend \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r)[:2] for r in dedup_lines(docs).collect()) == rows
+    assert sorted(tuple(r) for r in dedup_passages(docs).collect()) == [(1, rows[0][1], 0), (2, "two due\nend \n", 60)]
+
+
+def test_passages_odd_rows(spark, odd_docs, no_docs):
+    rows = dedup_passages(odd_docs)
+    assert rows.columns == [*odd_docs.columns, "n_removed"] and rows.count() == odd_docs.count()
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[1].text is None and got[2].text == "" and got[4].text == "wort " * 50
+    assert dedup_passages(no_docs).count() == 0

@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import neutral, word_count
+from .common import WORD, cut, neutral, release, word_count
 
 #: Least words of a repeated run that is deleted; the weight of a winnowing window.
 RUN_WORDS = 50
+#: A word and the white space before it.
+SPACED_WORD = r"[\x20\x09-\x0D]*" + WORD
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """With a document's key: _id, null first, and _text, the text's hash."""
+    return docs.withColumns({
+        "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")),
+        "_text": F.xxhash64(text_col),
+    })
 
 
 def _agree(a: Column, b: Column) -> Column:
@@ -47,10 +57,7 @@ def _windows(lines: DataFrame, least: int) -> DataFrame:
 def repeated_lines(docs: DataFrame, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(documents with keys, flags): flags holds for each affected document an array of `gone`."""
     text = F.col(text_col)
-    keyed = docs.withColumns({
-        "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)).cast("long")),
-        "_text": F.xxhash64(text),
-    })
+    keyed = _keyed(docs, id_col, text_col)
     lines = (
         keyed.where(text.isNotNull())
         .select("_id", "_text", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
@@ -130,6 +137,138 @@ def dedup_lines(
     )
 
 
+def _paired(rows: DataFrame, name: str, step: int, f) -> DataFrame:
+    """The array `name`, each element joined by `f` with the one `step` places on; `step` elements fewer."""
+    n = F.size(name) - step
+    return rows.withColumn(name, F.zip_with(F.slice(name, F.lit(1), n), F.slice(name, F.lit(1 + step), n), f))
+
+
+def _grams(rows: DataFrame, least: int, text_col: str) -> tuple[DataFrame, int]:
+    """Arrays by the first word of each window of `least` words, and how many grams a window has.
+
+    `whole` is the window's hash; `mark` the least hash of the grams in it. Grams are
+    of the largest power of two words below `least`, as hashes of hashes, so an array
+    takes log2(least) passes and not `least`.
+    """
+    gram = 1 << ((least - 1).bit_length() - 1)
+    out = rows.withColumn("whole", F.transform(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))).where(
+        F.size("whole") >= least
+    )
+    step = 1
+    while step < gram:
+        out, step = _paired(out, "whole", step, lambda x, y: F.xxhash64(x, y)), 2 * step
+    out = out.withColumn("mark", F.col("whole"))
+    size, held = least - gram + 1, 1
+    while held < size:
+        step = min(held, size - held)
+        out, held = _paired(out, "mark", step, lambda x, y: F.least(x, y)), held + step
+    return _paired(out, "whole", least - gram, lambda x, y: F.xxhash64(x, y)), size
+
+
+def repeated_passages(keyed: DataFrame, least: int, text_col: str) -> DataFrame:
+    """The windows of `least` words that stand at an earlier place: _id, _text, pos (of the first word).
+
+    A run of windows with one mark is a row. Equal windows have equal marks, so only the
+    windows of marks that occur again are looked at one by one. Each is compared with
+    the least (id, text hash, word) that has its hash; in one document it counts only
+    if the two do not overlap.
+    """
+    spark = keyed.sparkSession
+    grams, size = _grams(keyed.where(F.col(text_col).isNotNull()).select("_id", "_text", text_col), least, text_col)
+    last = F.size("mark") - 1
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("mark", F.lit(1), last))
+    turns = F.filter(
+        F.transform(
+            F.zip_with("mark", before, lambda x, y: F.when(y.isNull() | (x != y), x)),
+            lambda x, i: F.struct(x.alias("mark"), i.alias("a")),
+        ),
+        lambda r: r["mark"].isNotNull(),
+    )
+    runs = (
+        grams.select("_id", "_text", last.alias("last"), turns.alias("turns"))
+        .withColumn("run", F.explode(F.zip_with(
+            "turns", F.slice("turns", F.lit(2), F.size("turns")),
+            lambda x, y: F.struct(x["mark"].alias("mark"), x["a"].alias("a"), (y["a"] - 1).alias("b")),
+        )))
+        .select("_id", "_text", "run.mark", "run.a", F.coalesce("run.b", "last").alias("b"))
+        .groupBy("_id", "_text", "a").agg(F.min("mark").alias("mark"), F.min("b").alias("b"))
+    )
+    runs = cut(runs)
+    release(spark)
+    # one gram is in `size` windows, so a longer run holds its mark twice
+    times = F.sum(F.when(F.col("b") - F.col("a") >= size, 2).otherwise(1))
+    twice = cut(runs.groupBy("mark").agg(times.alias("n")).where("n > 1").select("mark"))
+    spans = (
+        runs.join(twice, "mark", "left_semi").groupBy(F.col("_id").alias("_id2"), F.col("_text").alias("_text2"))
+        .agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    )
+    asked = keyed.select("_id", "_text", text_col).join(spans, (F.col("_id") == F.col("_id2")) & (F.col("_text") == F.col("_text2")))
+    windows, _ = _grams(asked, least, text_col)
+    windows = (
+        windows.select("_id", "_text", F.explode("spans").alias("span"), "whole")
+        .select(
+            "_id", "_text", F.col("span.a").alias("a"),
+            F.posexplode(F.slice("whole", F.col("span.a") + 1, F.col("span.b") - F.col("span.a") + 1)).alias("i", "whole"),
+        )
+        .select("_id", "_text", (F.col("a") + F.col("i")).alias("pos"), "whole")
+    )
+    windows = cut(windows)
+    release(spark)
+    place = F.struct("_id", "_text", "pos")
+    first = cut(
+        windows.groupBy("whole").agg(F.min(place).alias("first"), F.max(place).alias("latest"))
+        .where(F.col("first") != F.col("latest")).select("whole", "first")
+    )
+    own = (F.col("first._id") == F.col("_id")) & (F.col("first._text") == F.col("_text"))
+    return windows.join(first, "whole").where(~own | (F.col("pos") - F.col("first.pos") >= least)).select("_id", "_text", "pos").distinct()
+
+
+def dedup_passages(
+    docs: DataFrame, least: int = RUN_WORDS, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Delete later repeats of passages of `least` words, wherever in lines they begin and end.
+
+    Returns the input's columns plus n_removed, the words deleted. Words are compared
+    exactly, white space between them is not. A word goes with the white space before
+    it. Every window of `least` words that stands at an earlier place, by (id, text
+    hash, word), goes from the later one; in one document, two places that overlap are
+    one. Windows are compared by 64-bit hashes; windows that only arise where words
+    went are not looked at again.
+
+    Null texts stay null; a text all of whose words go keeps only the white space after
+    them; no row is dropped. Null ids and repeated rows are treated as in
+    `dedup_lines`. An existing column n_removed is replaced. `docs` is read several
+    times, so pass a checkpointed frame.
+    """
+    rows, name = neutral(docs.drop("n_removed"))
+    target, text_col = text_col, name[text_col]
+    keyed = _keyed(rows, name[id_col], text_col)
+    gone = cut(
+        repeated_passages(keyed, least, text_col).groupBy(F.col("_id").alias("_id2"), F.col("_text").alias("_text2"))
+        .agg(F.sort_array(F.collect_list("pos")).alias("starts"))
+    )
+    release(docs.sparkSession)
+    end = lambda i: F.when(i == 0, 0).otherwise(F.get("starts", i - 1) + least)
+    tail = F.element_at("starts", -1) + least
+    kept = F.flatten(F.transform("starts", lambda s, i: F.slice("_words", end(i) + 1, F.greatest(F.lit(0), s - end(i)))))
+    kept = F.concat(kept, F.slice("_words", tail + 1, F.greatest(F.lit(0), F.size("_words") - tail)))
+    found = keyed.join(gone, (F.col("_id") == F.col("_id2")) & (F.col("_text") == F.col("_text2")), "left")
+    return (
+        found.withColumn("_words", F.when(F.col("starts").isNotNull(), F.regexp_extract_all(text_col, F.lit(SPACED_WORD), F.lit(0))))
+        .withColumn("_kept", F.when(F.col("starts").isNotNull(), kept))
+        .select(
+            *[
+                (F.when(F.col("starts").isNull(), F.col(v)).otherwise(
+                    F.concat(F.array_join("_kept", ""), F.substr(F.col(v), F.length(F.array_join("_words", "")) + 1))
+                ) if k == target else F.col(v)).alias(k)
+                for k, v in name.items()
+            ],
+            F.coalesce(F.size("_words") - F.size("_kept"), F.lit(0)).alias("n_removed"),
+        )
+        .withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
+    )
+
+
 def with_lengths(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """n_chars of the texts from which lines went, if there is such a column."""
     if chars_col not in docs.columns:
