@@ -36,8 +36,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def window_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenise and pack into sequences of 1024."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Tokenise and pack into sequences of 1024; each piece carries its token ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [

@@ -95,3 +95,21 @@ def test_stages_against_brute_force(spark, tmp_path):
     ran = corpus_pipeline.run(spark, D).collect()
     piece = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens)
     assert Counter(map(piece, ran)) == want
+
+
+def test_sequences_hold_their_tokens(spark):
+    """The packed sequences can be written out from the last stage's result alone, also where an id repeats."""
+    rows = [(1, "a first text"), (1, "another text under the same id"), (2, "long " * 1500), (None, None)]
+    got = corpus_pipeline.window_packing(spark, spark.createDataFrame(rows, "doc_id long, text string"), D).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for k, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        want.update((k, a, tuple(ids[a : a + 1024])) for a in range(0, len(ids), 1024))
+    assert Counter((r.doc_id, r.start, tuple(r.ids)) for r in got) == want
+    for s in {r.sequence_id for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at and r.length == len(r.ids)
+            at += r.length
+        assert at <= 1024
