@@ -7,6 +7,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from wayfold.llm.mixing import mix, mixed_documents, split_quotas, targets
+from wayfold.llm.queries import op4_weighted_mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,3 +76,19 @@ def test_odd_rows(odd_docs, no_docs):
     assert mix(no_docs).count() == 0
     assert mixed_documents(odd_docs).columns == odd_docs.columns
     assert mixed_documents(odd_docs).count() > 0
+
+
+def test_registered_mix_tells_shards_and_places(spark, docs):
+    """Every draw has a shard, and a shard's places run from 0 without gaps in its local order."""
+    got = op4_weighted_mix(spark, "/root/testdata/sf0.001").collect()
+    assert all(r.taken == sum(d["taken"] for d in r.draws) for r in got)
+    placed = {(d["shard"], d["place"]): (r.doc_id, d["pass"]) for r in got for d in r.draws}
+    rows = sorted((r for r in mix(docs).collect() if r.mix_taken), key=lambda r: (r.mix_shard, r.mix_order))
+    assert [placed[k] for k in sorted(placed)] == [(r.doc_id, r.mix_pass) for r in rows] and len({s for s, _ in placed}) > 1
+    for s in {s for s, _ in placed}:
+        assert sorted(p for x, p in placed if x == s) == list(range(sum(x == s for x, _ in placed)))
+
+
+def test_mixed_documents_lie_in_local_order(docs):
+    rows = sorted((r for r in mix(docs).collect() if r.mix_taken), key=lambda r: (r.mix_shard, r.mix_order))
+    assert [r.doc_id for r in mixed_documents(docs).collect()] == [r.doc_id for r in rows]

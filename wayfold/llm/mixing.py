@@ -148,16 +148,40 @@ def mix(
     )
 
 
+def with_places(drawn: DataFrame, buckets: int = 256) -> DataFrame:
+    """Rows of `mix` with mix_place: the row's place in its shard by mix_order, from 0; null if not drawn.
+
+    mix_order is a hash, so its ranges are even buckets: rows are numbered inside a
+    bucket of a shard, from the running total of the buckets before. `drawn` is read
+    twice, so pass a checkpointed frame.
+    """
+    rows = drawn.withColumn("_bucket", F.floor((F.col("mix_order") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(buckets)))
+    before = Window.partitionBy("mix_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    first = (
+        rows.where(F.col("mix_shard").isNotNull()).groupBy("mix_shard", "_bucket").agg(F.count("*").alias("_n"))
+        .select(F.col("mix_shard").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    )
+    others = [c for c in drawn.columns if c not in ("mix_shard", "mix_order")]
+    nth = F.row_number().over(Window.partitionBy("mix_shard", "_bucket").orderBy("mix_order", *others))
+    return (
+        rows.withColumn("_nth", nth)
+        .join(first, (F.col("mix_shard") == F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
+        .select(*drawn.columns, (F.col("_first") + F.col("_nth") - 1).alias("mix_place"))
+    )
+
+
 def mixed_documents(
     docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options
 ) -> DataFrame:
-    """The mixed corpus itself, in the columns of `docs`: a row for each draw, local order within shards.
+    """The mixed corpus itself, in the columns of `docs`: a row for each draw, shard after shard, each in its local order.
 
+    Rows are dealt by ranges of (shard, order), so partitions follow each other as the
+    rows do, and a shard spreads over as many of them as its size asks for.
     A document drawn in part keeps its first words; `chars_col` follows, if there is one.
     """
     plain, name = neutral(docs)
     named = {k: name[options.pop(k, v)] for k, v in (("id_col", "doc_id"), ("source_col", "source"))}
-    rows = mix(plain, text_col=name[text_col], **named, **options).where(F.col("mix_taken") > 0)
+    rows = mix(plain, text_col=name[text_col], **named, **options).where(F.col("mix_taken") > 0).orderBy("mix_shard", "mix_order")
     text, part = F.col(name[text_col]), F.col("mix_taken") < F.col("mix_size")
     words = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(1), F.col("mix_taken").cast("int"))), "")
