@@ -1,3 +1,6 @@
+import pytest
+from pyspark.sql import functions as F
+
 from wayfold.llm import cotrain
 
 
@@ -31,3 +34,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert cotrain.classify(odd_docs, both).count() == odd_docs.count()
     assert cotrain.classify(no_docs, both).count() == 0
     assert all(r.score == 0.5 for r in cotrain.classify(odd_docs, labels.limit(0)).collect())
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_a_class_on_one_side_of_the_hold_out(spark, side):
+    """Labels of both classes are enough, also where no row (0) or every row (1) of the rare class is held out."""
+    rows = [(i, ("@@ ## $$ " if i % 2 else "plain words of prose ") * (3 + i % 7), "en", "bad" if i % 2 else "fine", 50) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    held = {r[0] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).select("doc_id").collect()}
+    rare = [i for i in range(1, 400, 2) if (i in held) == bool(side)][:6]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 120, 2)] + [(i, 0, 0) for i in rare], "doc_id long, quality int, toxic int")
+    assert cotrain.fit(docs, labels).fitted
+    assert all(r.good == (r.doc_id % 2 == 0) for r in cotrain.classify(docs, labels).collect())
+
+
+def test_warns_without_both_classes(spark, odd_docs):
+    labels = spark.createDataFrame([(5, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="both classes"):
+        assert not cotrain.fit(odd_docs, labels).fitted

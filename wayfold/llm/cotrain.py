@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from dataclasses import dataclass, field
 
@@ -62,13 +63,14 @@ def _views(content: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 # ---------------------------------------------------------------------- models
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Logistic regression by Newton's method; x has a constant column."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50, weight: np.ndarray | float = 1.0) -> np.ndarray:
+    """Logistic regression by Newton's method; x has a constant column, a row counts `weight` times."""
     w = np.zeros(x.shape[1])
+    weight = np.broadcast_to(weight, len(y))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
@@ -92,10 +94,10 @@ class CoTrained:
         views = _views(content, cells)
         return np.column_stack([_line(v @ w) @ c for v, w, c in zip(views, self.weights, self.calibration, strict=True)])
 
-    def calibrate(self, content: np.ndarray, cells: np.ndarray, y: np.ndarray) -> None:
+    def calibrate(self, content: np.ndarray, cells: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0) -> None:
         for i, v in enumerate(_views(content, cells)):
-            self.calibration[i] = logistic(_line(v @ self.weights[i]), y)
-        self.combine = logistic(np.column_stack([self.logits(content, cells), np.ones(len(y))]), y)
+            self.calibration[i] = logistic(_line(v @ self.weights[i]), y, weight=weight)
+        self.combine = logistic(np.column_stack([self.logits(content, cells), np.ones(len(y))]), y, weight=weight)
         self.fitted = True
 
     def scores(self, content: np.ndarray, cells: np.ndarray) -> np.ndarray:
@@ -175,13 +177,15 @@ def fit(
 ) -> CoTrained:
     """Co-train on all documents.
 
-    Every fifth labelled document by hash is held out; at most `calibration_rows` of
-    these, those of least hash, reach the driver to calibrate and to combine the views.
-    That sample of labelled rows is the only bounded one. Each round fits both views
-    on all labelled rows and on what the other view is confident of among all
-    unlabelled ones, as sums taken in the cluster.
+    Every fifth labelled document by hash is held out; of each class at most
+    `calibration_rows` of these, those of least hash, reach the driver to calibrate and
+    to combine the views, weighted to the class's share. For a class of which none is
+    held out, its training rows stand in, and if all are, they teach as well. That
+    sample of labelled rows is the only bounded one. Each round fits both views on all
+    labelled rows and on what the other view is confident of among all unlabelled ones,
+    as sums taken in the cluster.
 
-    Without labels of both classes the model stays unfitted and scores 0.5.
+    Without labels of both classes the model stays unfitted, scores 0.5 and warns.
     """
     ship(docs.sparkSession)
     truth = (
@@ -190,18 +194,24 @@ def fit(
     )
     order = F.xxhash64("doc_id", F.lit(5))
     rows = cut(_features(docs).join(truth, "doc_id", "left").withColumn("held", F.col("y").isNotNull() & (F.pmod(order, F.lit(5)) == 0)))
-    held = rows.where("held").orderBy(order, "doc_id").limit(calibration_rows).select("content", "cells", "y").toArrow()
-    model = CoTrained()
-    if not held.num_rows:
-        return model
-    content, cells, y = _read(held.combine_chunks().to_batches()[0])
-    if len(set(y)) < 2:
-        return model
-    training = rows.where(~F.col("held"))
+    known = {(r[0], r[1]): r[2] for r in rows.where(F.col("y").isNotNull()).groupBy("y", "held").count().collect()}
+    if len({y for y, _ in known}) < 2:
+        warnings.warn("labels of both classes are needed: the classifier stays unfitted and scores 0.5", stacklevel=2)
+        return CoTrained()
+    parts, weight = [], []
+    for y in (0.0, 1.0):
+        held = (y, True) in known
+        some = rows.where((F.col("y") == y) & (F.col("held") == held)).orderBy(order, "doc_id").limit(calibration_rows)
+        parts.append(_read(some.select("content", "cells", "y").toArrow().combine_chunks().to_batches()[0]))
+        n = known[y, held] / (1 if held else 4)  # of five rows four teach
+        weight.append(np.full(len(parts[-1][2]), n / len(parts[-1][2])))
+    content, cells, y = (np.concatenate(x) for x in zip(*parts, strict=True))
+    weight, model = np.concatenate(weight), CoTrained()
+    training = rows.where(~F.col("held")) if {(0.0, False), (1.0, False)} <= set(known) else rows
     for _ in range(rounds + 1):
         for i, (a, b) in enumerate(_sums(training, model, confident, pseudo_weight)):
             model.weights[i] = np.linalg.solve(a + ridge * np.eye(len(b)), b)
-        model.calibrate(content, cells, y)
+        model.calibrate(content, cells, y, weight)
     return model
 
 
