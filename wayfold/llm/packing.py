@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from bisect import bisect_left
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 from .common import cut, gapless_rank, ship
 
 WINDOW = 1024
-#: Entries of a worker's word cache; later words are encoded anew each time.
+#: Entries of a worker's cache of rare words; later ones are encoded anew each time.
 CACHE = 400_000
+#: Characters of the longest word that the cache keeps.
+CACHED_CHARS = 64
 _STATE: dict = {}
 
-
-#: Words of these characters only go through the faster encoder of the same merges.
-PLAIN = re.compile("[\\x21-\\x7e\\u00a1-\\u024f]+")
+#: Texts of these characters only go through the faster encoder of the same merges: there both
+#: libraries' character classes are the same.
+PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*")
+#: No token crosses these places: before a single space between two other characters.
+BREAK = re.compile(r"(?<=\S)(?= \S)")
 #: How the vocabulary's pre-tokenizer parts a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -45,64 +49,70 @@ def _fast_encoder(tokenizer):
         return None
 
 
-def _tokenizer(path: str):
+def _tokenizer(path: str) -> dict:
     if _STATE.get("path") != path:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        lengths = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), dtype=np.int64)
-        for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
-            lengths[i] = len(token)  # of a byte-level alphabet: a character for each byte
-        _STATE.update(path=path, tokenizer=tokenizer, lengths=lengths, words={}, fast=_fast_encoder(tokenizer))
-    return _STATE["tokenizer"], _STATE["words"]
-
-
-def _ids(encoding) -> bytes:
-    return np.array(encoding.ids, dtype="<u4").tobytes()
-
-
-def _encode_words(tokenizer, words: list[str], together: int = 1024) -> dict[str, bytes]:
-    """Ids of each " word": words are encoded many at a time and parted by byte lengths."""
-    fast = _STATE["fast"]
-    plain = [w for w in words if PLAIN.fullmatch(w) and "<|" not in w] if fast else []
-    other = set(words).difference(plain)
-    slow = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    out = {}
-    jobs = [(encode, x[i : i + together]) for encode, x in ((fast and fast.encode_ordinary, plain), (slow, sorted(other))) for i in range(0, len(x), together)]
-    for encode, group in jobs:
-        listed = encode(" " + " ".join(group))
-        ids = np.array(listed, dtype="<u4")
-        ends = np.cumsum([len(w.encode()) + 1 for w in group])
-        cuts = [0, *(4 * np.searchsorted(np.cumsum(_STATE["lengths"][ids]), ends, side="right")).tolist()]
-        raw = ids.tobytes()
-        out.update((w, raw[a:b]) for w, a, b in zip(group, cuts[:-1], cuts[1:], strict=True))
-    return out
+        added = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        _STATE.update(path=path, tokenizer=tokenizer, added=added, words={}, fast=_fast_encoder(tokenizer))
+    return _STATE
 
 
-def encode_texts(texts: list[str | None], path: str):
-    """Yield each text's ids as little-endian 32-bit bytes, equal to encoding it whole.
+def _fast(text: str) -> np.ndarray:
+    return np.array(_STATE["fast"].encode_ordinary(text), dtype="<u4")
+
+
+def _whole(texts: list[str]) -> list[np.ndarray]:
+    encoded = _STATE["tokenizer"].encode_batch_fast(texts, add_special_tokens=False)
+    return [np.array(e.ids, dtype="<u4") for e in encoded]
+
+
+def _mixed(texts: list[str]) -> list[np.ndarray]:
+    """Texts with rare characters: runs of plain words go the fast way, each rare word is encoded once and looked up afterwards."""
+    known = _STATE["words"]
+    split = [[(bool(k), list(g)) for k, g in groupby(BREAK.split(t), PLAIN.fullmatch)] for t in texts]
+    new = list({w for runs in split for plain, words in runs if not plain for w in words if w not in known})
+    fresh = dict(zip(new, _whole(new), strict=True))
+    known.update(islice(((w, x) for w, x in fresh.items() if len(w) <= CACHED_CHARS), max(0, CACHE - len(known))))
+    return [
+        np.concatenate([
+            part for plain, words in runs
+            for part in ([_fast("".join(words))] if plain else [fresh[w] if w in fresh else known[w] for w in words])
+        ])
+        for runs in split
+    ]
 
-    The vocabulary's pre-tokenizer lets a token hold a space only as its first
-    character, so a text falls apart before every space between two other characters,
-    and each " word" is encoded once and looked up afterwards. Where a space touches
-    more white space, the whole text is encoded.
+
+def encode_arrays(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Each text's ids, equal to encoding it whole.
+
+    The faster encoder takes texts of `PLAIN` characters. Others fall apart at `BREAK`, since the
+    vocabulary's pre-tokenizer lets a token hold a space only as its first character. A
+    text that holds an added token goes to the vocabulary's own library whole.
     """
-    tokenizer, known = _tokenizer(path)
-    split = [(t or "").split(" ") for t in texts]
-    new = {w for words in split for w in words[1:] if w not in known}
-    fresh = _encode_words(tokenizer, [x for x in new if x and not x[0].isspace() and not x[-1].isspace()])
-    room = max(0, CACHE - len(known))
-    known.update(islice(fresh.items(), room))
-    rest = dict(islice(fresh.items(), room, None))
-    firsts = tokenizer.encode_batch_fast([words[0] for words in split], add_special_tokens=False)
-    get = known.get
-    for text, words, first in zip(texts, split, firsts, strict=True):
-        got = list(map(get, words[1:]))
-        if rest and None in got:
-            got = [g or rest.get(w) for g, w in zip(got, words[1:], strict=True)]
-        odd = text and (not words[0] or words[0][0].isspace() or words[0][-1].isspace() or None in got)
-        yield _ids(tokenizer.encode(text, add_special_tokens=False)) if odd else _ids(first) + b"".join(got)
+    state = _tokenizer(path)
+    out, rare, own = [], [], []
+    for i, t in enumerate(texts):
+        t = t or ""
+        out.append(None)
+        if not state["fast"] or any(x in t for x in state["added"]):
+            own.append((i, t))
+        elif PLAIN.fullmatch(t):
+            out[i] = _fast(t)
+        else:
+            rare.append((i, t))
+    for part, encode in ((own, _whole), (rare, _mixed)):
+        for (i, _), ids in zip(part, encode([t for _, t in part]), strict=True):
+            out[i] = ids
+    return out
+
+
+def encode_texts(texts: list[str | None], path: str):
+    """Yield each text's ids as little-endian 32-bit bytes."""
+    for ids in encode_arrays(texts, path):
+        yield ids.astype("<u4", copy=False).tobytes()
 
 
 def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
@@ -116,21 +126,26 @@ def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, with_ids: boo
         fields.append(("ids", pa.list_(pa.int32())))
         kinds += ", ids array<int>"
     out = pa.schema(fields)
+    end = np.zeros(1, dtype="<u4")
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1).to_pylist(), path), strict=True):
-                    ids += b"\0\0\0\0"
-                    n = len(ids) // 4
-                    for a in range(0, n, window):
-                        part = ids[4 * a : 4 * (a + window)]
-                        row = (doc, a, len(part) // 4, zlib.crc32(part), n)
-                        rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+                parts = [x for ids in encode_arrays(batch.column(1).to_pylist(), path) for x in (ids, end)]
+                flat = np.concatenate(parts).astype("<u4", copy=False)
+                tokens = np.array([len(x) + 1 for x in parts[::2]], dtype=np.int64)
+                pieces = -(-tokens // window)
+                doc = np.repeat(np.arange(len(tokens)), pieces)
+                start = window * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+                length = np.minimum(window, tokens[doc] - start)
+                edge = np.concatenate([[0], np.cumsum(length)])  # pieces follow each other as the ids do
+                raw = memoryview(flat.view(np.uint8))
+                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens[doc]))]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return docs.mapInArrow(run, kinds)
 
@@ -194,8 +209,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, id_col: str = "doc_id
     without gaps, and the number finds the window in the plan.
 
     A null or empty text is one piece, the id 0 alone. Rows are packed one by one, so
-    null ids, repeated ids and repeated rows are allowed. Other columns are ignored.
-    An empty table gives an empty result. `path` is the vocabulary's file.
+    null ids, repeated ids and repeated rows are allowed. A very long text is encoded whole
+    by one task and cut afterwards. Other columns are ignored. An empty table gives an empty result. `path` is the vocabulary's file.
     """
     ship(docs.sparkSession)
     pieces = cut(token_pieces(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), path, window, with_ids))
