@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import finite_vectors, top_k_in_blocks
+from .common import finite_vectors, strangers, top_k_in_blocks
 
 BITS = 64
-#: Candidates to look for, however small the block.
-FEWEST = 2048
+#: Queries whose ranges in all trees are held at once.
+QUERIES_AT_ONCE = 1024
 
 
 class PrefixForest:
@@ -28,7 +28,7 @@ class PrefixForest:
         square = np.einsum("ij,ij->i", unit, unit)
         lift = np.sqrt(np.maximum(0.0, square.max(initial=0.0) - square))
         strings = self._strings(np.column_stack([unit, lift]))
-        self.order = np.argsort(strings, axis=1, kind="stable")
+        self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
         self.strings = np.take_along_axis(strings, self.order, axis=1)
 
     def _strings(self, lifted: np.ndarray) -> np.ndarray:
@@ -77,8 +77,8 @@ def exact_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.cumsum(rows * query, axis=1)[:, -1]
 
 
-def forest_search(trees: int, effort: float, seed: int):
-    """The block search: forest candidates, then exact scores.
+def forest_search(trees: int, effort: float, seed: int, scored: float = 1.0):
+    """The block search: forest candidates, those that most trees agree on, then exact scores.
 
     Equal vectors are indexed once with their k + 1 smallest ids, which are all that
     can be among k neighbours; a group of thousands of copies costs one entry.
@@ -88,31 +88,36 @@ def forest_search(trees: int, effort: float, seed: int):
         _, first, group = np.unique(np.ascontiguousarray(rows + 0.0).view(f"V{8 * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
         by_group = np.argsort(group, kind="stable")  # ids ascend within a group, as the rows do
         starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
-        distinct = rows[first]
+        distinct, copies = rows[first], np.diff(starts)
         forest = PrefixForest(distinct, trees, seed)
-        low, high = forest.ranges(queries, max(FEWEST, int(effort * len(distinct))))
+        most = max(k + 1, int(np.ceil(scored * len(distinct))))
         slack = 1e-11 * rows.shape[1] * (np.abs(distinct).max() or 1.0)
         hits: list[tuple[int, np.ndarray, np.ndarray]] = []
-        seen = np.zeros(len(distinct), dtype=bool)
-        for i, (me, q) in enumerate(zip(query_ids, queries, strict=True)):
-            seen[:] = False
-            for t in range(trees):
-                seen[forest.order[t, low[t, i] : high[t, i]]] = True
-            c = np.flatnonzero(seen)
-            rough = distinct[c] @ q
-            if len(c) > k + 1:  # the query's own vector may be one of them
-                edge = np.partition(rough, len(c) - k - 1)[len(c) - k - 1]
-                c = c[rough >= edge - slack * np.abs(q).max()]
-            score = exact_products(distinct[c], q)
-            own, mine = [], []
-            for g, s in zip(c, score, strict=True):
-                near = ids[by_group[starts[g] : min(starts[g + 1], starts[g] + k + 1)]]
-                near = near[near != me]
-                own.append(near)
-                mine.append(np.full(len(near), s))
-            near, score = (np.concatenate(own), np.concatenate(mine)) if own else (np.zeros(0, np.int64), np.zeros(0))
-            best = np.lexsort((near, -score))[:k]
-            hits.append((i, near[best], score[best]))
+        for at in range(0, len(queries), QUERIES_AT_ONCE):
+            part = queries[at : at + QUERIES_AT_ONCE]
+            low, high = forest.ranges(part, int(np.ceil(effort * len(distinct))))
+            for i, (me, q) in enumerate(zip(query_ids[at : at + QUERIES_AT_ONCE], part, strict=True)):
+                held = np.concatenate([forest.order[t, low[t, i] : high[t, i]] for t in range(trees)])
+                votes = np.bincount(held, minlength=len(distinct))
+                c = np.flatnonzero(votes)
+                if len(c) > most:
+                    c = np.sort(c[np.argsort(-votes[c], kind="stable")[:most]])
+                if copies[c].sum() <= k:  # too few however far the trees agree: ascend to the roots
+                    c = np.arange(len(distinct))
+                rough = distinct[c] @ q
+                if len(c) > k + 1:  # the query's own vector may be one of them
+                    edge = np.partition(rough, len(c) - k - 1)[len(c) - k - 1]
+                    c = c[rough >= edge - slack * np.abs(q).max()]
+                score = exact_products(distinct[c], q)
+                own, mine = [], []
+                for g, s in zip(c, score, strict=True):
+                    some = by_group[starts[g] : min(starts[g + 1], starts[g] + k + 1)]
+                    near = ids[some][strangers(ids[some], rows[some], me, q)]
+                    own.append(near)
+                    mine.append(np.full(len(near), s))
+                near, score = (np.concatenate(own), np.concatenate(mine)) if own else (np.zeros(0, np.int64), np.zeros(0))
+                best = np.lexsort((near, -score))[:k]
+                hits.append((at + i, near[best], score[best]))
         return (
             np.concatenate([np.full(len(x[1]), x[0]) for x in hits]),
             np.concatenate([x[1] for x in hits]),
@@ -123,19 +128,22 @@ def forest_search(trees: int, effort: float, seed: int):
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 24, effort: float = 0.8, seed: int = 17,
+    vectors: DataFrame, every: int = 20, k: int = 20, trees: int = 256, effort: float = 4.0, scored: float = 0.25, seed: int = 17,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """The k nearest rows found for each row whose id `every` divides, by inner product.
 
-    Every row is indexed. `effort` is the number of candidates, counted once in each
-    tree that yields them, as a share of an index block's rows: more gives more
-    recall. Neighbours are ranked by exact scores, ties by the smaller id.
+    Every row is indexed, in blocks of about 16,384 rows of width 64. Trees ascend together
+    until they hold `effort` entries for each row of the block, counted once in each tree that
+    yields them. The candidates that most trees yield are scored exactly, at most the share `scored`
+    of the block: more of either gives more recall. Neighbours are ranked by exact
+    scores, ties by the smaller id.
 
     Vectors that are null, zero, or hold null or non-finite components, and null ids,
-    take no part; rows that repeat an id count once; vectors of different lengths
-    are not compared. An empty table gives an empty result.
+    take no part; rows that repeat both id and vector are one, rows that repeat only the id
+    are rows of their own, each a query if the id is one; vectors of different lengths
+    are not compared. Other columns are ignored. An empty table gives an empty result.
     """
     return top_k_in_blocks(
-        finite_vectors(vectors, id_col, vector_col, nonzero=True), every, k, forest_search(trees, effort, seed), "double"
+        finite_vectors(vectors, id_col, vector_col, nonzero=True), every, k, forest_search(trees, effort, seed, scored), "double"
     )

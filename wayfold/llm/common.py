@@ -45,17 +45,19 @@ def block_rows(n: int, least: int = 1024) -> int:
 def gapless_rank(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Number the rows of each key from 0 without gaps, however hot a key is.
 
-    A key's rows are dealt over hash blocks, blocks are counted with map-side
-    aggregation, running totals of the counts give each block's first number, and
-    rows are numbered inside their block. The order is by block, then by `order`.
+    The order is by a hash of `order`, then by `order`, at every size. A key's rows
+    are dealt over ranges of the hash, ranges are counted with map-side aggregation,
+    running totals of the counts give each range's first number, and rows are
+    numbered inside their range. Rows equal in all of `order` share a range.
     `df` is read several times, so pass a checkpointed frame.
     """
+    hashed = df.withColumn("_hash", F.xxhash64(*order))
     most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     blocks = -(-most // block_rows(most))
     if blocks <= 1:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(w).cast("long") - 1)
-    dealt = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+        w = Window.partitionBy(*keys).orderBy("_hash", *order)
+        return hashed.withColumn(name, F.row_number().over(w).cast("long") - 1).drop("_hash")
+    dealt = hashed.withColumn("_block", F.floor((F.col("_hash") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(blocks)))
     counts = dealt.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(
@@ -66,12 +68,12 @@ def gapless_rank(df: DataFrame, keys: list[str], order: list[str], name: str) ->
     on = F.col("_block") == F.col("_b")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    w = Window.partitionBy(*keys, "_block").orderBy(*order)
+    w = Window.partitionBy(*keys, "_block").orderBy("_hash", *order)
     return (
         dealt.withColumn("_row", F.row_number().over(w))
         .join(first, on)
         .withColumn(name, F.col("_first") + F.col("_row") - 1)
-        .drop("_block", "_b", "_first", "_row", "_n", *[f"_k{i}" for i in range(len(keys))])
+        .drop("_hash", "_block", "_b", "_first", "_row", "_n", *[f"_k{i}" for i in range(len(keys))])
     )
 
 
@@ -175,11 +177,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tu
 
 # ------------------------------------------------------------------- row blocks
 def finite_vectors(df: DataFrame, id_col: str, vector_col: str, nonzero: bool) -> DataFrame:
-    """(vec_id, v): one row per id, of the vectors that can take part.
+    """(vec_id, v): the rows whose vectors can take part.
 
     Null ids, null vectors and vectors with null or non-finite components are left
-    out, with `nonzero` zero vectors too. Of rows that repeat an id the greatest
-    vector in array order counts, so exact repeats are one row.
+    out, with `nonzero` zero vectors too. Rows that repeat both id and vector are one;
+    rows that repeat only the id are rows of their own. Other columns are ignored.
     """
     v = F.col(vector_col)
     ok = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(
@@ -187,11 +189,7 @@ def finite_vectors(df: DataFrame, id_col: str, vector_col: str, nonzero: bool) -
     )
     if nonzero:
         ok = ok & F.exists(v, lambda x: x != 0)
-    return (
-        df.where(ok)
-        .groupBy(F.col(id_col).cast("long").alias("vec_id"))
-        .agg(F.max(v.cast("array<double>")).alias("v"))
-    )
+    return df.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).distinct()
 
 
 def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -200,50 +198,59 @@ def matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), width)
 
 
-def top_k_in_blocks(
-    vectors: DataFrame, every: int, k: int, search, score_type: str,
-    rows_per_block: int = 4096, queries_per_block: int = 4096,
-) -> DataFrame:
+def top_k_in_blocks(vectors: DataFrame, every: int, k: int, search, score_type: str, row_cells: int = 1 << 20, query_cells: int = 1 << 22) -> DataFrame:
     """Top k of each query against all rows, a block of rows and a block of queries at a time.
 
     Queries are the rows whose id `every` divides. search(ids, rows, query_ids,
     queries, k) gets matrices and returns (query position, row id, score) arrays of
     at most k rows for each query; block results are merged by score, then id.
-    Memory in a task is bounded by the two block sizes. Only vectors of the same
-    length are compared.
+    A task holds at most about `row_cells` and `query_cells` numbers, 16,384 rows and
+    65,536 queries of width 64, so a row is copied once for 65,536 queries. Only vectors of
+    the same length are compared.
     """
     ship(vectors.sparkSession)
     vectors = cut(vectors.withColumn("width", F.size("v")))
     queries = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
-    row_blocks = max(1, -(-vectors.count() // rows_per_block))
-    query_blocks = max(1, -(-queries.count() // queries_per_block))
+    n, asked, width = vectors.agg(F.count("*"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0), F.max("width")).first()
+    width = max(1, width or 1)
+    row_blocks, query_blocks = max(1, -(-n * width // row_cells)), max(1, -(-asked * width // query_cells))
     dealt = lambda n, salt: F.pmod(F.xxhash64(F.col("vec_id"), F.lit(salt)), F.lit(n)).cast("int")
     every_one = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tasks = min(4 * row_blocks * query_blocks, 20_000)
     on = ["row_block", "query_block", "width"]
     rows = vectors.select("vec_id", "v", "width", dealt(row_blocks, 1).alias("row_block"), every_one(query_blocks).alias("query_block"))
-    asks = queries.select("vec_id", "v", "width", dealt(query_blocks, 2).alias("query_block"), every_one(row_blocks).alias("row_block"))
-    schema = f"query_id long, vec_id long, score {score_type}"
+    asks = queries.select(
+        "vec_id", "v", "width", F.xxhash64("vec_id", "v").alias("ask"), dealt(query_blocks, 2).alias("query_block"), every_one(row_blocks).alias("row_block")
+    )
+    schema = f"ask long, query_id long, vec_id long, score {score_type}"
     kind = pa.float64() if score_type == "double" else pa.int64()
-    out = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", kind)])
+    out = pa.schema([("ask", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", kind)])
 
     def block(key, left: pa.Table, right: pa.Table) -> pa.Table:
         width = key[2].as_py()
         ids, ask = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         if not len(ids) or not len(ask):
             return out.empty_table()
-        order = np.argsort(ids)
-        found = search(ids[order], matrix(left.column("v"), width)[order], ask, matrix(right.column("v"), width), k)
-        return pa.table([ask[found[0]], found[1], found[2]], schema=out)
+        order = np.argsort(ids, kind="stable")
+        at, near, score = search(ids[order], matrix(left.column("v"), width)[order], ask, matrix(right.column("v"), width), k)
+        return pa.table([right.column("ask").to_numpy()[at], ask[at], near, score], schema=out)
 
     best = (
         rows.repartition(tasks, *on).groupBy(*on)
         .cogroup(asks.repartition(tasks, *on).groupBy(*on))
         .applyInArrow(block, schema)
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    w = Window.partitionBy("query_id", "ask").orderBy(F.desc("score"), "vec_id")
     return (
         best.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
+
+
+def strangers(ids: np.ndarray, rows: np.ndarray, me: int, query: np.ndarray) -> np.ndarray:
+    """Whether each row is another than the query's own; `ids` ascend."""
+    out = np.ones(len(ids), dtype=bool)
+    a, b = np.searchsorted(ids, [me, me + 1])
+    out[a:b] = (rows[a:b] != query).any(axis=1)
+    return out
