@@ -124,3 +124,51 @@ def test_many_copies_edited_apart(spark):
     for words, percent in ((3, 85), (5, 80)):
         got = cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words, percent).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, words, percent)
+
+
+def repeated_ids():
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))
+    return text(), text(), text()
+
+
+def test_links_of_rows_that_repeat_an_id(spark):
+    """A row's links are those of its own text, also where another row has its id."""
+    a, b, c = repeated_ids()
+    got = cm.near_duplicates(spark.createDataFrame([(3, c), (5, a), (5, c + " more"), (9, a), (5, a)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [
+        (3, 196, 3, True), (5, 196, 5, True), (5, 196, 5, True), (5, 197, 3, False), (9, 196, 5, False),
+    ]
+
+
+def test_no_text_is_lost_where_an_id_repeats(spark):
+    a, b, c = repeated_ids()
+    rows = [(3, b, "x"), (5, a, "x"), (5, b, "x"), (9, a, "x"), (5, a, "x"), (None, a, "y"), (None, a, "y"), (7, "", "z"), (7, "", "z"), (7, None, "z")]
+    left = cm.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, t string"))
+    assert left.columns == ["doc_id", "text", "t"]
+    want = [(3, b, "x"), (5, a, "x"), (None, a, "y"), (None, a, "y"), (7, "", "z"), (7, None, "z")]
+    assert sorted(map(str, left.collect())) == sorted(str(r) for r in spark.createDataFrame(want, left.schema).collect())
+
+
+def test_repeated_ids_against_brute_force(spark):
+    """Every id occurs with several texts, some of them near copies of other ids' texts."""
+    rng = np.random.default_rng(7)
+    bases = [[f"b{j}-{x}" for x in range(120)] for j in range(6)]
+    rows = []
+    for i in range(90):
+        t = list(bases[rng.integers(0, 6)])
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            t[at] = f"e{rng.integers(0, 2)}-{at}"
+        rows.append((int(rng.integers(0, 40)), " ".join(t)))
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for _, t in rows)]
+    up = list(range(len(rows)))
+    for _ in rows:  # the least id spreads along links until nothing changes
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    up[i] = up[j] = min(up[i], up[j], key=lambda k: (rows[k][0], k))
+        if all(up[up[i]] == up[i] for i in range(len(rows))):
+            break
+    want = sorted((d, len(s), rows[up[i]][0]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    got = cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want

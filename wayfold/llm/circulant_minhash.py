@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, doc_chunks, mix64, release, ship, text_buffers, word_hashes
+from .common import cut, doc_chunks, mix64, neutral, release, ship, text_buffers, word_hashes
 
 CELLS = 1 << 20
 #: 64-bit words of the bitmap that bounds the intersection of two sets.
 BITMAP_WORDS = 16
 #: A link at the threshold may miss every band with this probability at most.
 MISS = 1e-6
+#: Members of a bucket that one task compares with its pivots.
+SLICE = 4096
 _STATE: dict = {}
 
 
@@ -76,14 +78,14 @@ def shingle_sets(texts: pa.Array, words: int):
 
 
 def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, a, b, bands): a and b identify the set, bands the buckets."""
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, t, n_shingles, a, b, bands): a and b identify the set, bands the buckets."""
+    out = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("bands", pa.list_(pa.int64()))])
     factors = np.random.default_rng(31).integers(1, 1 << 62, (bands, rows), dtype=np.uint64) | np.uint64(1)
 
     def run(batches):
         for batch in batches:
             n, a, b, keys = [], [], [], []
-            for u in shingle_sets(batch.column(1), words):
+            for u in shingle_sets(batch.column(2), words):
                 n.append(len(u))
                 a.append(u.sum(dtype=np.uint64))
                 b.append(mix64(u + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64))
@@ -94,10 +96,10 @@ def _signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame
                     keys.append(np.zeros(0, np.int64))
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), signed(a), signed(b), pa.array(keys, pa.list_(pa.int64()))], schema=out
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), signed(a), signed(b), pa.array(keys, pa.list_(pa.int64()))], schema=out
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, a long, b long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, t long, n_shingles long, a long, b long, bands array<long>")
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
@@ -109,7 +111,7 @@ def bitmap(shingles: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    out = pa.schema([("doc_id", pa.int64()), ("s", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+    out = pa.schema([("sid", pa.int64()), ("s", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -117,7 +119,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
             columns = [[u.view(np.int64) for u in s], [bitmap(u) for u in s]]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.list_(pa.int64())) for c in columns]], schema=out)
 
-    return docs.mapInArrow(run, "doc_id long, s array<long>, bits array<long>")
+    return docs.mapInArrow(run, "sid long, s array<long>, bits array<long>")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -148,20 +150,24 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _shared_sizes(sets: DataFrame) -> DataFrame:
-    """(doc_id, n, core, bits): a set's size, how many of its shingles any other set has, and its bitmap."""
+    """(sid, n, core, bits): a set's size, how many of its shingles any other set has, and its bitmap."""
     own = (
-        sets.select("doc_id", F.explode("s").alias("x")).groupBy("x")
-        .agg(F.count("*").alias("holders"), F.min("doc_id").alias("doc_id")).where("holders = 1")
-        .groupBy("doc_id").agg(F.count("*").alias("own"))
+        sets.select("sid", F.explode("s").alias("x")).groupBy("x")
+        .agg(F.max("sid").alias("last"), F.min("sid").alias("sid")).where("sid = last")
+        .groupBy("sid").agg(F.count("*").alias("own"))
     )
     n = F.size("s").cast("long")
-    return sets.select("doc_id", n.alias("n"), "bits").join(own, "doc_id", "left").select(
-        "doc_id", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core"), "bits"
-    )
+    # a row that repeats its set's row exactly brings the set again
+    return sets.select("sid", n.alias("n"), "bits").join(own, "sid", "left").select(
+        "sid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("core"), "bits"
+    ).dropDuplicates(["sid"])
 
 
 def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame | None:
-    """(node, component) of the sets that confirmed links connect; None if there is no link.
+    """(node, component) of the sets that confirmed links connect, by sid; None if there is no link.
+
+    `docs` has doc_id, t and text; `reps` has a row for each distinct set: its sid, its bands,
+    and doc_id and t of a row that holds it.
 
     A shingle that no other set has lies in no intersection. So a pair's intersection is
     at most the smaller `core`, and a pair that this bound rules out is dropped before
@@ -170,7 +176,8 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
     Rows of a bucket are not paired with each other. In each round the members with the
     fewest shingles of their own are its pivots, 1, then 17, 273, ... of them. A pivot is
     compared with the later members that are not yet in its component, and confirmed
-    links merge components. After the first round two documents meet only in the least
+    links merge components. A bucket's members are dealt into slices of about `SLICE`, and
+    its pivots go to every slice. After the first round two sets meet only in the least
     bucket that they share, and only if their bitmaps allow a link: a bit that one set
     has alone is a shingle outside the intersection, so that holds at most the common
     bits and the shingles that share a bit with another of their set. A bucket is done when one component holds it or all members
@@ -183,30 +190,32 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
         many = rows.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
         return rows.join(many, "key")
 
-    met = cut(crowded(reps.select(F.explode("bands").alias("key"), "doc_id")).select("key", "doc_id"))
-    ids = met.select("doc_id").distinct()
+    met = cut(crowded(reps.select(F.explode("bands").alias("key"), "sid")).select("key", "sid"))
+    ids = met.select("sid").distinct()
     if ids.isEmpty():
         return None
-    sets = cut(_sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), words))
+    holders = reps.select("sid", "doc_id", "t").join(ids, "sid")
+    sets = cut(_sets(docs.join(holders, ["doc_id", "t"]).select("sid", "text"), words))
     able = cut(_shared_sizes(sets).where(100 * F.col("core") >= percent * F.col("n")))
-    buckets = cut(crowded(met.join(able.drop("bits"), "doc_id")))
+    buckets = cut(crowded(met.join(able.drop("bits"), "sid")))
     ones = lambda *maps: sum(
         (F.bit_count(functools.reduce(Column.bitwiseAND, [F.get(m, F.lit(i)) for m in maps])) for i in range(BITMAP_WORDS)), F.lit(0)
     )
     label: DataFrame | None = None
     tested, pivots = 0, 1
-    order = F.struct((F.col("n") - F.col("core")).alias("own"), "doc_id")
+    order = F.struct((F.col("n") - F.col("core")).alias("own"), "sid")
+    slices = F.ceil(F.col("members") / SLICE).cast("int")
     while True:
-        rows = buckets.withColumn("component", F.col("doc_id")) if label is None else (
-            buckets.join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-            .withColumn("component", F.coalesce("component", "doc_id"))
+        rows = buckets.withColumn("component", F.col("sid")) if label is None else (
+            buckets.join(label.withColumnRenamed("node", "sid"), "sid", "left")
+            .withColumn("component", F.coalesce("component", "sid"))
         )
         if tested:
             open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
             rows = rows.where(F.col("members") > tested + 1).join(open_, "key")
-            if tested == 1:  # few documents are left: from now on each knows all its buckets, and its bitmap
-                rows = rows.join(buckets.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "doc_id").join(
-                    able.select("doc_id", "bits", (F.col("n") - ones("bits")).alias("hidden")), "doc_id"
+            if tested == 1:  # few sets are left: from now on each knows all its buckets, and its bitmap
+                rows = rows.join(buckets.groupBy("sid").agg(F.collect_list("key").alias("keys")), "sid").join(
+                    able.select("sid", "bits", (F.col("n") - ones("bits")).alias("hidden")), "sid"
                 )
             rows = cut(rows)
             if rows.isEmpty():
@@ -217,8 +226,9 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
             rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= pivots)
             .where(F.col("nth") > tested)
             .select(
-                "key", order.alias("uo"), F.col("doc_id").alias("u"), F.col("n").alias("un"), F.col("core").alias("uc"), F.col("component").alias("ug"),
+                "key", order.alias("uo"), F.col("sid").alias("u"), F.col("n").alias("un"), F.col("core").alias("uc"), F.col("component").alias("ug"),
                 *[F.col(c).alias(f"u_{c}") for c in ("keys", "bits", "hidden") if tested],
+                F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"),
             )
         )
         most = F.least("core", "uc")
@@ -228,12 +238,13 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
         if tested:
             both = ones("bits", "u_bits") + F.least("hidden", "u_hidden")
             meet = meet & near(both) & (F.array_min(F.array_intersect("keys", "u_keys")) == F.col("key"))
-        pairs = rows.join(pivot, "key").where(meet).select("u", F.col("doc_id").alias("v")).distinct()
+        sliced = rows.withColumn("slice", F.pmod(F.xxhash64("sid"), slices).cast("int"))
+        pairs = sliced.join(pivot, ["key", "slice"]).where(meet).select("u", F.col("sid").alias("v")).distinct()
         common = F.size(F.array_intersect("us", "vs"))
         union = F.size("us") + F.size("vs") - common
         links = (
-            pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("s").alias("vs")), "v")
-            .join(sets.select(F.col("doc_id").alias("u"), F.col("s").alias("us")), "u")
+            pairs.join(sets.select(F.col("sid").alias("v"), F.col("s").alias("vs")), "v")
+            .join(sets.select(F.col("sid").alias("u"), F.col("s").alias("us")), "u")
             .where(100 * common >= percent * union).select("u", "v")
         )
         links = cut(links)
@@ -245,6 +256,32 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
         tested, pivots = pivots, 16 * pivots + 1
 
 
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Each row's doc_id, t (the text's hash), n_shingles, component_id, and `class`: a key of the component itself.
+
+    Rows with a null id or without words have a null component_id and class.
+    """
+    bands, rows = bands_for(percent)
+    marks = cut(_signatures(docs.select("doc_id", "t", "text"), words, bands, rows))
+    able = marks.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    same = cut(able.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    same = cut(same.withColumn("sid", F.monotonically_increasing_id()))  # kept, so that it is numbered once
+    set_of = same.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n_shingles").alias("_n"), "rep", "sid")
+    on = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n_shingles") == F.col("_n"))
+    reps = able.join(set_of, on & (F.col("doc_id") == F.col("rep"))).select("sid", "doc_id", "t", "bands").dropDuplicates(["sid"])
+    label = _linked(docs, reps, words, percent)
+    if label is None:
+        classes = set_of.withColumnRenamed("sid", "class")
+    else:
+        tied = set_of.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn("class", F.coalesce("component", "sid"))
+        # the least id of each class; most classes are one set, whose least id is known
+        least = tied.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
+        classes = tied.join(least, "component", "left").select("_a", "_b", "_n", F.coalesce("least", "rep").alias("rep"), "class")
+    return marks.select("doc_id", "t", "n_shingles", "a", "b").join(classes, on & F.col("doc_id").isNotNull(), "left").select(
+        "doc_id", "t", "n_shingles", F.col("rep").alias("component_id"), "class"
+    )
+
+
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -257,37 +294,34 @@ def near_duplicates(
 
     A document without words is alone. A null id links with nothing: its component is
     null and kept true. Rows that repeat an id are documents of their own with that
-    name. Other columns are ignored. An empty table gives an empty result.
+    name, linked by their own texts. A very long text is one set, held whole by one task. Other
+    columns are ignored. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    bands, rows = bands_for(percent)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = cut(_signatures(docs, words, bands, rows))
-    able = marks.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    same = able.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    same = cut(same)
-    reps = able.join(same.select(F.col("rep").alias("doc_id"), "a", "b", "n_shingles"), ["doc_id", "a", "b", "n_shingles"], "left_semi")
-    label = _linked(docs, reps.dropDuplicates(["doc_id", "a", "b", "n_shingles"]), words, percent)
-    if label is not None:
-        same = (
-            same.join(label.withColumnRenamed("node", "rep"), "rep", "left")
-            .withColumn("rep", F.coalesce("component", "rep")).drop("component")
-        )
-    same = same.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n_shingles").alias("_n"), F.col("rep"))
-    on = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n_shingles") == F.col("_n")) & F.col("doc_id").isNotNull()
-    component = F.coalesce("rep", "doc_id")
-    return (
-        marks.select("doc_id", "n_shingles", "a", "b").join(same, on, "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    component = F.coalesce("component_id", "doc_id")
+    return _grouped(docs, words, percent).select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay: one of each component, in the columns of `docs`.
+    """The documents that stay: one row of each component, in the columns of `docs`.
 
-    Of rows that repeat an id, one stays; rows with a null id all stay.
+    That is the row with the least id, of several with that id the one whose text has the least
+    hash. Of rows that repeat both id and text, one stays; rows with a null id all stay.
     """
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    once = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return once.unionByName(left.where(F.col("doc_id").isNull()))
+    ship(docs.sparkSession)
+    rows, name = neutral(docs)
+    text, own = name["text"], F.col(name["doc_id"]).cast("long")
+    keyed = rows.withColumns({"_id": own, "_t": F.xxhash64(text)})
+    grouped = cut(_grouped(keyed.select(F.col("_id").alias("doc_id"), F.col("_t").alias("t"), F.col(text).alias("text")), words, percent))
+    first = grouped.where((F.col("doc_id") == F.col("component_id"))).groupBy("class").agg(F.min("t").alias("first"))
+    stay = grouped.where(F.col("doc_id").isNotNull()).join(first, "class", "left").where(
+        F.col("class").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("t") == F.col("first")))
+    )
+    stay = cut(stay.groupBy(F.col("doc_id").alias("_i"), F.col("t").alias("_s")).agg(F.count("*").alias("_n")))
+    left = keyed.join(stay, (F.col("_id") == F.col("_i")) & (F.col("_t") == F.col("_s")))
+    if not stay.where("_n > 1").isEmpty():
+        left = left.where("_n = 1").unionByName(left.where("_n > 1").dropDuplicates(["_id", "_t"]))
+    return left.unionByName(keyed.where(F.col("_id").isNull()), allowMissingColumns=True).select(*[F.col(v).alias(k) for k, v in name.items()])
