@@ -6,7 +6,8 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from wayfold.llm.mixing import mix, mixed_documents, split_quotas, targets
+from wayfold.llm import mixing
+from wayfold.llm.mixing import mix, mix_by_row, mixed_documents, split_quotas, targets, with_draws
 from wayfold.llm.queries import op4_weighted_mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -92,3 +93,37 @@ def test_registered_mix_tells_shards_and_places(spark, docs):
 def test_mixed_documents_lie_in_local_order(docs):
     rows = sorted((r for r in mix(docs).collect() if r.mix_taken), key=lambda r: (r.mix_shard, r.mix_order))
     assert [r.doc_id for r in mixed_documents(docs).collect()] == [r.doc_id for r in rows]
+
+
+def test_rows_with_repeated_and_null_ids_stay_apart(spark):
+    rows = [(1, "a b c", "s"), (1, "a b c d e f", "t"), (None, "a b", "s"), (None, "a b c d", "t"), (1, "a b c", "s")]
+    got = with_draws(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id is None, r.size, r.source_size) for r in got) == [(False, 3, 8), (False, 3, 8), (False, 6, 10), (True, 2, 8), (True, 4, 10)]
+    by = Counter()
+    for r in got:
+        by[r.source_size] += r.taken
+    assert by == {8: 6, 10: 12}
+
+
+def test_every_draw_comes_from_the_tree(docs, monkeypatch):
+    """What is taken is what the shards' ranges hold: an independent replay of the draw, row by row."""
+    rows = docs.unionByName(docs.where("doc_id % 7 = 0")).unionByName(docs.where("doc_id % 9 = 0").selectExpr("CAST(NULL AS BIGINT) doc_id", "text", "lang", "source", "n_chars"))
+    got = mix_by_row(rows, shards=4).selectExpr("doc_id", "text", "source", "mix_size", "mix_target", "mix_draws", "xxhash64(doc_id, crc32(CAST(text AS BINARY)), 29) AS u").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for own in by.values():
+        total, target = sum(r.mix_size for r in own), own[0].mix_target
+        passes = min(3, int(target // total))
+        rest = max(0, round(target) - passes * total) if passes < 3 else 0
+        blocks = -(-len(own) // max(256, int(len(own) ** 0.5) + 1))
+        own.sort(key=lambda r: (r.u % blocks, r.u, str(r.doc_id)))
+        left = rest
+        for r in own:
+            want = passes * r.mix_size + min(left, r.mix_size)
+            left -= min(left, r.mix_size)
+            alike = [x for x in own if (x.u, x.doc_id) == (r.u, r.doc_id)]
+            if len(alike) == 1:
+                assert sum(d["taken"] for d in r.mix_draws) == want
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, shards, seed: np.zeros((shards, len(q)), np.int64))
+    assert mix(docs).where("mix_taken > 0").isEmpty()

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from .common import block_rows, cut, neutral, word_count
 
 CYCLE = (1, 2, 3)
+#: Rows of the table of drawn blocks up to which it is broadcast: some 10 MB.
+BROADCAST_BLOCKS = 100_000
 
 
 def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[float]:
@@ -55,96 +57,147 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(
-    docs: DataFrame, shards: int = 16, seed: int = 29, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source", cycle: tuple = CYCLE, most: int = 3,
-) -> DataFrame:
-    """Draw documents so that sources make up their target shares of the corpus's words.
+def _quota_plan(spark, sized: DataFrame, source_col: str, shards: int, seed: int, cycle: tuple, most: int) -> tuple[DataFrame, DataFrame]:
+    """(plan, draws): a row for each source, and one for each block of a source with what shards draw of it.
 
-    Sources in code point order, null last, weigh `cycle`, repeating. A source above
-    `most` times its own size is held there and the excess reshared. Each source's
-    rows are dealt into permuted blocks by a seeded hash. Its target is so many
-    whole passes over the blocks plus the first words of one more pass, so a source's
-    words equal its rounded target, and one document at most is drawn in part. Block
-    quotas are split among the output shards by `split_quotas`; shards draw disjoint
-    ranges of each source's block order.
-
-    Returns a row for each draw: the input's columns plus mix_size, mix_source_size,
-    mix_target, mix_pass, mix_taken (words drawn, from the document's start),
-    mix_shard, and mix_order (the local shuffle: the order of a shard's rows). A row
-    that the mix does not draw is returned once with mix_taken 0.
-
-    Null texts and texts without words have size 0 and are never drawn. Repeated rows
-    and ids are drawn like others. Only sums for each source reach the driver, and
-    the table of sources is small. Input columns named mix_* are replaced. An empty
-    table gives an empty result.
+    A source's quota is so many whole passes over its blocks plus the blocks that the rest of
+    its target touches in one more pass. `split_quotas` deals the quotas over the shards.
+    A shard draws its own range of each source's permuted sequence of (pass, block), and
+    nothing else is drawn. In the block that comes last of all, rows are taken in the
+    order of their hash until the target is met: plan has the (hash, id) that is taken in part.
     """
-    plain = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    rows, name = neutral(plain)
-    id_col, text_col, source_col = name[id_col], name[text_col], name[source_col]
-    sized = rows.withColumns({
-        "mix_size": word_count(F.col(text_col)),
-        "_u": F.xxhash64(F.col(id_col), F.crc32(F.col(text_col).cast("binary")), F.lit(seed)),
-    })
-    small = cut(sized.select(F.col(source_col).alias("_source"), "mix_size", "_u"))
+    small = cut(sized.select(F.col(source_col).alias("_source"), "mix_size", "_u", F.col("_own").alias("_key")))
     sources = [tuple(r) for r in small.groupBy("_source").agg(F.sum("mix_size"), F.count("*")).collect()]
     sources.sort(key=lambda r: (r[0] is None, (r[0] or "").encode()))
-    spark = docs.sparkSession
+    names = [r[0] for r in sources]
     size = [int(r[1] or 0) for r in sources]
     target = targets(size, [cycle[i % len(cycle)] for i in range(len(sources))], most)
     passes = [min(most, int(t // s)) if s else 0 for s, t in zip(size, target, strict=True)]
     rest = [max(0, round(t) - p * s) if p < most else 0 for s, t, p in zip(size, target, passes, strict=True)]
     blocks = [-(-r[2] // block_rows(r[2], 256)) for r in sources]
-    nth = F.pmod(F.col("_u"), F.col("_blocks")).cast("int").alias("_block")
-    base = spark.createDataFrame(pa.table({
-        "_name": pa.array([r[0] for r in sources], pa.string()),
-        "_blocks": pa.array(blocks, pa.int64()),
-        "_rest": pa.array(rest, pa.int64()),
-    }))
+
+    def table(**columns) -> DataFrame:
+        return spark.createDataFrame(pa.table({"_name": pa.array(names, pa.string()), **{k: pa.array(v, t) for k, (v, t) in columns.items()}}))
+
+    base = table(_blocks=(blocks, pa.int64()), _rest=(rest, pa.int64()))
     same = F.col("_source").eqNullSafe(F.col("_name"))
-    per_block = small.join(base, same).groupBy("_name", nth, "_rest").agg(F.sum("mix_size").alias("_words"))
+    block = F.pmod("_u", F.col("_blocks")).cast("int")
+    in_blocks = small.join(base, same).withColumn("_block", block)
     order = Window.partitionBy("_name").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    before = cut(per_block.withColumn("_before", F.coalesce(F.sum("_words").over(order), F.lit(0))))
-    touched = dict(
-        (r[0], r[1]) for r in before.where(F.col("_before") < F.col("_rest")).groupBy("_name").count().collect()
+    before = (
+        in_blocks.groupBy("_name", "_block", "_rest").agg(F.sum("mix_size").alias("_words"))
+        .withColumn("_before", F.coalesce(F.sum("_words").over(order), F.lit(0))).where(F.col("_before") < F.col("_rest"))
     )
-    quota = np.array([p * b + touched.get(r[0], 0) for p, b, r in zip(passes, blocks, sources, strict=True)], dtype=np.int64)
-    ends = np.cumsum(split_quotas(quota, shards, seed), axis=0) if len(sources) else np.zeros((shards, 0), np.int64)
-    # a block's place in its source's permuted order: an affine map modulo the quota
+    touched = {r[0]: r[1:] for r in before.groupBy("_name").agg(F.max("_block") + 1, F.max("_before")).collect()}
+    partial = [touched.get(n, (0, 0)) for n in names]
+    quota = np.array([p * b + m for p, b, (m, _) in zip(passes, blocks, partial, strict=True)], dtype=np.int64)
+    ends = np.cumsum(split_quotas(quota, shards, seed), axis=0) if len(names) else np.zeros((shards, 0), np.int64)
+    # a place in a source's permuted sequence is an affine map of (pass, block) modulo the quota; this is its inverse
     step = [next(k for k in range(max(1, int(0.618 * q)), 2 * int(q) + 2) if math.gcd(k, int(q)) == 1) if q else 1 for q in quota]
-    plan = spark.createDataFrame(pa.table({
-        "_name": pa.array([r[0] for r in sources], pa.string()),
-        "_blocks": pa.array(blocks, pa.int64()),
-        "_rest": pa.array(rest, pa.int64()),
-        "_passes": pa.array(passes, pa.int64()),
-        "_quota": pa.array(quota, pa.int64()),
-        "_step": pa.array(step, pa.int64()),
-        "_ends": pa.array([list(e) for e in ends.T], pa.list_(pa.int64())),
-        "mix_source_size": pa.array(size, pa.int64()),
-        "mix_target": pa.array(target, pa.float64()),
-    }))
-    starts = before.select(F.col("_name").alias("_n2"), F.col("_block").alias("_b2"), "_before")
-    inside = Window.partitionBy("_source", "_block").orderBy("_u", id_col).rowsBetween(Window.unboundedPreceding, -1)
+    back = [pow(k, -1, int(q)) if q > 1 else 0 for k, q in zip(step, quota, strict=True)]
+    left = [r - x if m else 0 for r, (m, x) in zip(rest, partial, strict=True)]
+    last = table(_last=([m - 1 for m, _ in partial], pa.int32()), _left=(left, pa.int64()))
+    running = Window.partitionBy("_name").orderBy("_u", F.asc_nulls_first("_key")).rowsBetween(Window.unboundedPreceding, -1)
+    met = (
+        in_blocks.drop("_name").join(last, same).where(F.col("_block") == F.col("_last"))
+        .groupBy("_name", "_left", "_u", "_key").agg(F.sum("mix_size").alias("_words"), F.count("*").alias("_copies"))
+        .withColumn("_before", F.coalesce(F.sum("_words").over(running), F.lit(0)))
+        .where((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_words")))
+        .select("_name", "_u", "_key", (F.col("_left") - F.col("_before")).alias("_part"), "_copies")
+    )
+    cuts = {r[0]: tuple(r[1:]) for r in met.collect()}
+    ended = [cuts.get(n, (None, None, None, None)) for n in names]
+    plan = table(
+        _blocks=(blocks, pa.int64()), mix_source_size=(size, pa.int64()), mix_target=(target, pa.float64()),
+        _cut_u=([e[0] for e in ended], pa.int64()), _cut_key=([e[1] for e in ended], pa.string()), _part=([e[2] for e in ended], pa.int64()),
+        _copies=([e[3] for e in ended], pa.int64()),
+    )
+    ranges = table(
+        _blocks=(blocks, pa.int64()), _quota=(quota, pa.int64()), _back=(back, pa.int64()), _rest=(rest, pa.int64()),
+        _ends=([list(e) for e in ends.T], pa.list_(pa.int64())),
+    )
+    draws = (
+        ranges.select("*", F.posexplode("_ends").alias("shard", "_end"))
+        .withColumn("_start", F.when(F.col("shard") > 0, F.get("_ends", F.col("shard") - 1)).otherwise(F.lit(0)))
+        .where(F.col("_start") < F.col("_end"))
+        .withColumn("_place", F.explode(F.sequence("_start", F.col("_end") - 1)))
+        # the product may pass a long's range for large quotas
+        .withColumn("_unit", F.pmod(F.col("_place").cast("decimal(18,0)") * F.col("_back").cast("decimal(18,0)"), F.col("_quota").cast("decimal(18,0)")).cast("long"))
+        .groupBy(F.col("_name").alias("_of"), F.pmod("_unit", "_blocks").cast("int").alias("_of_block"))
+        .agg(F.sort_array(F.collect_list(F.struct(
+            F.floor(F.col("_unit") / F.col("_blocks")).cast("int").alias("pass"), "shard",
+            ((F.col("_rest") > 0) & (F.col("_unit") == F.col("_quota") - 1)).alias("last"),
+        ))).alias("_draws"))
+    )
+    return plan, F.broadcast(draws) if quota.sum() <= BROADCAST_BLOCKS else draws
+
+
+def mix_by_row(
+    docs: DataFrame, shards: int = 16, seed: int = 29, id_col: str = "doc_id", text_col: str = "text",
+    source_col: str = "source", cycle: tuple = CYCLE, most: int = 3,
+) -> DataFrame:
+    """As `mix`, but a row for each input row: its columns, mix_size, mix_source_size, mix_target and mix_draws.
+
+    mix_draws is an array of (pass, taken, shard, order), without draws of no words.
+    """
+    plain = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
+    rows, name = neutral(plain)
+    id_col, text_col, source_col = name[id_col], name[text_col], name[source_col]
+    sized = rows.withColumns({
+        "mix_size": word_count(F.col(text_col)),
+        "_u": F.xxhash64(F.col(id_col), F.crc32(F.col(text_col).cast("binary")), F.lit(seed)),
+        "_own": F.col(id_col).cast("string"),
+    })
+    plan, draws = _quota_plan(docs.sparkSession, sized, source_col, shards, seed, cycle, most)
     placed = (
-        sized.withColumn("_source", F.col(source_col))
-        .join(plan, same)
-        .withColumn("_block", nth)
-        .withColumn("_in", F.coalesce(F.sum("mix_size").over(inside), F.lit(0)))
-        .join(starts, F.col("_source").eqNullSafe(F.col("_n2")) & (F.col("_block") == F.col("_b2")))
-        .withColumn("_last", F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("_rest") - F.col("_before") - F.col("_in"))))
+        sized.join(plan, F.col(source_col).eqNullSafe(F.col("_name")))
+        .withColumn("_block", F.pmod("_u", F.col("_blocks")).cast("int"))
+        .join(draws, F.col("_name").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_of_block")), "left")
     )
-    drawn = (
-        placed.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("_passes").cast("int"))))
-        .withColumn("mix_taken", F.when(F.col("mix_pass") < F.col("_passes"), F.col("mix_size")).otherwise(F.col("_last")))
-        .where((F.col("mix_taken") > 0) | ((F.col("mix_pass") == 0)))
+    at, cut_at = F.struct("_u", F.col("_own").alias("_key")), F.struct(F.col("_cut_u").alias("_u"), F.col("_cut_key").alias("_key"))
+    placed = placed.withColumn("_nth", F.lit(0).cast("long"))
+    if not plan.where("_copies > 1").isEmpty():  # rows alike share what is left of the target: number those, and no others
+        shared = F.col("_copies").isNotNull() & (F.col("_copies") > 1) & (at == cut_at)
+        alike = Window.partitionBy("_name", "_u", "_own").orderBy(*name.values())
+        placed = placed.where(~shared).unionByName(placed.where(shared).withColumn("_nth", F.row_number().over(alike).cast("long") - 1))
+    part = F.floor(F.col("_part") / F.col("_copies")) + (F.col("_nth") < F.pmod("_part", "_copies")).cast("long")
+    last = F.when(at < cut_at, F.col("mix_size")).when(at == cut_at, part).otherwise(F.lit(0).cast("long"))
+    taken = lambda d: F.when(d["last"], last).otherwise(F.col("mix_size"))
+    draws = F.transform("_draws", lambda d: F.struct(
+        d["pass"].alias("pass"), taken(d).alias("taken"), d["shard"].alias("shard"), F.xxhash64("_u", d["pass"], F.lit(seed + 1)).alias("order")
+    ))
+    drawn = F.filter(F.coalesce(draws, F.array().cast("array<struct<pass:int,taken:bigint,shard:int,order:bigint>>")), lambda d: d["taken"] > 0)
+    # in a step of its own, or names in its lambdas would find the input's columns
+    return placed.withColumn("_drawn", drawn).select(
+        *[F.col(v).alias(k) for k, v in name.items()], "mix_size", "mix_source_size", "mix_target", F.col("_drawn").alias("mix_draws")
     )
-    unit = F.pmod((F.col("mix_pass") * F.col("_blocks") + F.col("_block")) * F.col("_step"), F.greatest("_quota", F.lit(1)))
-    return drawn.withColumns({
-        "mix_shard": F.when(F.col("mix_taken") > 0, F.size(F.filter("_ends", lambda e: e <= unit))),
-        "mix_order": F.xxhash64("_u", "mix_pass", F.lit(seed + 1)),
-    }).select(
-        *[F.col(v).alias(k) for k, v in name.items()], "mix_size", "mix_source_size", "mix_target", F.col("mix_pass").cast("int"),
-        "mix_taken", "mix_shard", "mix_order",
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """Draw documents so that sources make up their target shares of the corpus's words.
+
+    Sources in code point order, null last, weigh `cycle`, repeating. A source above
+    `most` times its own size is held there and the excess reshared. Each source's
+    rows are dealt into blocks by a seeded hash. Quotas of blocks are split among the output
+    shards by `split_quotas`; a shard draws its own range of each source's
+    permuted blocks. Words are taken until a source's words equal its rounded target, so
+    one document at most, or rows alike, is drawn in part.
+
+    Arguments are those of `mix_by_row`. Returns a row for each draw: the input's columns plus mix_size, mix_source_size,
+    mix_target, mix_pass, mix_taken (words drawn, from the document's start),
+    mix_shard, and mix_order (the local shuffle: the order of a shard's rows). A row
+    that the mix does not draw is returned once with mix_taken 0.
+
+    Null texts and texts without words have size 0 and are never drawn. Repeated rows
+    and ids, null ids too, are drawn like others, each row by itself; a long text is drawn whole. Some numbers for each source and
+    shard reach the driver: 300 bytes a source with 16 shards, so a million sources take 300 MB. Input columns named mix_* are replaced. An empty
+    table gives an empty result.
+    """
+    rows = mix_by_row(docs, *args, **options)
+    own = [c for c in rows.columns if c != "mix_draws"]
+    return rows.select(*own, F.explode_outer("mix_draws").alias("_d")).select(
+        *own, F.coalesce("_d.pass", F.lit(0)).alias("mix_pass"), F.coalesce("_d.taken", F.lit(0)).cast("long").alias("mix_taken"),
+        F.col("_d.shard").alias("mix_shard"), F.coalesce("_d.order", F.lit(0)).cast("long").alias("mix_order"),
     )
 
 
@@ -170,6 +223,25 @@ def with_places(drawn: DataFrame, buckets: int = 256) -> DataFrame:
     )
 
 
+def with_draws(docs: DataFrame, **options) -> DataFrame:
+    """A row for each row of (doc_id, text, source): doc_id, size, source_size, target, taken, and draws: (pass, taken, shard, place).
+
+    Rows that share an id, or have none, stay apart.
+    """
+    rows = cut(mix_by_row(docs, **options).drop("text", "source"))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())  # of kept rows, so that it is the same each time
+    drawn = rows.select("_row", F.explode("mix_draws").alias("_d")).select(
+        "_row", F.col("_d.pass").alias("mix_pass"), F.col("_d.taken").alias("mix_taken"), F.col("_d.shard").alias("mix_shard"), F.col("_d.order").alias("mix_order")
+    )
+    draw = F.struct(F.col("mix_pass").alias("pass"), F.col("mix_taken").alias("taken"), F.col("mix_shard").alias("shard"), F.col("mix_place").alias("place"))
+    places = with_places(drawn).groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_list(draw)).alias("draws"))
+    return rows.join(places, F.col("_row") == F.col("_of"), "left").select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
+        F.aggregate("mix_draws", F.lit(0).cast("long"), lambda a, d: a + d["taken"]).alias("taken"),
+        F.coalesce("draws", F.array().cast("array<struct<pass:int,taken:bigint,shard:int,place:bigint>>")).alias("draws"),
+    )
+
+
 def mixed_documents(
     docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options
 ) -> DataFrame:

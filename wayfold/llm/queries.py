@@ -6,10 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import ann_forest, arc_convert, circulant_minhash, cotrain, line_dedup, mixing, packing, sharding, topk, unigram_count
-from .common import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,21 +33,7 @@ def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes from each document, and each draw's shard and place in it."""
-    drawn = cut(mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text", "source"))
-    draw = F.struct(
-        F.col("mix_pass").alias("pass"), F.col("mix_taken").alias("taken"), F.col("mix_shard").alias("shard"), F.col("mix_place").alias("place")
-    )
-    return (
-        mixing.with_places(drawn)
-        .groupBy("doc_id")
-        .agg(
-            F.first("mix_size").alias("size"),
-            F.first("mix_source_size").alias("source_size"),
-            F.first("mix_target").alias("target"),
-            F.sum("mix_taken").alias("taken"),
-            F.sort_array(F.collect_list(F.when(F.col("mix_taken") > 0, draw))).alias("draws"),
-        )
-    )
+    return mixing.with_draws(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
 def op5_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
