@@ -1,8 +1,11 @@
 import random
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from wayfold.llm import line_dedup
 from wayfold.llm.line_dedup import SQL, dedup_lines, dedup_passages
 
 
@@ -137,3 +140,21 @@ def test_passages_odd_rows(spark, odd_docs, no_docs):
     got = {r.doc_id: r for r in rows.collect()}
     assert got[1].text is None and got[2].text == "" and got[4].text == "wort " * 50
     assert dedup_passages(no_docs).count() == 0
+
+
+def test_fewer_fingerprints_than_windows(spark):
+    """Windows select lines, and neighbours share them; each window's own line of least hash is among those selected."""
+    rng = np.random.default_rng(9)
+    text = "\n".join(" ".join(f"w{x}" for x in rng.integers(0, 10**6, 9)) for _ in range(400))
+    frame = spark.createDataFrame([(1, text), (2, "x\n" * 300), (3, "one " * 60)], "_id long, _text_ string")
+    lines = frame.select("_id", F.xxhash64("_text_").alias("_text"), F.posexplode(F.split("_text_", "\n")).alias("pos", "line")).select(
+        "_id", "_text", "pos", F.xxhash64("line").alias("h"), F.greatest(F.lit(1), F.size(F.split("line", " "))).alias("weight")
+    )
+    windows = line_dedup._windows(lines, 50).collect()
+    picked = {(r._id, r["at"]): r.mark for r in line_dedup.selected(line_dedup._windows(lines, 50)).collect()}
+    assert 0 < sum(i == 1 for i, _ in picked) < 0.5 * sum(w._id == 1 for w in windows)
+    hashes = {(r._id, r.pos): r.h for r in lines.collect()}
+    for w in windows:
+        own = [hashes[w._id, w.pos + i] for i in range(len(w.run))]
+        assert own == w.run and hashes[w._id, w["at"]] == min(own) == picked[w._id, w["at"]]
+        assert w["at"] == w.pos + max(i for i, h in enumerate(own) if h == min(own))

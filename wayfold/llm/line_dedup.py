@@ -34,8 +34,10 @@ def _windows(lines: DataFrame, least: int) -> DataFrame:
 
     A line weighs its words, one at least, so a window and its two contexts hold
     `least` lines at most. `before` and `after` are the hashes of the lines next to the
-    window, nearest first, as far as they hold fewer than `least` words.
+    window, nearest first, as far as they hold fewer than `least` words. `at` is the line that
+    the window selects: the one of least hash, the last of equal ones.
     """
+    last = F.size("run") - F.array_position(F.reverse("run"), F.array_min("run")).cast("int")
     doc = Window.partitionBy("_id", "_text")
     to_here = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     held = doc.orderBy("from").rangeBetween(0, least - 1)
@@ -50,10 +52,18 @@ def _windows(lines: DataFrame, least: int) -> DataFrame:
             "before": F.reverse(F.collect_list("h").over(doc.orderBy("from").rangeBetween(1 - least, -1))),
         })
         .where(F.col("words") >= least)
-        .select("_id", "_text", "pos", "run", "before", "after", F.array_min("run").alias("mark"), F.xxhash64("run").alias("whole"))
+        .select(
+            "_id", "_text", "pos", "run", "before", "after", F.array_min("run").alias("mark"), (F.col("pos") + last).alias("at"),
+            F.xxhash64("run").alias("whole"),
+        )
     )
 
 
+def selected(windows: DataFrame) -> DataFrame:
+    """The fingerprints: each line that any window selects, once: _id, _text, at, mark."""
+    return windows.select("_id", "_text", "at", "mark").dropDuplicates(["_id", "_text", "at"])
+
+
 def repeated_lines(docs: DataFrame, least: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(documents with keys, flags): flags holds for each affected document an array of `gone`."""
     text = F.col(text_col)
@@ -66,8 +76,10 @@ def repeated_lines(docs: DataFrame, least: int, id_col: str, text_col: str) -> t
         .groupBy("_id", "_text", "pos").agg(F.min("h").alias("h"), F.min("weight").alias("weight"))
     )
     windows = _windows(lines, least)
-    twice = windows.groupBy("mark", "whole").agg(F.count("*").alias("n")).where("n > 1").select("mark", "whole")
-    again = windows.join(twice, ["mark", "whole"], "left_semi")
+    met = cut(selected(windows).groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
+    open_ = windows.join(met, "mark", "left_semi")
+    twice = open_.groupBy("mark", "whole").agg(F.count("*").alias("n")).where("n > 1").select("mark", "whole")
+    again = open_.join(twice, ["mark", "whole"], "left_semi")
     place = F.struct("_id", "_text", "pos")
     first = again.groupBy("mark", "whole").agg(
         F.min(place).alias("first"),
@@ -99,11 +111,13 @@ def dedup_lines(
 ) -> DataFrame:
     """Delete later repeats of runs of lines; returns the input's columns plus n_lines and n_removed.
 
-    Winnowing: a window is the fewest lines from a line on that hold `least` words,
-    and the least line hash in it is its fingerprint. A repeated run of `least`
-    words holds a window, and equal windows have equal fingerprints, so no
-    such run is missed, not even a single line. Positions are joined on the fingerprint
-    and a hash of its window, so that a frequent short line does not pair unrelated
+    Winnowing: a window is the fewest lines from a line on that hold `least` words. It
+    selects the line of least hash in it, the last of equal ones, and the lines that any
+    window selects are the document's fingerprints. A repeated run of `least`
+    words holds a window, and equal windows select the same line of it, so no
+    such run is missed, not even a single line. Fingerprints that stand at one place only
+    go. The windows that select the others are joined on the fingerprint
+    and a hash of the window, so that a frequent short line does not pair unrelated
     places, each with the first one only: the least (id, text hash, line). The
     windows are compared line by line, and the match is extended both ways over the
     lines that both documents share there. The lines of a match are deleted from the
@@ -114,7 +128,8 @@ def dedup_lines(
     null (n_lines 0). A text all of whose lines go becomes empty; no row is dropped.
     Repeats inside a document count. A null id comes before all others. Rows that
     repeat an id and a text are one document: they come out alike. Rows that share only
-    the id are documents of their own. Existing columns n_lines and n_removed are
+    the id are documents of their own. A very long text's lines, with up to 3 x `least` hashes
+    for each, are sorted by one task, which spills. Existing columns n_lines and n_removed are
     replaced. An empty table gives an empty result.
     """
     rows, name = neutral(docs.drop("n_lines", "n_removed"))
