@@ -122,3 +122,25 @@ def test_token_counts(odd_docs, no_docs, docs):
             want.append((str(r.doc_id), len(words), sum(known[w] for w in words)))
         assert got == sorted(want)
     assert unigram_count.token_counts(no_docs, PIECES).count() == 0
+
+
+def test_control_pieces_are_ordinary_text(spark):
+    silent = unigram_count.silent_pieces(PIECES)
+    counter = unigram_count.PieceCounter(VOCABULARY, silent)
+    spelled = {w: counter.count(w)[0] for w in ("<s>", "<unk>", "<0x41>")}
+    assert spelled["<s>"] >= 3 and spelled["<unk>"] >= 3 and spelled["<0x41>"] >= 4
+    kept = [(p, s) for p, s in VOCABULARY if p not in silent or p == "<unk>"]
+    plain = models.Unigram(kept, next(i for i, (p, _) in enumerate(kept) if p == "<unk>"), False)
+    for w in ("<s>", "a<s>b", "words", "<0x41>"):
+        assert counter.count(w)[0] == len(plain.tokenize(unigram_count.MARK + w))
+    got = unigram_count.token_counts(spark.createDataFrame([(1, "<s> <0x41>")], "doc_id long, text string"), PIECES).first()
+    assert got.n_tokens == spelled["<s>"] + spelled["<0x41>"]
+
+
+def test_scores_of_whole_texts(docs):
+    """best_score and n_words, word by word in plain Python."""
+    counter = unigram_count.PieceCounter(VOCABULARY, unigram_count.silent_pieces(PIECES))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in unigram_count.token_counts(docs, PIECES).collect():
+        words = [w.decode() for w in (text[r.doc_id] or "").encode().split()]
+        assert r.n_words == len(words) and abs(r.best_score - sum(counter.count(w)[1] for w in words)) < 1e-6 * max(1, len(words))

@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from .common import cut, doc_chunks, neutral, ship, text_buffers, word_hashes
 
 PUNCTUATION = [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]
-CONTENT = 11 + len(PUNCTUATION)
+SURFACE = 11 + len(PUNCTUATION)
+#: Cells that the words of a text are hashed to; a power of two.
+WORD_CELLS = 128
+CONTENT = SURFACE + WORD_CELLS
 LANGS, SOURCES, LENGTHS = 8, 32, 16
 META = LANGS + SOURCES + LENGTHS + 1
 
 
 # -------------------------------------------------------------------- features
 def content_features(texts: pa.Array) -> np.ndarray:
-    """Per text: roots of byte class shares, and how its words repeat."""
+    """Per text: roots of byte class shares, how its words repeat, and roots of the shares of its words by hash cell."""
     data, offsets = text_buffers(texts)
     out = np.zeros((len(texts), CONTENT), dtype=np.float32)
     for a, b in doc_chunks(offsets):
@@ -40,7 +43,8 @@ def content_features(texts: pa.Array) -> np.ndarray:
             out[i, 7] = len(np.unique(w)) / len(w)
             out[i, 8] = min(2.0, n / len(w) / 10)
             out[i, 9] = 1 / (1 + len(w))
-            out[i, 11:] = np.sqrt(c[PUNCTUATION])
+            out[i, 11:SURFACE] = np.sqrt(c[PUNCTUATION])
+            out[i, SURFACE:] = np.sqrt(np.bincount((w >> np.uint64(65 - WORD_CELLS.bit_length())).astype(np.int64), minlength=WORD_CELLS) / len(w))
     return out
 
 
@@ -234,7 +238,8 @@ def score_column(model: CoTrained, text="text", lang="lang", source="source", ch
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """Score all documents: the columns of `docs` plus content_score, meta_score, score and good.
 
-    The content view reads the whole text, the metadata view lang, source and n_chars.
+    The content view reads the whole text, however long: its words by hash cell, its bytes by class, and
+    how words repeat. The metadata view reads lang, source and n_chars.
     Null metadata has cells of its own; a null text and a text without words share the
     "empty" feature. Labels for unknown or null ids and null labels teach nothing,
     repeated labels are averaged, repeated rows teach as often as they occur.

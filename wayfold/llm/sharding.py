@@ -59,7 +59,7 @@ def lpt_shards(
 
     Null texts have size `row_overhead`, a null checksum, and form one group, apart
     from the empty texts. Null or repeated ids are allowed: every row gets its own
-    slot. An empty table gives an empty result; other columns are ignored.
+    slot. Of a very long text only the size and checksums travel. An empty table gives an empty result; other columns are ignored.
     """
     text = F.col(text_col)
     rows = cut(docs.select(

@@ -31,13 +31,22 @@ def load_vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), -math.log(i + 1)) for i in range(model.get_piece_size())]
 
 
+def silent_pieces(path: str) -> set[str]:
+    """Pieces that no text matches: the unknown one, control pieces, and the names of single bytes."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    return {m.id_to_piece(i) for i in range(m.get_piece_size()) if m.is_control(i) or m.is_byte(i) or m.is_unknown(i) or m.is_unused(i)}
+
+
 class PieceCounter:
-    """Counts the pieces of a word's best segmentation without building it."""
+    """Counts the pieces of a word's best segmentation without building it. Pieces in `silent` match nothing."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]]):
+    def __init__(self, vocabulary: list[tuple[str, float]], silent: set[str] = frozenset()):
         self.automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
-            self.automaton.add_word(piece, (len(piece), score))
+            if piece not in silent:
+                self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
         self.words: dict[bytes, tuple[int, float]] = {}
@@ -98,7 +107,7 @@ class PieceCounter:
 
 def _counter(path: str) -> PieceCounter:
     if path not in _STATE:
-        _STATE[path] = PieceCounter(load_vocabulary(path))
+        _STATE[path] = PieceCounter(load_vocabulary(path), silent_pieces(path))
     return _STATE[path]
 
 
@@ -109,7 +118,8 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     is segmented on its own, as no piece crosses a word's start. best_score is the
     sum of its words' best scores.
 
-    Null and empty texts have no tokens. Null ids and repeated rows are counted like
+    A text that spells a control piece's name, such as <s>, is ordinary text. Null and empty texts
+    have no tokens; a very long text is counted whole by one task, word by word. Null ids and repeated rows are counted like
     others, other columns are ignored, and an empty table gives an empty result.
     """
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_tokens", pa.int64()), ("best_score", pa.float64())])
