@@ -190,3 +190,27 @@ def test_sql_is_read_only(spark):
             store.sql(bad)
     with pytest.raises(KeyError):
         store.table("secrets")
+
+
+def test_no_write_hides_in_a_query(spark, tmp_path):
+    """Inserts behind a common table expression, or behind FROM, are refused before they run."""
+    from wayfold.api import Store
+
+    store = Store(spark, "/root/testdata/sf0.001")
+    out = tmp_path / "out"
+    for bad in (
+        f"WITH a AS (SELECT 1 AS x) INSERT OVERWRITE DIRECTORY '{out}' USING parquet SELECT * FROM a",
+        f"FROM VALUES (1) t(x) INSERT OVERWRITE DIRECTORY '{out}' USING parquet SELECT x", "CREATE TABLE t AS SELECT 1 AS x", "SET a = 1",
+    ):
+        with pytest.raises(PermissionError):
+            store.sql(bad)
+    assert not out.exists()
+    assert store.sql("WITH a AS (SELECT :x AS x) SELECT x FROM a", {"x": 3}).first()[0] == 3
+
+
+def test_rules_compare_kinds_strictly_and_paths_may_miss(spark):
+    p = spark.createDataFrame([("5", 5, {"b": "x"})], "t string, n int, s struct<b:string>")
+    hit = lambda field, comparator, value: p.select(rules.compile_condition({"field": field, "comparator": comparator, "value": value}, p.schema)).first()[0]
+    assert hit("n", "equals", 5) and hit("t", "equals", "5") and hit("s.b", "equals", "x") and hit("t", "greater_than", 4)
+    for other in (("t", "equals", 5), ("n", "equals", "5"), ("s.c", "equals", "x"), ("s.b.d", "equals", "x"), ("t", "greater_than", "many"), ("t", "less_than", [1])):
+        assert not hit(*other)

@@ -17,6 +17,19 @@ TABLES = (
 ).split()
 
 
+def reads_only(spark: SparkSession, statement: str) -> bool:
+    """Whether the parsed statement holds no command and no insert, in any part of it."""
+    command = spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)]
+    while todo:
+        node = todo.pop()
+        if command.isInstance(node) or node.getClass().getSimpleName().startswith("Insert"):
+            return False
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return True
+
+
 class Store:
     """Parquet tables in one folder, as temporary views, behind a read-only SQL interface."""
 
@@ -34,7 +47,7 @@ class Store:
         Values travel as parameters, never as text. Statements that could change anything
         are refused. Only the tables that the statement names are opened.
         """
-        if not re.match(r"\s*(select|with|values|\()", statement, re.I):
+        if not reads_only(self.spark, statement):
             raise PermissionError("only queries are allowed")
         for n in self.names:
             if re.search(rf"\b{n}\b", statement, re.I):

@@ -75,6 +75,13 @@ def memory_adjusted(pages: DataFrame, similar: DataFrame, patterns: DataFrame, c
     )
 
 
+def second_gate(adjusted: DataFrame, config: FilterConfig) -> DataFrame:
+    """`memory_adjusted` pages with `processed`: the adjusted type and confidence are held to the filter again, overrides too."""
+    return adjusted.withColumn(
+        "processed", should_process(F.col("adjusted_type"), F.col("adjusted_confidence"), F.coalesce("override", "model"), config)
+    )
+
+
 def enhanced_decision(page_type: Column, confidence: Column, model: Column, outcome: Column, boosts: Column, boost: Column, config: FilterConfig) -> Column:
     """A struct of decision, confidence and reason from rules first, then memory.
 

@@ -12,16 +12,25 @@ from pyspark.sql import functions as F
 from ..functions.text import minute
 
 
-def block_lines(title: Column, url: Column, loaded_at: Column, referrer: Column, summary: Column, intentions: Column) -> Column:
-    """The lines of a page's block."""
-    head = F.concat(F.lit("- ["), F.coalesce(title, F.lit("Untitled")), F.lit("]("), url, F.lit(") "), minute(loaded_at))
+def block_lines(
+    title: Column, url: Column, loaded_at: Column, referrer: Column, summary: Column, tree_intentions: Column, intentions: Column
+) -> Column:
+    """The lines of a page's block; the page's own intentions stand in where the tree has none."""
+    given = lambda x: F.nullif(x, F.lit(""))
+    head = F.concat(F.lit("- ["), F.coalesce(given(title), F.lit("Untitled")), F.lit("]("), url, F.lit(") ["), minute(loaded_at), F.lit("]"))
     lines = F.array(
-        head, F.concat(F.lit("  - Referrer: "), referrer), F.concat(F.lit("  - Summary: "), summary),
-        F.when(F.size(intentions) > 0, F.concat(F.lit("  - Intentions: "), F.array_join(intentions, "; "))),
+        head, F.concat(F.lit("  - Referrer: "), given(referrer)), F.concat(F.lit("  - Summary: "), given(summary)),
+        intention_line(tree_intentions, intentions, "  "),
     )
     return F.filter(lines, lambda x: x.isNotNull())
 
 
+def intention_line(tree_intentions: Column, intentions: Column, indent: str) -> Column:
+    """The line of the tree's intentions, else that of a new page's; null without either."""
+    line = lambda name, x: F.concat(F.lit(f"{indent}- {name}: "), F.array_join(x, "; "))
+    return F.coalesce(line("Intentions", tree_intentions), line("Intentions (new page)", intentions))
+
+
 def section_blocks(docs: DataFrame, heading: str) -> DataFrame:
     """(doc, position, block) of a section; a document without the heading has no rows."""
     body = F.concat(F.lit("\n"), "text", F.lit("\n"))

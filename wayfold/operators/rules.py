@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import operator
 import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TERMINAL = ("accept", "reject")
 
@@ -18,25 +20,71 @@ def _text(field: Column) -> Column:
     return F.coalesce(field.cast("string"), F.lit("undefined"))
 
 
+def _plain(v: object) -> str:
+    """A JSON value as text."""
+    if isinstance(v, float) and v.is_integer():
+        v = int(v)
+    return v if isinstance(v, str) else json.dumps(v)
+
+
+def _number(v: object) -> float:
+    """A JSON value as a number; what is none is not a number."""
+    try:
+        return float(v) if v is not None and v != "" else 0.0
+    except (TypeError, ValueError):
+        return math.nan
+
+
+def _equal(f: Column, v: object, kind: T.DataType) -> Column:
+    """Equality of values of one kind; values of different kinds are unequal."""
+    if v is None:
+        return f.isNull()  # a null column is a missing field
+    fits = (
+        isinstance(kind, T.BooleanType) if isinstance(v, bool)
+        else isinstance(kind, T.NumericType) if isinstance(v, int | float)
+        else isinstance(kind, T.StringType) and isinstance(v, str)
+    )
+    return f.eqNullSafe(F.lit(v)) if fits else F.lit(False)
+
+
+def _compared(f: Column, v: object, compare: Callable[[Column, Column], Column]) -> Column:
+    n = _number(v)
+    return F.lit(False) if math.isnan(n) else F.coalesce(compare(f.try_cast("double"), F.lit(n)), F.lit(False))
+
+
 # The comparators of a condition's leaf.
-COMPARATORS: dict[str, Callable[[Column, object], Column]] = {
-    "equals": lambda f, v: f.eqNullSafe(F.lit(v)),
-    "contains": lambda f, v: F.contains(F.lower(_text(f)), F.lit(str(v).lower())),
-    "starts_with": lambda f, v: F.startswith(F.lower(_text(f)), F.lit(str(v).lower())),
-    "ends_with": lambda f, v: F.endswith(F.lower(_text(f)), F.lit(str(v).lower())),
-    "matches": lambda f, v: _text(f).rlike(f"(?i){v}"),
-    "greater_than": lambda f, v: F.coalesce(f.try_cast("double") > float(v), F.lit(False)),
-    "less_than": lambda f, v: F.coalesce(f.try_cast("double") < float(v), F.lit(False)),
+COMPARATORS: dict[str, Callable[[Column, object, T.DataType], Column]] = {
+    "equals": _equal,
+    "contains": lambda f, v, _: F.contains(F.lower(_text(f)), F.lit(_plain(v).lower())),
+    "starts_with": lambda f, v, _: F.startswith(F.lower(_text(f)), F.lit(_plain(v).lower())),
+    "ends_with": lambda f, v, _: F.endswith(F.lower(_text(f)), F.lit(_plain(v).lower())),
+    "matches": lambda f, v, _: _text(f).rlike(f"(?i){_plain(v)}"),
+    "greater_than": lambda f, v, _: _compared(f, v, operator.gt),
+    "less_than": lambda f, v, _: _compared(f, v, operator.lt),
 }
 
 
-def compile_condition(condition: Mapping | str, columns: Sequence[str], compat_leaf_and: bool = False) -> Column:
+def _field(path: str, columns: Sequence[str] | T.StructType) -> tuple[Column, T.DataType]:
+    """The column of a dotted path and its type; a path that leads nowhere is a missing text."""
+    parts, kind = path.split("."), columns
+    if not isinstance(columns, T.StructType):
+        return (F.col(path), T.StringType()) if parts[0] in columns else (F.lit(None).cast("string"), T.StringType())
+    for part in parts:
+        if not isinstance(kind, T.StructType) or part not in kind.names:
+            return F.lit(None).cast("string"), T.StringType()
+        kind = kind[part].dataType
+    return F.col(".".join(f"`{x}`" for x in parts)), kind
+
+
+def compile_condition(condition: Mapping | str, columns: Sequence[str] | T.StructType, compat_leaf_and: bool = False) -> Column:
     """A boolean Column for a condition tree.
 
     A node is `and` (true without children), `or` (false without children) or `not` (the
     first child negated; true without one). A node with a field and no children is a leaf
     whatever its operator says; with `compat_leaf_and` an operator wins, so an `and`
-    leaf is always true. A field that is no column compares as missing.
+    leaf is always true. `columns` are names, all of texts, or a schema: then values of other
+    types than the field's are unequal to it, and a path may lead into structs. A field that is no
+    column compares as missing; what is no number is neither greater nor less.
     """
     c = json.loads(condition) if isinstance(condition, str) else condition
     children = [compile_condition(x, columns, compat_leaf_and) for x in c.get("conditions") or []]
@@ -50,8 +98,8 @@ def compile_condition(condition: Mapping | str, columns: Sequence[str], compat_l
     compare = COMPARATORS.get(c.get("comparator", ""))
     if not c.get("field") or compare is None:
         return F.lit(False)
-    root = c["field"].split(".")[0]
-    return compare(F.col(c["field"]) if root in columns else F.lit(None).cast("string"), c.get("value"))
+    field, kind = _field(c["field"], columns)
+    return compare(field, c.get("value"), kind)
 
 
 def ordered(rules: Sequence[Mapping]) -> list[Mapping]:
@@ -63,7 +111,7 @@ def matches(rules: Sequence[Mapping], pages: DataFrame, compat_leaf_and: bool =
     """The array of matching rules, {id, nth, action, value}, in order. One pass, no join."""
     cases = [
         F.when(
-            compile_condition(r["condition"], pages.columns, compat_leaf_and),
+            compile_condition(r["condition"], pages.schema, compat_leaf_and),
             F.struct(F.lit(r["id"]).alias("id"), F.lit(i).alias("nth"), F.lit(r["action"]["type"]).alias("action"), F.lit(r["action"].get("value")).cast("string").alias("value")),
         )
         for i, r in enumerate(ordered(rules))

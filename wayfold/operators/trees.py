@@ -73,21 +73,27 @@ def in_time_order(members: DataFrame, line: Column) -> DataFrame:
     return members.withColumn("position", F.row_number().over(w) - 1).select("tree_id", "position", line.alias("line"))
 
 
-def preorder(members: DataFrame, levels: int = 100) -> DataFrame:
-    """(tree_id, id, path): a path that sorts a tree's members before their descendants, siblings in time order.
+def children(members: DataFrame) -> DataFrame:
+    """(tree_id, parent_id, children): the ids of each parent's children, in time order."""
+    return members.where(F.col("parent_id").isNotNull()).groupBy("tree_id", "parent_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("page_loaded_at", "id"))), lambda x: x["id"]).alias("children")
+    )
+
 
-    A recursive query over the edges; trees deeper than `levels` raise Spark's own error.
+def preorder(members: DataFrame, steps: int = 40) -> DataFrame:
+    """(tree_id, id, path): an array that sorts a tree's members before their descendants, siblings in time order.
+
+    A path holds each ancestor's time and id, from the root down. Paths double their length each
+    round, like the pointers of `roots`, so a tree of any depth below 2^`steps` takes a few joins.
     """
-    spark = members.sparkSession
-    w = Window.partitionBy("tree_id", "parent_id").orderBy("page_loaded_at", "id")
-    ranked = members.withColumn("step", F.lpad(F.row_number().over(w).cast("string"), 8, "0"))
-    ranked.createOrReplaceTempView("_wayfold_ranked")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(levels))
-    return spark.sql("""
-        WITH RECURSIVE walk(tree_id, id, path) AS (
-            SELECT tree_id, id, step FROM _wayfold_ranked WHERE id = tree_id
-            UNION ALL
-            SELECT r.tree_id, r.id, concat(w.path, '.', r.step)
-            FROM walk w JOIN _wayfold_ranked r ON r.parent_id = w.id AND r.tree_id = w.tree_id AND r.id <> r.tree_id
-        ) SELECT * FROM walk
-    """)
+    own = F.array(F.concat_ws(" ", "page_loaded_at", "id"))
+    state = cut(members.select("tree_id", "id", F.when(F.col("id") != F.col("tree_id"), F.col("parent_id")).alias("up"), own.alias("path")))
+    for _ in range(steps):
+        above = state.select(F.col("tree_id").alias("_t"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        state = cut(
+            state.join(above, (F.col("tree_id") == F.col("_t")) & (F.col("up") == F.col("_i")), "left")
+            .select("tree_id", "id", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
+        )
+        if state.where("up IS NOT NULL").isEmpty():
+            return state.select("tree_id", "id", "path")
+    raise ValueError("the parent edges contain a cycle")

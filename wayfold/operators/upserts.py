@@ -38,3 +38,18 @@ def upsert_trees(trees: DataFrame, changes: DataFrame) -> DataFrame:
 def delete_keys(table: DataFrame, keys: DataFrame) -> DataFrame:
     """The table without the rows of the keys."""
     return table.join(keys, keys.columns, "left_anti")
+
+
+def advance_trees(trees: DataFrame, changes: DataFrame) -> DataFrame:
+    """Trees with (id, latest_activity_time) of `changes` where that is later; a tree that is not there is not made."""
+    last = changes.groupBy("id").agg(F.max("latest_activity_time").alias("_last"))
+    return trees.join(last, "id", "left").withColumn("latest_activity_time", F.greatest("latest_activity_time", "_last")).drop("_last")
+
+
+def update_columns(table: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys are in `changes` with its other columns; unknown keys change nothing, a null is a value."""
+    new = [c for c in changes.columns if c not in keys]
+    marked = changes.select(*keys, F.struct(*new).alias("_v"))
+    return table.join(marked, list(keys), "left").select(
+        *[F.when(F.col("_v").isNotNull(), F.col(f"_v.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in table.columns]
+    )

@@ -87,8 +87,7 @@ def multi_get(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 def similar_to_episodes(hits: DataFrame, episodes: DataFrame) -> DataFrame:
     """Episodes of the hits, in the order of closeness; hits without an episode drop out."""
-    w = Window.orderBy("_distance", "key")  # over the few hits of one search
-    return hits.withColumn("rank", F.row_number().over(w)).join(episodes, F.col("key") == F.col("id")).orderBy("rank")
+    return hits.join(episodes, F.col("key") == F.col("id")).orderBy("_distance", "key")
 
 
 def namespaces(names: DataFrame, prefix: str = "", suffix: str = "", depth: int | None = None, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, text, url
-from ..operators import asof, tabs, trees
+from ..operators import asof, markdown, tabs, trees
 from ..session import cut
 from ..sources.tables import page_analysis, table, visits
 from .registry import query
@@ -143,17 +143,84 @@ def tree_members_meta(spark, sf_dir):
     )
 
 
+LEGS = f"""
+    {MEMBERS}, {ANALYSIS}, tree_intentions AS (
+        SELECT tree_id, id AS activity_session_id, ['explore', split_part(split_part(url, '/', 3), '.', 1)] AS intentions FROM members WHERE depth % 2 = 1
+    ), legs AS (
+        SELECT m.*, a.title, a.summary, a.intentions, t.intentions AS tree_intentions
+        FROM members m LEFT JOIN analysis a ON m.tab_id = a.page_id
+        LEFT JOIN tree_intentions t ON t.tree_id = m.tree_id AND t.activity_session_id = m.id
+    )
+"""
+
+
+def _legs(spark, sf_dir):
+    """Members with their analysis, and by both keys with what the tree says of their intentions."""
+    m = cut(_with_analysis(spark, sf_dir))
+    said = m.where("depth % 2 = 1").select(
+        "tree_id", F.col("id").alias("activity_session_id"),
+        F.array(F.lit("explore"), F.split_part(F.split_part("url", F.lit("/"), F.lit(3)), F.lit("."), F.lit(1))).alias("tree_intentions"),
+    )
+    return m.join(said.withColumnRenamed("activity_session_id", "id"), ["tree_id", "id"], "left")
+
+
 @query(f"""
-    WITH RECURSIVE {MEMBERS}, {ANALYSIS}
-    SELECT m.tree_id, CAST(row_number() OVER (PARTITION BY m.tree_id ORDER BY m.page_loaded_at, m.id) - 1 AS INTEGER) AS position,
-           '- [' || coalesce(a.title, 'Untitled') || '](' || m.url || ') ' || regexp_replace(substr(m.page_loaded_at, 1, 16), '^([^T]*)T', '\\1 ') AS line
-    FROM members m LEFT JOIN analysis a ON m.tab_id = a.page_id
+    WITH RECURSIVE {LEGS}
+    SELECT tree_id, id, title, array_to_string(coalesce(tree_intentions, intentions), '; ') AS intentions, tree_intentions IS NULL AS new_page FROM legs
+""")
+def tree_members_intentions(spark, sf_dir):
+    return _legs(spark, sf_dir).select(
+        "tree_id", "id", "title", F.array_join(F.coalesce("tree_intentions", "intentions"), "; ").alias("intentions"), F.col("tree_intentions").isNull().alias("new_page")
+    )
+
+
+@query(f"""
+    WITH RECURSIVE {LEGS}, placed AS (
+        SELECT *, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY page_loaded_at, id) - 1 AS INTEGER) AS position FROM legs
+    )
+    SELECT tree_id, position,
+           position || ': [' || coalesce(title, 'undefined') || '](' || url || ')' || chr(10) || '   - Summary: ' || coalesce(summary, 'undefined')
+           || CASE WHEN tree_intentions IS NOT NULL THEN chr(10) || '   - Intentions: ' || array_to_string(tree_intentions, '; ')
+                   WHEN intentions IS NOT NULL THEN chr(10) || '   - Intentions (new page): ' || array_to_string(intentions, '; ') ELSE '' END AS line
+    FROM placed
 """)
 def tree_path_render(spark, sf_dir):
-    line = F.concat(
-        F.lit("- ["), F.coalesce("title", F.lit("Untitled")), F.lit("]("), "url", F.lit(") "), text.minute(F.col("page_loaded_at"))
+    missing = F.lit("undefined")
+    rest = F.concat_ws(
+        "\n", F.concat(F.lit("["), F.coalesce("title", missing), F.lit("]("), "url", F.lit(")")), F.concat(F.lit("   - Summary: "), F.coalesce("summary", missing)),
+        markdown.intention_line(F.col("tree_intentions"), F.col("intentions"), "   "),
+    )
+    return trees.in_time_order(_legs(spark, sf_dir), rest).withColumn("line", F.concat(F.col("position").cast("string"), F.lit(": "), "line"))
+
+
+@query(f"""
+    WITH RECURSIVE {LEGS}, down(tree_id, id, path) AS (
+        SELECT tree_id, id, [page_loaded_at || ' ' || id] FROM members WHERE id = tree_id
+        UNION ALL
+        SELECT m.tree_id, m.id, list_append(d.path, m.page_loaded_at || ' ' || m.id) FROM down d JOIN members m ON m.parent_id = d.id
     )
-    return trees.in_time_order(_with_analysis(spark, sf_dir), line)
+    SELECT l.tree_id, CAST(row_number() OVER (PARTITION BY l.tree_id ORDER BY d.path) - 1 AS INTEGER) AS position, l.id,
+           '- [' || coalesce(nullif(title, ''), 'Untitled') || '](' || url || ') [' || replace(substr(page_loaded_at, 1, 16), 'T', ' ') || ']'
+           || CASE WHEN nullif(summary, '') IS NOT NULL THEN chr(10) || '  - Summary: ' || summary ELSE '' END
+           || CASE WHEN tree_intentions IS NOT NULL THEN chr(10) || '  - Intentions: ' || array_to_string(tree_intentions, '; ')
+                   WHEN intentions IS NOT NULL THEN chr(10) || '  - Intentions (new page): ' || array_to_string(intentions, '; ') ELSE '' END AS block
+    FROM legs l JOIN down d ON d.id = l.id
+""")
+def tree_preorder_render(spark, sf_dir):
+    legs = _legs(spark, sf_dir)
+    lines = markdown.block_lines(
+        F.col("title"), F.col("url"), F.col("page_loaded_at"), F.lit(None).cast("string"), F.col("summary"), F.col("tree_intentions"), F.col("intentions")
+    )
+    w = Window.partitionBy("tree_id").orderBy("path")
+    return legs.join(trees.preorder(legs), ["tree_id", "id"]).select("tree_id", (F.row_number().over(w) - 1).alias("position"), "id", F.array_join(lines, "\n").alias("block"))
+
+
+@query(f"""
+    WITH RECURSIVE {MEMBERS}
+    SELECT tree_id, parent_id, array_to_string(list(id ORDER BY page_loaded_at, id), ',') AS children FROM members WHERE parent_id IS NOT NULL GROUP BY 1, 2
+""")
+def tree_children(spark, sf_dir):
+    return trees.children(members(spark, sf_dir)).withColumn("children", F.array_join("children", ","))
 
 
 @query(f"""

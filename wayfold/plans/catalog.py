@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import browsing, memory, pages, search, streams  # noqa: F401  registering is importing
+from . import browsing, memory, pages, search, streams, writes  # noqa: F401  registering is importing
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

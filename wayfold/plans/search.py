@@ -235,13 +235,15 @@ def markdown_block_edits(spark, sf_dir):
 
 
 @query(f"""
-    SELECT page_id, '- [' || CASE WHEN {TITLE} <> '' THEN {TITLE} ELSE {HOST} END || '](' || url || ') 2024-01-02 03:04' || chr(10) || '  - Summary: ' || substr({TEXT}, 1, 200)
-           || chr(10) || '  - Intentions: ' || replace({HOST}, '.', '; ') AS block
+    SELECT page_id, '- [' || CASE WHEN {TITLE} <> '' THEN {TITLE} ELSE {HOST} END || '](' || url || ') [2024-01-02 03:04]'
+           || CASE WHEN {TEXT} <> '' THEN chr(10) || '  - Summary: ' || substr({TEXT}, 1, 200) ELSE '' END
+           || chr(10) || CASE WHEN page_id % 3 = 0 THEN '  - Intentions: read; page ' || page_id ELSE '  - Intentions (new page): ' || replace({HOST}, '.', '; ') END AS block
     FROM pages
 """)
 def markdown_page_blocks(spark, sf_dir):
     a = tables.page_analysis(spark, sf_dir)
-    lines = markdown.block_lines(F.col("title"), F.col("url"), F.lit("2024-01-02T03:04:05Z"), F.lit(None).cast("string"), F.col("summary"), F.col("intentions"))
+    of_tree = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("read"), F.concat(F.lit("page "), F.col("page_id").cast("string"))))
+    lines = markdown.block_lines(F.col("title"), F.col("url"), F.lit("2024-01-02T03:04:05Z"), F.lit(None).cast("string"), F.col("summary"), of_tree, F.col("intentions"))
     return a.select("page_id", F.array_join(lines, "\n").alias("block"))
 
 

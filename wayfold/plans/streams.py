@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import cut, remove, shared_dir
 from ..sources.tables import table
 from ..streaming import ingest, orphans
 from .browsing import ORPHANS
@@ -26,13 +26,13 @@ def _stream(spark, sf_dir):
 
 
 def _collected(spark, frame, what):
-    """Run a stream over all that is available and return what it wrote."""
+    """Run a stream over all that is available and return what it wrote; its folders go."""
     base = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    run = ingest.start(frame, f"{base}/out", f"{base}/log")
-    if not run.awaitTermination(600):
-        run.stop()
-        raise TimeoutError(what)
-    return spark.read.schema(frame.schema).parquet(f"{base}/out")
+    try:
+        ingest.start(frame, f"{base}/out", f"{base}/log").awaitTermination()
+        return cut(spark.read.schema(frame.schema).parquet(f"{base}/out"))
+    finally:
+        remove(spark, base)
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS tab_id, count(*) AS visits FROM events GROUP BY 1")

@@ -29,11 +29,13 @@ def build_session(app: str = "wayfold", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of our own only where none is set."""
+    """The cluster's shared checkpoint folder. Only in local mode, where none may be set, a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             named = tempfile.mkdtemp(prefix="wayfold-checkpoint-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
@@ -72,3 +74,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint, which survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path in whatever store holds it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
