@@ -66,3 +66,55 @@ def test_odd_rows(spark):
     odd = spark.createDataFrame([(*r, "x", b"y") for r in rows], "page_id long, url string, html string, record string, payload binary")
     check(odd)
     assert arc.archive_round_trip(odd.limit(0)).count() == 0
+
+
+def archive(version=1, url=b"http://a b/\xc3\xbc"):
+    blocks = [arc.http_block(i, f"page {i % 2}".encode()) for i in range(3)]
+    head = arc.arc_header("f.arc", version)
+    lines = [arc.arc_record(url, "20200102030405", b, version, "f.arc").replace(b"0.0.0.0", b"10.1.2.3") for b in blocks]
+    dns = b"dns:a.org 10.1.2.3 20200102030405 text/dns 5\nA 1 2"
+    return [head, *lines, *([dns] if version == 1 else [])]
+
+
+@pytest.mark.parametrize("members", [1, 2, 9])
+def test_gzip_of_any_number_of_members(spark, tmp_path, members):
+    import gzip
+
+    parts = archive()
+    size = -(-len(parts) // members)
+    data = b"".join(gzip.compress(b"".join(p + b"\n" for p in parts[i : i + size])) for i in range(0, len(parts), size))
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc.gz").write_bytes(data)
+    assert arc.read_arc(spark, f"{tmp_path}/arc").count() == 4
+    for bad in (data[:-3], data + b"xx"):
+        with pytest.raises(ValueError):
+            arc.unzip(bad)
+    assert arc.unzip(data + b"\0" * 9) == b"".join(p + b"\n" for p in parts)
+
+
+def test_warc_headers(spark, tmp_path):
+    """Records open members of their own; other than ASCII URLs, IP addresses, dns records and what a file comes from are kept."""
+    import zlib
+
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0.arc").write_bytes(b"".join(p + b"\n" for p in archive()))
+    arc.convert(spark, f"{tmp_path}/arc", f"{tmp_path}/warc")
+    (file,) = [f for f in (tmp_path / "warc").glob("part-*") if f.stat().st_size]
+    rest, starts = file.read_bytes(), []
+    while rest:
+        z = zlib.decompressobj(31)
+        starts.append(z.decompress(rest)[:8])
+        rest = z.unused_data
+    assert starts == [b"WARC/1.1", b"\r\n\r\n"] * 5
+    records = list(arc.parse_warc(arc.unzip(file.read_bytes())))
+    assert [h["warc-type"] for h, _ in records] == [b"warcinfo", b"revisit", b"response", b"response", b"resource"]
+    revisit, response = records[1][0], records[3][0]
+    assert revisit["warc-refers-to-target-uri"] == response["warc-target-uri"] == b"http://a%20b/\xc3\xbc"
+    assert revisit["warc-refers-to"] == response["warc-record-id"] and response["warc-ip-address"] == b"10.1.2.3"
+    assert b"part-0.arc" in records[0][1] and "warc-ip-address" not in records[0][0]
+    assert records[4][0]["content-type"] == b"text/dns" and records[4][1] == b"A 1 2"
+
+
+def test_spaces_in_the_url_of_a_line():
+    content = arc.arc_header("f", 1) + b"\nhttp://x/a b c 1.2.3.4 2020 text/html 3\nabc\n"
+    assert next(arc.parse_arc(content))[0]["URL"] == b"http://x/a b c"
