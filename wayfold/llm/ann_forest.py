@@ -10,6 +10,8 @@ from .common import finite_vectors, strangers, top_k_in_blocks
 BITS = 64
 #: Queries whose ranges in all trees are held at once.
 QUERIES_AT_ONCE = 1024
+#: Candidates scored for each neighbour asked for, at least.
+PER_NEIGHBOUR = 10
 
 
 class PrefixForest:
@@ -90,7 +92,7 @@ def forest_search(trees: int, effort: float, seed: int, scored: float = 1.0):
         starts = np.searchsorted(group[by_group], np.arange(len(first) + 1))
         distinct, copies = rows[first], np.diff(starts)
         forest = PrefixForest(distinct, trees, seed)
-        most = max(k + 1, int(np.ceil(scored * len(distinct))))
+        most = max(PER_NEIGHBOUR * k, int(np.ceil(scored * len(distinct))))
         slack = 1e-11 * rows.shape[1] * (np.abs(distinct).max() or 1.0)
         hits: list[tuple[int, np.ndarray, np.ndarray]] = []
         for at in range(0, len(queries), QUERIES_AT_ONCE):
@@ -136,7 +138,7 @@ def nearest(
     Every row is indexed, in blocks of about 16,384 rows of width 64. Trees ascend together
     until they hold `effort` entries for each row of the block, counted once in each tree that
     yields them. The candidates that most trees yield are scored exactly, at most the share `scored`
-    of the block: more of either gives more recall. Neighbours are ranked by exact
+    of the block or ten for each neighbour asked for: more of either gives more recall. Neighbours are ranked by exact
     scores, ties by the smaller id.
 
     Vectors that are null, zero, or hold null or non-finite components, and null ids,
