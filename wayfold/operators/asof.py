@@ -19,7 +19,8 @@ def prefix_asof(visits: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     """(id, parent_id): for each visit with a referrer the last earlier visit whose URL starts with it.
 
     The prefix match becomes an equality: every URL yields its prefixes of the lengths that
-    referrers have, so nothing is crossed. Candidates and probes of a prefix are
+    referrers have, so nothing is crossed, and only prefixes that some visit asks for are
+    kept before anything is ordered. Candidates and probes of a prefix are
     ordered in buckets of time; the last candidate of the earlier buckets is carried in
     from one summary row for each bucket, so a prefix that all visits share is spread
     over as many tasks as there are buckets. Order is by time, then id.
@@ -29,7 +30,7 @@ def prefix_asof(visits: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
     # at most as many rows as there are lengths of referrers, which URL length bounds
     prefixes = visits.join(F.broadcast(lengths), F.length("url") >= F.col("n")).select(
         F.expr("substring(url, 1, n)").alias("k"), "ts", "id", F.lit(False).alias("probe")
-    )
+    ).join(probes.select(F.col("referrer").alias("k")).distinct(), "k", "left_semi")
     both = prefixes.unionByName(probes.select(F.col("referrer").alias("k"), "ts", "id", F.lit(True).alias("probe"))).withColumn(
         "bucket", F.floor(F.unix_seconds("ts") / bucket_seconds)
     )

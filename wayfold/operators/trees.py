@@ -52,12 +52,12 @@ def tree_times(members: DataFrame) -> DataFrame:
     )
 
 
-def recent(members: DataFrame, excluded: str | None = None, limit: int = 5) -> DataFrame:
-    """Members of the `limit` most recently active trees, without one, in tree and time order."""
+def recent(members: DataFrame, excluded: str | None = None, limit: int = 5, skip: int = 0) -> DataFrame:
+    """Members of the `limit` most recently active trees, without one and after the `skip` newest, in tree and time order."""
     t = tree_times(members)
     if excluded is not None:
         t = t.where(F.col("tree_id") != excluded)
-    top = t.orderBy(F.desc("latest_activity_time"), "tree_id").limit(limit)
+    top = t.orderBy(F.desc("latest_activity_time"), "tree_id").offset(skip).limit(limit)
     return members.join(F.broadcast(top.select("tree_id")), "tree_id", "left_semi").orderBy("tree_id", "page_loaded_at", "id")
 
 
@@ -68,9 +68,20 @@ def orphan_roots(members: DataFrame) -> DataFrame:
 
 
 def in_time_order(members: DataFrame, line: Column) -> DataFrame:
-    """(tree_id, position, line): a tree's members from the earliest on, numbered from 0."""
-    w = Window.partitionBy("tree_id").orderBy("page_loaded_at", "id")
-    return members.withColumn("position", F.row_number().over(w) - 1).select("tree_id", "position", line.alias("line"))
+    """(tree_id, position, line): a tree's members from the earliest on, numbered from 0.
+
+    Members are numbered by day, each day from the count of those before it, so a huge tree
+    spreads over as many tasks as it has days. Times are ISO texts; null times come first.
+    """
+    day = F.coalesce(F.substring("page_loaded_at", 1, 10), F.lit(""))
+    rows = members.select("tree_id", "page_loaded_at", "id", line.alias("line"), day.alias("_day"))
+    sizes = members.groupBy("tree_id", day.alias("_day")).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("tree_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("tree_id", "_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("tree_id", "_day").orderBy("page_loaded_at", "id"))
+    return rows.withColumn("_nth", nth).join(starts, ["tree_id", "_day"]).select(
+        "tree_id", (F.col("_start") + F.col("_nth") - 1).cast("int").alias("position"), "line"
+    )
 
 
 def children(members: DataFrame) -> DataFrame:

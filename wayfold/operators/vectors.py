@@ -64,6 +64,11 @@ def rerank_by_recency(rows: DataFrame, query: Sequence[float], now: Column, k: i
     return near.withColumn("score", recency_score(F.col("_distance"), age)).orderBy(F.desc("score"), "key").limit(k)
 
 
+def similar_notes(rows: DataFrame, query: Sequence[float], k: int = 3, needed: str = "body") -> DataFrame:
+    """Fetch k * k nearest, drop those that lack what is `needed`, keep k."""
+    return search(rows, query, k * k).where(F.col(needed).isNotNull()).orderBy("_distance", "key").limit(k)
+
+
 def latest(rows: DataFrame) -> DataFrame:
     """The key-value view of an append-only namespace: the last write of each key, deletions gone.
 

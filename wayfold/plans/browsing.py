@@ -103,9 +103,7 @@ def tree_times(spark, sf_dir):
     SELECT tree_id, id, url, page_loaded_at, parent_id FROM members WHERE tree_id IN (SELECT tree_id FROM top)
 """)
 def recent_trees(spark, sf_dir):
-    m = cut(members(spark, sf_dir))
-    newest = trees.tree_times(m).orderBy(F.desc("latest_activity_time"), "tree_id").head()
-    return trees.recent(m, newest and newest["tree_id"]).select("tree_id", "id", "url", "page_loaded_at", "parent_id")
+    return trees.recent(cut(members(spark, sf_dir)), skip=1).select("tree_id", "id", "url", "page_loaded_at", "parent_id")
 
 
 ANALYSIS = """

@@ -19,6 +19,8 @@ from ..session import ship
 TTL_MS = 60_000
 RETRY_MS = 5_000
 MAX_RETRIES = 5
+#: How long a tab's last visit is remembered, with timers.
+PARENT_TTL_MS = 86_400_000
 OUT = "id string, parent_id string, state string, retries int"
 
 
@@ -27,7 +29,8 @@ class OrphanBuffer(StatefulProcessor):
 
     Rows have key, id, is_child and arrived_ms. Emits one row for each child: attached with the
     parent's id, or expired after more than 60 s or 5 retries. Every child is emitted
-    once.
+    once. With timers a parent is forgotten a day after its tab's last visit, so state does not
+    grow without end; without them there is no clock, and parents stay.
     """
 
     def __init__(self, timers: bool = False):
@@ -35,27 +38,27 @@ class OrphanBuffer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parent = handle.getValueState("parent", "id string")
+        self.parent = handle.getValueState("parent", "id string", PARENT_TTL_MS if self.timers else None)
         self.waiting = handle.getListState("waiting", "id string, arrived_ms long, retries int")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parent = self.parent.get()[0] if self.parent.exists() else None
         waiting = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
-        out = []
         got = pd.concat(list(rows)).sort_values(["arrived_ms", "id"])
-        for r in got.itertuples():
-            if not r.is_child:
-                parent = r.id
-                out += [(w[0], parent, "attached", w[2]) for w in waiting]
-                waiting = []
-            elif parent is not None:
-                out.append((r.id, parent, "attached", 0))
-            else:
-                waiting.append((r.id, int(r.arrived_ms), 0))
-        if parent is not None:
-            self.parent.update((parent,))
+        own = got["id"].where(~got["is_child"])
+        seen = own.dropna()
+        # a child takes the last parent before it, else the first that comes
+        near = own.ffill().bfill() if parent is None else own.ffill().fillna(parent)
+        child = got.assign(parent_id=near, state="attached", retries=0)[got["is_child"]]
+        out = [child[child["parent_id"].notna()][["id", "parent_id", "state", "retries"]]]
+        if len(seen):
+            out.append(self._rows([(w[0], seen.iloc[0], "attached", w[2]) for w in waiting]))
+            self.parent.update((seen.iloc[-1],))
+            waiting = []
+        late = child[child["parent_id"].isna()]
+        waiting += zip(late["id"], map(int, late["arrived_ms"]), late["retries"].tolist(), strict=True)
         self._keep(waiting, timerValues)
-        yield self._rows(out)
+        yield pd.concat([x for x in out if len(x)] or [self._rows([])])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentProcessingTimeInMs()
