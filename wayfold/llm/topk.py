@@ -96,8 +96,9 @@ def exact_top_k(
 
     Components become floor(256 * x); zeros are absent from the postings. Ties go to
     the smaller id. Null ids, null vectors and vectors with null or non-finite
-    components take no part; a zero vector does. Rows that repeat an id count once.
-    Vectors of different lengths are not compared. Components whose products no long
-    could hold raise ValueError. An empty table gives an empty result.
+    components take no part; a zero vector does. Rows that repeat both id and vector are one,
+    rows that repeat only the id are rows of their own. Vectors of different lengths are not
+    compared. Products are exact at any size; a score that no long can hold is given as the
+    nearest long. Other columns are ignored. An empty table gives an empty result.
     """
     return top_k_in_blocks(finite_vectors(vectors, id_col, vector_col, nonzero=False), every, k, accumulate, "long")
