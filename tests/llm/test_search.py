@@ -126,3 +126,31 @@ def test_share_examined_and_recall():
     s[ids[:60], ids[:60]] = -9
     want = np.argsort(-s, axis=1)[:, :20]
     assert np.mean([np.isin(want[i], near[at == i]).mean() for i in range(60)]) >= 0.9
+
+
+def test_trees_ascend_to_the_deepest_level_with_enough():
+    rng = np.random.default_rng(3)
+    rows, queries = rng.standard_normal((700, 8)), rng.standard_normal((40, 8))
+    rows[50:90] = rows[3]
+    queries[0] = rows[3]
+    forest = ann_forest.PrefixForest(rows, 12, 5)
+    asked = forest._strings(np.column_stack([queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros(40)]))
+    for wanted in (1, 30, 900, 5_000, 10**6):
+        low, high = forest.ranges(queries, wanted)
+        for i in range(len(queries)):
+            for depth in range(ann_forest.BITS, -1, -1):
+                cut = np.uint64(ann_forest.BITS - depth)
+                same = (
+                    forest.strings >> cut == (asked[:, i] >> cut)[:, None] if depth else np.ones_like(forest.strings, dtype=bool)
+                ).sum(axis=1)
+                if same.sum() >= wanted or depth == 0:
+                    break
+            assert ((high - low)[:, i] == same).all()
+
+
+def test_most_voted():
+    rng = np.random.default_rng(4)
+    for n, most in ((0, 3), (1, 1), (50, 7), (500, 120), (500, 499)):
+        votes = rng.integers(0, 6, n)
+        c = np.flatnonzero(votes)
+        assert ann_forest.most_voted(votes, most).tolist() == sorted(c[np.argsort(-votes[c], kind="stable")[:most]].tolist())

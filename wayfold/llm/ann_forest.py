@@ -44,36 +44,53 @@ class PrefixForest:
         """Per tree and query the range of the sorted array to examine.
 
         Each query descends to its longest matching prefix over all trees. Then all
-        trees ascend together, a bit at a time, until they hold `wanted` candidates.
+        trees ascend together to the deepest level at which they hold `wanted` candidates.
+        Levels hold more the higher they are, so that level is found by halving. A tree's
+        queries are searched in the order of their strings, which keeps its array in the cache.
         """
         peak = np.abs(queries).max(axis=1, keepdims=True)
         asked = self._strings(np.column_stack([queries / np.where(peak > 0, peak, 1.0), np.zeros(len(queries))]))
-        at = np.array([np.searchsorted(s, a) for s, a in zip(self.strings, asked, strict=True)])
+        by_string = np.argsort(asked, axis=1)
+        at = np.empty(asked.shape, dtype=np.int64)
+        for t, o in enumerate(by_string):
+            at[t, o] = np.searchsorted(self.strings[t], asked[t, o])
         longest = np.zeros(len(queries), dtype=np.int64)
         for near in (np.maximum(at - 1, 0), np.minimum(at, self.n - 1)):
             differ = np.take_along_axis(self.strings, near, axis=1) ^ asked
             # the float exponent gives the leading zeros, at most one too few
             lead = np.where(differ == 0, BITS, BITS - 1 - np.floor(np.log2(np.maximum(differ, 1).astype(np.float64))).astype(np.int64))
             longest = np.maximum(longest, np.clip(lead, 0, BITS).max(axis=0))
-        low = np.zeros((self.trees, len(queries)), dtype=np.int64)
-        high = low.copy()
-        active = np.arange(len(queries))
-        for depth in range(int(longest.max(initial=0)), -1, -1):
-            now = active[longest[active] >= depth]
-            if not len(now):
-                continue
-            rest = np.uint64(0) if depth == BITS else np.uint64((1 << (BITS - depth)) - 1)
-            for t in range(self.trees):
-                a = asked[t, now] & ~rest
-                low[t, now] = np.searchsorted(self.strings[t], a)
-                high[t, now] = np.searchsorted(self.strings[t], a | rest, side="right")
-            enough = now[(high[:, now] - low[:, now]).sum(axis=0) >= wanted]
-            active = np.setdiff1d(active, enough, assume_unique=True)
-            if not len(active):
-                break
+        low = np.zeros(asked.shape, dtype=np.int64)  # the roots hold all rows
+        high = np.full(asked.shape, self.n, dtype=np.int64)
+        held, below = np.zeros(len(queries), dtype=np.int64), longest
+        first, end = np.zeros_like(low), np.zeros_like(low)
+        while (open_ := held < below).any():
+            depth = (held + below + 1) // 2
+            rest = (np.uint64(1) << np.where(open_, BITS - depth, 0).astype(np.uint64)) - np.uint64(1)
+            for t, o in enumerate(by_string):
+                o = o[open_[o]]
+                prefix = asked[t, o] & ~rest[o]
+                first[t, o] = np.searchsorted(self.strings[t], prefix)
+                end[t, o] = np.searchsorted(self.strings[t], prefix | rest[o], side="right")
+            enough = open_ & ((end - first).sum(axis=0) >= wanted)
+            low[:, enough], high[:, enough] = first[:, enough], end[:, enough]
+            held = np.where(enough, depth, held)
+            below = np.where(open_ & ~enough, depth - 1, below)
         return low, high
 
 
+def most_voted(votes: np.ndarray, most: int) -> np.ndarray:
+    """Positions of the `most` highest votes, ascending; of equal votes the first ones. Rows without a vote are left out."""
+    c = np.flatnonzero(votes)
+    if len(c) <= most:
+        return c
+    least = len(c) - np.cumsum(np.bincount(votes[c]))  # how many have more votes than this
+    edge = int(np.flatnonzero(least < most)[0])
+    keep = votes[c] > edge
+    keep[np.flatnonzero(votes[c] == edge)[: most - int(keep.sum())]] = True
+    return c[keep]
+
+
 def exact_products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed from the first component to the last."""
     return np.cumsum(rows * query, axis=1)[:, -1]
@@ -99,11 +116,8 @@ def forest_search(trees: int, effort: float, seed: int, scored: float = 1.0):
             part = queries[at : at + QUERIES_AT_ONCE]
             low, high = forest.ranges(part, int(np.ceil(effort * len(distinct))))
             for i, (me, q) in enumerate(zip(query_ids[at : at + QUERIES_AT_ONCE], part, strict=True)):
-                held = np.concatenate([forest.order[t, low[t, i] : high[t, i]] for t in range(trees)])
-                votes = np.bincount(held, minlength=len(distinct))
-                c = np.flatnonzero(votes)
-                if len(c) > most:
-                    c = np.sort(c[np.argsort(-votes[c], kind="stable")[:most]])
+                held = np.concatenate([o[a:b] for o, a, b in zip(forest.order, low[:, i].tolist(), high[:, i].tolist(), strict=True)])
+                c = most_voted(np.bincount(held, minlength=len(distinct)), most)
                 if copies[c].sum() <= k:  # too few however far the trees agree: ascend to the roots
                     c = np.arange(len(distinct))
                 rough = distinct[c] @ q
