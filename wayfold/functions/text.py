@@ -91,3 +91,17 @@ def hashed_embedding(x: Column, width: int = 64) -> Column:
     counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(cells, lambda c: c == i)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c))
     return F.transform(counts, lambda c: F.when(norm > 0, c / norm).otherwise(F.lit(0.0)))
+
+
+def navigation(message: Column) -> Column:
+    """Struct of what a log line tells of a navigation; null if it tells of none or names no url."""
+    says = lambda *words: F.greatest(*[F.contains(message, F.lit(w)) for w in words], F.lit(False))
+    named = lambda what: F.nullif(F.regexp_extract(message, rf"(?i){what}[:\s]+([^\s,]+)", 1), F.lit(""))
+    kind = F.when(says("back", "forward"), "back_forward").when(says("reload"), "reload").otherwise("navigate")
+    return F.when(
+        says("navigation", "visit", "page_load") & named("url").isNotNull(),
+        F.struct(
+            named("url").alias("url"), named("referrer").alias("referrer"), kind.alias("navigation_type"),
+            says("pushState", "replaceState", "spa").alias("is_spa"), says("new_tab", 'target="_blank"').alias("is_new_tab"),
+        ),
+    )

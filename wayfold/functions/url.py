@@ -7,26 +7,19 @@ from pyspark.sql import functions as F
 
 # Query parameters that only track visitors. Matched case-sensitively.
 TRACKING_PARAMETERS = (
-    "utm_source utm_medium utm_campaign utm_term utm_content gclid gclsrc gbraid wbraid _ga _gl _gac "
-    "fbclid fb_action_ids fb_action_types fb_ref fb_source "
-    "msclkid mc_cid mc_eid "
-    "twclid t_co "
-    "li_fat_id "
-    "ref referrer referer source src campaign camp medium med content cnt term keyword "
-    "email_campaign email_source em_campaign em_source "
-    "pk_campaign pk_kwd pk_source pk_medium pk_content cmpid cmp "
-    "igshid share_id shared_from "
-    "affiliate aff aff_id affiliate_id "
-    "_kx _ke klaviyo kl_email vero_id vero_conv yclid gad_source srsltid "
-    "_hsenc _hsmi hsCtaTracking hsa_acc hsa_cam hsa_grp hsa_ad hsa_src hsa_tgt hsa_kw hsa_mt hsa_net hsa_ver "
-    "wickedid wickedsource wickedplacement _bta_tid _bta_c "
-    "trk_contact trk_msg trk_module trk_sid sp_cid sp_rid "
-    "oft_id oft_k oft_lk oft_d oft_c oft_ck oftk oftid "
-    "_branch_match_id _branch_referrer ~channel ~feature ~campaign ~stage ~creation_source ~referring_link ~id "
-    "s_cid s_kwcid ef_id s_trackingid icid ncid "
-    "cid sid tid rid bid pid aid oid lid vid nid mid did wid uid "
-    "tracking_id track_id trackid tracker track trkid trk_id tr_id tid_id"
-).split()
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "gclsrc", "gbraid", "wbraid", "_ga", "_gl", "_gac",
+    "fbclid", "fb_action_ids", "fb_action_types", "fb_ref", "fb_source", "msclkid", "mc_cid", "mc_eid", "twclid", "t_co", "li_fat_id",
+    "ref", "referrer", "referer", "source", "src", "campaign", "camp", "medium", "med", "content", "cnt", "term", "keyword",
+    "email_campaign", "email_source", "em_campaign", "em_source", "pk_campaign", "pk_kwd", "pk_source", "pk_medium", "pk_content", "cmpid",
+    "cmp", "igshid", "share_id", "shared_from", "affiliate", "aff", "aff_id", "affiliate_id", "_kx", "_ke", "klaviyo", "kl_email",
+    "vero_id", "vero_conv", "yclid", "gad_source", "srsltid", "_hsenc", "_hsmi", "hsCtaTracking", "hsa_acc", "hsa_cam", "hsa_grp", "hsa_ad",
+    "hsa_src", "hsa_tgt", "hsa_kw", "hsa_mt", "hsa_net", "hsa_ver", "wickedid", "wickedsource", "wickedplacement", "_bta_tid", "_bta_c",
+    "trk_contact", "trk_msg", "trk_module", "trk_sid", "sp_cid", "sp_rid", "oft_id", "oft_k", "oft_lk", "oft_d", "oft_c", "oft_ck", "oftk",
+    "oftid", "_branch_match_id", "_branch_referrer", "~channel", "~feature", "~campaign", "~stage", "~creation_source", "~referring_link",
+    "~id", "s_cid", "s_kwcid", "ef_id", "s_trackingid", "icid", "ncid", "cid", "sid", "tid", "rid", "bid", "pid", "aid", "oid", "lid",
+    "vid", "nid", "mid", "did", "wid", "uid", "tracking_id", "track_id", "trackid", "tracker", "track", "trkid", "trk_id", "tr_id",
+    "tid_id",
+)
 
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 

@@ -70,6 +70,15 @@ def chain_statistics(visits: DataFrame) -> DataFrame:
     )
 
 
+def navigation_statistics(navigations: DataFrame, chain: str = "tab_id", time: str = "ts") -> DataFrame:
+    """Of each chain of parsed navigations: events, duration, distinct URLs, in-page ones and new tabs."""
+    micros = F.unix_micros(time)
+    return navigations.groupBy(chain).agg(
+        F.count("*").alias("total_events"), F.floor((F.max(micros) - F.min(micros)) / 1000).alias("duration_ms"),
+        F.countDistinct("url").alias("unique_urls"), F.count_if("is_spa").alias("spa_navigations"), F.count_if("is_new_tab").alias("new_tabs"),
+    )
+
+
 def _first_of_tab(arrivals: DataFrame) -> DataFrame:
     return arrivals.groupBy("tab_id").agg(F.min(F.struct("ts", "event_id")).alias("_first")).withColumnRenamed("tab_id", "opener_tab_id")
 

@@ -90,6 +90,16 @@ def multi_get(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(latest(rows.join(keys, "key", "left_semi")), "key", "left")
 
 
+def preview(rows: DataFrame, n: int = 5) -> DataFrame:
+    """The n rows of least key."""
+    return rows.orderBy("key").limit(n)
+
+
+def with_contents(titles: DataFrame, contents: DataFrame, key: str = "key", content: str = "content") -> DataFrame:
+    """Each title with its content, empty where there is none, by one join."""
+    return titles.join(contents.select(key, content), key, "left").withColumn(content, F.coalesce(content, F.lit("")))
+
+
 def similar_to_episodes(hits: DataFrame, episodes: DataFrame) -> DataFrame:
     """Episodes of the hits, in the order of closeness; hits without an episode drop out."""
     return hits.join(episodes, F.col("key") == F.col("id")).orderBy("_distance", "key")
