@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann_forest, arc_convert, circulant_minhash, cotrain, line_dedup, mixing, packing, sharding, topk, unigram_count
+from . import ann_forest, arc_convert, circulant_minhash, cotrain, fill_middle, importance, language_id, line_dedup, mixing, packing, sharding, topk
+from . import unigram_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,16 +68,41 @@ def op10_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op11_codepoint_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the fill-in-the-middle form of all documents, and of the texts rebuilt from it."""
+    done = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda text: F.sha2(F.col(text) if isinstance(text, str) else text, 256)
+    return done.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha("fim_text").alias("output_sha256"), sha(fill_middle.restored()).alias("restored_sha256")
+    )
+
+
+def op12_crc_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark, its score and its rank in the draw."""
+    return importance.importance_ranks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank"
+    )
+
+
+def op13_ftrl_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those whose id is not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language_id.held_out().alias("held_out"))
+    model = language_id.fit(docs.where(~F.col("held_out")).select("text", "lang"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_lpt_sharding, op2_prefix_forest, op3_cotraining, op4_weighted_mix, op5_circulant_minhash,
-        op6_term_at_a_time, op7_arc_to_warc, op8_bin_slack_packing, op9_unigram_counts, op10_line_winnowing,
+        op6_term_at_a_time, op7_arc_to_warc, op8_bin_slack_packing, op9_unigram_counts, op10_line_winnowing, op11_codepoint_fim, op12_crc_ring, op13_ftrl_ngrams,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op10_line_winnowing": line_dedup.SQL,
+    "op11_codepoint_fim": fill_middle.SQL,
+    "op12_crc_ring": importance.SQL,
     "op6_term_at_a_time": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
