@@ -118,3 +118,37 @@ def test_warc_headers(spark, tmp_path):
 def test_spaces_in_the_url_of_a_line():
     content = arc.arc_header("f", 1) + b"\nhttp://x/a b c 1.2.3.4 2020 text/html 3\nabc\n"
     assert next(arc.parse_arc(content))[0]["URL"] == b"http://x/a b c"
+
+
+@pytest.mark.parametrize("name", ["IAH-20080430-00000-host.arc.gz", "a.arc", "deep/er/B.ARC.GZ", "part-00000"])
+def test_archives_by_any_name(spark, tmp_path, name):
+    records = [arc.arc_header("f.arc", 2), *(arc.arc_record(b"http://x/%d" % i, "20080430000000", arc.http_block(i, b"p%d" % (i // 2)), 2, "f.arc") for i in range(3))]
+    content = b"\n".join(records) if name.endswith("arc") else b"".join(arc.member(r + b"\n") for r in records)
+    file = tmp_path / "in" / name
+    file.parent.mkdir(parents=True)
+    file.write_bytes(content)
+    (tmp_path / "in" / "index.cdx").write_text("not an archive")
+    assert sorted(r.page_id for r in arc.read_arc(spark, str(tmp_path / "in")).collect()) == [0, 1, 2]
+    arc.convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in arc.read_warc(spark, str(tmp_path / "out")).collect())
+    assert got == [(0, "revisit", 1), (1, "response", None), (2, "response", None)]
+
+
+def test_a_folder_without_archives(spark, tmp_path):
+    (tmp_path / "notes.txt").write_text("x")
+    for read in (arc.read_arc, arc.read_warc):
+        with pytest.raises(FileNotFoundError, match="no archive"):
+            read(spark, str(tmp_path))
+
+
+def test_files_are_closed_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arc, "FILE_BYTES", 10_000)
+    monkeypatch.setattr(arc, "RECORDS", 4)
+    sizes = [9_000, 3_000, 30_000, 10, 20, 30, 40, 50, 60]
+    rows = [(i, "http://x/", "x" * n) for i, n in enumerate(sizes)]
+    arc.write_arc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "arc"))
+    got = arc.read_arc(spark, str(tmp_path / "arc"))
+    held = {}
+    for r in got.collect():
+        held.setdefault(r.path, []).append((r.nth, r.page_id, r.payload_bytes))
+    assert sorted([p for _, p, _ in sorted(v)] for v in held.values()) == [[0], [1], [2], [3, 4, 5, 6], [7, 8]]

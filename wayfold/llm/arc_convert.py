@@ -20,8 +20,12 @@ ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
-#: Records of an ARC file.
+#: Records of an ARC file, and bytes of records after which it is closed.
 RECORDS = 2048
+FILE_BYTES = 32 << 20
+# Fixed values of the file formats: how archives are named. Spark's own files have no suffix.
+ARC_NAMES = "{part-*,*.[aA][rR][cC],*.[aA][rR][cC].[gG][zZ]}"
+WARC_NAMES = "{part-*,*.[wW][aA][rR][cC],*.[wW][aA][rR][cC].[gG][zZ]}"
 #: Compression of archives.
 LEVEL = 3
 ID_HEADER = "X-Page-Id"
@@ -188,46 +192,65 @@ def unzip(content: bytes) -> bytes:
 
 
 # ---------------------------------------------------------------------- Spark
-def _write(records: DataFrame, path: str, end: bytes, records_per_file: int = 0) -> None:
-    """Write binary records, a gzip member each; Spark's text writer reaches any store.
+def _write(records: DataFrame, path: str, end: bytes, rows_per_file: int = 0) -> None:
+    """Write rows of gzip members; Spark's text writer reaches any store.
 
-    What closes a record is a constant member after it, the writer's line separator; the
+    What closes a row is a constant member after it, the writer's line separator; the
     writer turns its characters into bytes one by one.
     """
     (
         records.select(F.col("record").cast("string").alias("value")).write
         .option("lineSep", member(end).decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none")
-        .option("maxRecordsPerFile", records_per_file).text(path)
+        .option("maxRecordsPerFile", rows_per_file).text(path)
     )
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+def _files(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """(path, content) of the archives in a folder and those below it, or of one file.
+
+    Other files beside them are passed over. Without any archive FileNotFoundError is raised, unless a job of Spark wrote the folder.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(path)
+    if files.select("path").isEmpty():
+        marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+            raise FileNotFoundError(f"no archive named {names} in {path}")
+    return files.select("path", "content")
 
 
 def write_arc(pages: DataFrame, path: str, version: int | None = None) -> None:
-    """Write (page_id, url, html) as ARC files; without a version, tasks alternate between 1 and 2."""
+    """Write (page_id, url, html) as ARC files; without a version, tasks alternate between 1 and 2.
+
+    A row is a whole file: it is closed by `RECORDS` records or once its records hold `FILE_BYTES` bytes, so
+    only a single page larger than that makes a larger file. A page that holds `FILE_BYTES` alone has a file of its own.
+    """
     ship(pages.sparkSession)
     out = pa.schema([("record", pa.binary())])
+    end = member(b"\n")
 
     def run(batches):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         v = version or 1 + task % 2
-        nth = 0
+        files, held, size, name = 0, [], 0, ""
+        close = lambda: pa.RecordBatch.from_arrays([pa.array([end.join(held)], pa.binary())], schema=out)
         for batch in batches:
-            records = []
-            for page_id, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                name = f"wayfold-{task:05d}-{nth // RECORDS:05d}.arc"
-                if nth % RECORDS == 0:
-                    records.append(member(arc_header(name, v)))
-                nth += 1
-                block = http_block(page_id, (html or "").encode())
-                records.append(member(arc_record((url or "urn:wayfold:no-url").encode(), "20240101000000", block, v, name)))
-            yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], schema=out)
-
-    _write(pages.select("page_id", "url", "html").mapInArrow(run, "record binary"), path, b"\n", RECORDS + 1)
+            for page_id, url, html in zip(*(batch.column(i) for i in range(3)), strict=True):
+                block = http_block(page_id.as_py(), (html.as_py() or "").encode())
+                if held and (len(held) > RECORDS or size + len(block) > FILE_BYTES):
+                    yield close()
+                    held, size = [], 0
+                if not held:
+                    name = f"wayfold-{task:05d}-{files:05d}.arc"
+                    files += 1
+                    held.append(member(arc_header(name, v)))
+                size += len(block)
+                held.append(member(arc_record((url.as_py() or "urn:wayfold:no-url").encode(), "20240101000000", block, v, name)))
+        if held:
+            yield close()
+
+    _write(pages.select("page_id", "url", "html").mapInArrow(run, "record binary"), path, b"\n", 1)
 
 
 def _converted(content: bytes):
@@ -241,8 +264,10 @@ def _converted(content: bytes):
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """path, nth, page_id, url, date, payload_digest, payload_bytes, warc_id of each ARC record, with `payloads` also head and payload.
 
-    Files are gzip of any number of members, or plain. A block that is no HTTP response,
-    as of dns and ftp records, is all payload and has a null page_id.
+    Archives go by any name that ends in .arc or .arc.gz, in the folder or below it, or are Spark's part files; a folder without any raises
+    FileNotFoundError. Files are gzip of any number of members, or plain. A block that is no HTTP response,
+    as of dns and ftp records, is all payload and has a null page_id. Records that repeat are rows of their own, an empty
+    block is an empty payload, and an archive without records gives no rows.
     """
     ship(spark)
     fields = [
@@ -266,7 +291,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     kinds = "path string, nth int, page_id long, url binary, date string, payload_digest string, payload_bytes long, warc_id string"
-    return _files(spark, path).mapInArrow(run, kinds + (", head binary, payload binary" if payloads else ""))
+    return _files(spark, path, ARC_NAMES).mapInArrow(run, kinds + (", head binary, payload binary" if payloads else ""))
 
 
 def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: int = 0) -> None:
@@ -324,7 +349,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: i
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], schema=out)
 
     # files are the streamed side: a sort would have to hold and spill their contents
-    joined = _files(spark, arc_path).join(refers.hint("shuffle_hash"), "path", "left").select("path", "content", "refers")
+    joined = _files(spark, arc_path, ARC_NAMES).join(refers.hint("shuffle_hash"), "path", "left").select("path", "content", "refers")
     _write(joined.mapInArrow(run, "record binary"), warc_path, b"\r\n\r\n")
 
 
@@ -360,7 +385,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=out)
 
-    return _files(spark, path).select("content").mapInArrow(
+    return _files(spark, path, WARC_NAMES).select("content").mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, warc_id string"
     )
 
@@ -371,7 +396,7 @@ def archive_round_trip(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     A null html is an empty payload, a null URL becomes urn:wayfold:no-url, and white
     space in URLs is percent-encoded. Rows that repeat a page id and html are records of
     their own: all that hold the largest id are responses. A null id is a response with a null id. A page
-    is held whole by a task, with its archive file of up to 2,048 pages, however long it is. Other
+    is held whole by a task, with its archive file of up to 2,048 pages or 32 MB of records, or of that page alone if it is longer. Other
     columns are ignored. An empty table gives an empty result. The archives live in
     the shared folder and are deleted once the result is checkpointed.
     """
