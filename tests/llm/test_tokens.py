@@ -1,9 +1,11 @@
+import json
 import random
 import zlib
 from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer, models
@@ -24,6 +26,36 @@ def test_ids_equal_encoding_whole(texts):
     assert list(packing.encode_texts(texts, BPE)) == ids_of(texts)
 
 
+@pytest.mark.parametrize(("name", "fast"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_every_vocabulary_file_as_its_own_library(name, fast):
+    """The faster encoder stands in only for the vocabulary that it equals."""
+    path = public_tokenizers.path(name)
+    texts = [*ODD, "Mixed CASE words, cafe\u0301 and e\u0301", "don't  stop", "naïve Straße 12.5%"]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert list(packing.encode_texts(texts, path)) == want
+    assert bool(packing._STATE["fast"]) == fast
+
+
+def test_marks_that_the_faster_encoder_lacks(tmp_path):
+    """A prefix space, a normaliser, merges out of order: all encoded as the file says."""
+    spec = json.loads(Tokenizer.from_file(BPE).to_str())
+    changes = {
+        "space": lambda s: s["pre_tokenizer"].update(add_prefix_space=True),
+        "lower": lambda s: s.update(normalizer={"type": "Lowercase"}),
+        "order": lambda s: s["model"]["merges"].reverse(),
+        "whole": lambda s: s["model"].update(ignore_merges=True),
+    }
+    for name, change in changes.items():
+        own = json.loads(json.dumps(spec))
+        change(own)
+        path = tmp_path / f"{name}.json"
+        path.write_text(json.dumps(own))
+        want = [np.array(e.ids, dtype="<u4").tobytes() for e in Tokenizer.from_file(str(path)).encode_batch(ODD, add_special_tokens=False)]
+        assert list(packing.encode_texts(ODD, str(path))) == want
+        assert packing._STATE["fast"] is None
+    packing._STATE.clear()
+
+
 def test_full_cache_changes_nothing(monkeypatch):
     texts = [*ODD, "some words that fill a small cache and some more words", "more words again"]
     want = ids_of(texts)

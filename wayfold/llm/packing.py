@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -31,6 +32,26 @@ BREAK = re.compile(r"(?<=\S)(?= \S)")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _of_the_fast_kind(tokenizer) -> bool:
+    """Whether the file describes exactly what the faster encoder does.
+
+    That is byte-level pairs parted by `PATTERN`, no normaliser, no marks inside or at the end of words, no way round
+    the merges, and merges in the order of the ids that they make.
+    """
+    spec = json.loads(tokenizer.to_str())
+    model, parts, vocab = spec["model"], spec["pre_tokenizer"] or {}, spec["model"]["vocab"]
+    plain = (
+        model.get("type") == "BPE" and not spec["normalizer"] and not spec["truncation"]
+        and parts.get("type") == "ByteLevel" and not parts.get("add_prefix_space") and parts.get("use_regex", True)
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "fuse_unk", "ignore_merges"))
+    )
+    if not plain:
+        return False
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+    singles = [i for token, i in vocab.items() if len(token) == 1]
+    return len(singles) == 256 and all(a < b for a, b in zip(made, made[1:])) and min(made, default=1 << 31) > max(singles)
+
+
 def _fast_encoder(tokenizer):
     """The same byte-level vocabulary in a faster library; None if it is not of that kind.
 
@@ -39,6 +60,8 @@ def _fast_encoder(tokenizer):
     """
     import tiktoken
 
+    if not _of_the_fast_kind(tokenizer):
+        return None
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
     added = {x.content for x in tokenizer.get_added_tokens_decoder().values()}
