@@ -172,3 +172,37 @@ def test_repeated_ids_against_brute_force(spark):
     want = sorted((d, len(s), rows[up[i]][0]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
     got = cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+
+
+def test_documents_joined_only_through_a_row_without_an_id(spark):
+    """A-M and M-B are links, A-B is none: 2 reaches 1 through a row without an id."""
+    words = [f"w{x}" for x in range(200)]
+    change = lambda at: [f"e{i}" if i in at else w for i, w in enumerate(words)]
+    a, m, b = words, change({20, 60, 100}), change({20, 60, 100, 140, 160, 180})
+    link = lambda x, y: (lambda s, t: 100 * len(s & t) / len(s | t))(*({tuple(w[i : i + 3]) for i in range(198)} for w in (x, y)))
+    assert link(a, m) >= 85 and link(m, b) >= 85 and link(a, b) < 85
+    rows = [(1, " ".join(a)), (None, " ".join(m)), (2, " ".join(b)), (None, " ".join(m)), (None, "all alone here")]
+    got = cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.component_id) == [(0, 1, True), (0, 1, True), (1, 1, True), (2, 1, False)]
+    assert [(r.doc_id, r.kept) for r in got if r.component_id is None] == [(None, True)]
+    left = cm.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85)
+    assert sorted(r.doc_id or 0 for r in left.collect()) == [0, 0, 0, 1]
+
+
+def test_missing_ids_against_brute_force(spark):
+    """A third of the rows have no id; components are those of all rows."""
+    rng = np.random.default_rng(17)
+    bases = [[f"b{j}-{x}" for x in range(120)] for j in range(5)]
+    rows = []
+    for i in range(80):
+        t = list(bases[rng.integers(0, 5)])
+        for at in rng.choice(120, rng.integers(0, 9), replace=False):
+            t[at] = f"e{rng.integers(0, 2)}-{at}"
+        rows.append((None if rng.random() < 0.34 else i, " ".join(t)))
+    own = [(10_000 + n if i is None else i, t) for n, (i, t) in enumerate(rows)]
+    want = brute(own, 3, 85)
+    got = cm.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    named = lambda c: None if c >= 10_000 else c
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(
+        str((i, want[j][0], named(want[j][1]))) for (i, _), (j, _) in zip(rows, own, strict=True)
+    )

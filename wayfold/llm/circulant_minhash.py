@@ -195,7 +195,9 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
     if ids.isEmpty():
         return None
     holders = reps.select("sid", "doc_id", "t").join(ids, "sid")
-    sets = cut(_sets(docs.join(holders, ["doc_id", "t"]).select("sid", "text"), words))
+    held = (F.col("doc_id").eqNullSafe(F.col("_d"))) & (F.col("t") == F.col("_t"))
+    holders = holders.withColumnsRenamed({"doc_id": "_d", "t": "_t"})
+    sets = cut(_sets(docs.join(holders, held).select("sid", "text"), words))
     able = cut(_shared_sizes(sets).where(100 * F.col("core") >= percent * F.col("n")))
     buckets = cut(crowded(met.join(able.drop("bits"), "sid")))
     ones = lambda *maps: sum(
@@ -259,16 +261,16 @@ def _linked(docs: DataFrame, reps: DataFrame, words: int, percent: int) -> DataF
 def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Each row's doc_id, t (the text's hash), n_shingles, component_id, and `class`: a key of the component itself.
 
-    Rows with a null id or without words have a null component_id and class.
+    Rows without words have a null component_id and class; so has the component_id of a component without any id.
     """
     bands, rows = bands_for(percent)
     marks = cut(_signatures(docs.select("doc_id", "t", "text"), words, bands, rows))
-    able = marks.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    same = cut(able.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")))
+    able = marks.where(F.col("n_shingles") > 0)
+    same = cut(able.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("rep")))  # null where no row of the set has an id
     same = cut(same.withColumn("sid", F.monotonically_increasing_id()))  # kept, so that it is numbered once
     set_of = same.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n_shingles").alias("_n"), "rep", "sid")
     on = (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")) & (F.col("n_shingles") == F.col("_n"))
-    reps = able.join(set_of, on & (F.col("doc_id") == F.col("rep"))).select("sid", "doc_id", "t", "bands").dropDuplicates(["sid"])
+    reps = able.join(set_of, on & F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "doc_id", "t", "bands").dropDuplicates(["sid"])
     label = _linked(docs, reps, words, percent)
     if label is None:
         classes = set_of.withColumnRenamed("sid", "class")
@@ -277,7 +279,7 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
         # the least id of each class; most classes are one set, whose least id is known
         least = tied.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("rep").alias("least"))
         classes = tied.join(least, "component", "left").select("_a", "_b", "_n", F.coalesce("least", "rep").alias("rep"), "class")
-    return marks.select("doc_id", "t", "n_shingles", "a", "b").join(classes, on & F.col("doc_id").isNotNull(), "left").select(
+    return marks.select("doc_id", "t", "n_shingles", "a", "b").join(classes, on, "left").select(
         "doc_id", "t", "n_shingles", F.col("rep").alias("component_id"), "class"
     )
 
@@ -292,8 +294,8 @@ def near_duplicates(
     shingle hashes. Equal sets are linked as one first; the rest meets in the buckets
     of a circulant MinHash. component_id is the least doc_id reachable.
 
-    A document without words is alone. A null id links with nothing: its component is
-    null and kept true. Rows that repeat an id are documents of their own with that
+    A document without words is alone. A row without an id links like any other, and others through it; it gives a
+    component no name, so component_id is null where no row reachable has an id, and such a row's kept is true. Rows that repeat an id are documents of their own with that
     name, linked by their own texts. A very long text is one set, held whole by one task. Other
     columns are ignored. An empty table gives an empty result.
     """
