@@ -86,7 +86,7 @@ def features(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Ftrl:
     """Step size and smoothing of the adaptive rates, and the two penalties."""
 
-    alpha: float = 0.5
+    alpha: float = 0.1
     beta: float = 1.0
     l1: float = 0.05
     l2: float = 0.01
@@ -196,7 +196,7 @@ def training_sample(docs: DataFrame, per_language: int, text_col: str = "text",
 
 
 def fit(
-    docs: DataFrame, per_language: int = 4000, shards: int = 8, rounds: int = 3, steps: int = 500, ftrl: Ftrl | None = None,
+    docs: DataFrame, per_language: int = 1500, shards: int = 8, rounds: int = 3, steps: int = 500, ftrl: Ftrl | None = None,
     text_col: str = "text", lang_col: str = "lang",
 ) -> LanguageModel:
     """Learn the languages of the texts of `docs`.
@@ -205,7 +205,7 @@ def fit(
     `per_language` different texts of each language (the only bound; documented and a parameter), of which every fifth by hash
     is kept back. Rows are dealt into `shards` by hash; in each round every shard goes over its rows with
     follow-the-regularised-leader from the common state, again and again until it has made `steps` steps, and the states
-    are averaged cell by cell in the cluster, so the result does not depend on partitions. What was kept back then fits the temperature; if nothing was, the
+    are averaged cell by cell in the cluster, each by its rows, so the result does not depend on partitions. What was kept back then fits the temperature; if nothing was, the
     temperature stays 1. The driver holds the state: cells x languages.
 
     Null texts, texts without letters and null languages teach nothing. A text that stands under two languages teaches
@@ -219,33 +219,24 @@ def fit(
     n, df = document_frequencies(docs, text_col)
     idf = np.log((1.0 + n) / (1.0 + df)) + 1.0
     number, k = {x: i for i, x in enumerate(languages)}, len(languages)
-    kinds = pa.schema([("held", pa.bool_()), ("shard", pa.int32()), ("h", pa.int64()), ("y", pa.int32()), ("at", pa.list_(pa.int32())), ("x", pa.list_(pa.float64()))])
-
-    def vectors(batches):
-        for b in batches:
-            got = [features(t.as_py(), idf) for t in b.column(1)]
-            h = b.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays([
-                pa.array(h % 5 == 0), pa.array((h // 5 % shards).astype(np.int32)), b.column(2), pa.array([number[x] for x in b.column(0).to_pylist()], pa.int32()),
-                pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([x for _, x in got], pa.list_(pa.float64())),
-            ], schema=kinds)
-
-    rows = cut(sample.mapInArrow(vectors, "held boolean, shard int, h long, y int, at array<int>, x array<double>"))
+    rows = sample.select("lang", "text", "h", (F.pmod("h", F.lit(5)) == 0).alias("held"), F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
+    train, held = rows.where(~F.col("held")), rows.where("held")
+    total = train.count()
     states = pa.schema([("at", pa.int32()), ("z", pa.float64()), ("n", pa.float64())])
     z, n_ = np.zeros((CELLS + 1, k)), np.zeros((CELLS + 1, k))
-    train = rows.where(~F.col("held"))
-    parts = max(1, train.select("shard").distinct().count())
 
     def learn(start):
         def run(table: pa.Table) -> pa.Table:
             z, n = start[0].copy(), start[1].copy()
-            table = table.sort_by([("h", "ascending"), ("y", "ascending")])
-            own = [(at.values.to_numpy(), x.values.to_numpy(), y) for at, x, y in zip(table.column("at"), table.column("x"), table.column("y").to_pylist(), strict=True)]
+            table = table.sort_by([("h", "ascending"), ("lang", "ascending")])
+            # made anew each round: as features the sample takes ten times the room that it takes as texts
+            own = [(*features(text.as_py(), idf), number[lang.as_py()]) for lang, text in zip(table.column("lang"), table.column("text"), strict=True)]
             for _ in range(-(-steps // len(own))):
                 for at, x, y in own:
                     ftrl.step(z, n, at, x, y)
             cells = np.flatnonzero(n)
-            return pa.table([pa.array(cells, pa.int32()), z.ravel()[cells], n.ravel()[cells]], schema=states)
+            share = len(own) / total  # a shard counts by its rows
+            return pa.table([pa.array(cells, pa.int32()), z.ravel()[cells] * share, n.ravel()[cells] * share], schema=states)
 
         return run
 
@@ -254,17 +245,16 @@ def fit(
         got = got.groupBy("at").agg(F.sum("z").alias("z"), F.sum("n").alias("n")).toArrow()
         z, n_ = np.zeros((CELLS + 1) * k), np.zeros((CELLS + 1) * k)
         at = got.column("at").to_numpy()
-        z[at], n_[at] = got.column("z").to_numpy() / parts, got.column("n").to_numpy() / parts
+        z[at], n_[at] = got.column("z").to_numpy(), got.column("n").to_numpy()
         z, n_ = z.reshape(-1, k), n_.reshape(-1, k)
     model = LanguageModel(languages, idf, ftrl.weights(z, n_))
-    weights = model.weights
 
     def outputs(batches):
         for b in batches:
-            logits = [x.values.to_numpy() @ weights[a.values.to_numpy()] for a, x in zip(b.column(0), b.column(1), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(logits, pa.list_(pa.float64())), b.column(2)], names=["logits", "y"])
+            logits = [model.logits(text.as_py()) for text in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(logits, pa.list_(pa.float64())), pa.array([number[x] for x in b.column(0).to_pylist()], pa.int32())], names=["logits", "y"])
 
-    held = rows.where("held").select("at", "x", "y").mapInArrow(outputs, "logits array<double>, y int").toArrow()
+    held = held.select("lang", "text").mapInArrow(outputs, "logits array<double>, y int").toArrow()
     if held.num_rows:
         logits = held.column("logits").combine_chunks().flatten().to_numpy().reshape(-1, k)
         model.temperature = temperature(logits, held.column("y").to_numpy())
