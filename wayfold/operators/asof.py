@@ -51,3 +51,56 @@ def prefix_asof(visits: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
         .join(carried, ["k", "bucket"], "left")
         .select("id", F.coalesce("near", "carried")["id"].alias("parent_id"))
     )
+
+
+def prefix_nearest(visits: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+    """(id, parent_id, gap_micros): for each visit with a referrer the other visit nearest in time whose URL starts with it.
+
+    Before or after; equal gaps go to the smaller id. Visits whose prefix nobody else has drop out. As in
+    `prefix_asof` the prefix match is an equality and prefixes are ordered in buckets of time. Candidates of one prefix and
+    moment are first reduced to their two least ids, one of which is not the probe's own. Then a carry forward gives
+    the last earlier moment, a carry over descending time the first later one, each from inside the bucket or from one
+    summary row a bucket, and the nearer wins. Rows without a time take no part.
+    """
+    v = visits.select("id", "url", "referrer", F.unix_micros("ts").alias("at")).where(F.col("at").isNotNull())
+    probes = v.where(F.col("referrer").isNotNull() & (F.col("referrer") != "")).select(F.col("referrer").alias("k"), "at", "id")
+    lengths = probes.select(F.length("k").alias("n")).distinct()
+    asked = probes.select("k").distinct()
+    prefixes = v.join(F.broadcast(lengths), F.length("url") >= F.col("n")).select(F.expr("substring(url, 1, n)").alias("k"), "at", "id")
+    nth = F.row_number().over(Window.partitionBy("k", "at").orderBy("id"))
+    moments = (
+        prefixes.join(asked, "k", "left_semi").withColumn("nth", nth).where("nth <= 2")
+        .groupBy("k", "at").agg(F.min("id").alias("one"), F.max("id").alias("two"))
+    )
+    bucket = F.floor(F.col("at") / (bucket_seconds * 1_000_000)).alias("bucket")
+    now = moments.select("k", "at", F.col("one"), F.col("two"))
+    same = F.when(F.col("one") != F.col("id"), F.col("one")).when(F.col("two") != F.col("id"), F.col("two"))
+    rows = (
+        probes.join(now, ["k", "at"], "left").select("k", "at", "id", same.alias("same"), bucket, F.lit(None).cast("string").alias("one"))
+        .unionByName(moments.select("k", "at", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("same"), bucket, "one"))
+    )
+    seen = F.when(F.col("one").isNotNull(), F.struct(F.col("at").alias("near"), F.col("one").alias("who")))
+    ends = moments.select("k", bucket, "at", "one").groupBy("k", "bucket").agg(
+        F.max_by(F.struct(F.col("at").alias("near"), F.col("one").alias("who")), "at").alias("last"),
+        F.min_by(F.struct(F.col("at").alias("near"), F.col("one").alias("who")), "at").alias("first"),
+    )
+    wanted = probes.select("k", bucket).distinct()
+    up = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("k").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        ends.join(wanted.withColumn("wanted", F.lit(True)), ["k", "bucket"], "full")
+        .withColumns({"earlier": F.last("last", ignorenulls=True).over(up), "later": F.last("first", ignorenulls=True).over(down)})
+        .where("wanted").select("k", "bucket", "earlier", "later")
+    )
+    # a range frame ends before the row's own moment; the descending one needs a descending number
+    forward = Window.partitionBy("k", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
+    backward = Window.partitionBy("k", "bucket").orderBy("to").rangeBetween(Window.unboundedPreceding, -1)
+    near = (
+        rows.withColumn("to", -F.col("at"))
+        .withColumns({"before": F.max(seen).over(forward), "after": F.min(seen).over(backward)})
+        .where("id IS NOT NULL").join(carried, ["k", "bucket"], "left")
+        .withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
+    )
+    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.near") - F.col("at")).alias("gap_micros"), F.col(f"{c}.who").alias("parent_id")))
+    own = F.when(F.col("same").isNotNull(), F.struct(F.lit(0).cast("long").alias("gap_micros"), F.col("same").alias("parent_id")))
+    return near.withColumn("best", F.least(own, gap("before"), gap("after"))).where("best IS NOT NULL").select("id", "best.parent_id", "best.gap_micros")

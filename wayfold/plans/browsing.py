@@ -48,7 +48,7 @@ MEMBERS = f"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = visits(spark, sf_dir)
+    v = cut(visits(spark, sf_dir).select("id", "ts", "page_loaded_at", "url", "tab_id", "referrer"))  # one scan of events, read many times
     return v.join(asof.prefix_asof(v), "id", "left")
 
 
@@ -78,6 +78,18 @@ def visit_parent_asof(spark, sf_dir):
     return edges(spark, sf_dir).select("id", "parent_id")
 
 
+@query(f"""
+    WITH {VISITS}, near AS (
+        SELECT a.id, arg_min(b.id, (abs(epoch_us(a.ts) - epoch_us(b.ts)), b.id)) AS parent_id, min(abs(epoch_us(a.ts) - epoch_us(b.ts))) AS gap_micros
+        FROM visits a JOIN visits b ON starts_with(b.url, a.referrer) AND a.id <> b.id WHERE a.referrer IS NOT NULL GROUP BY a.id
+    )
+    SELECT id, parent_id, gap_micros FROM near
+""")
+def visit_parent_nearest(spark, sf_dir):
+    """For all visits at once: the visit nearest in time, before or after, whose URL the referrer begins."""
+    return asof.prefix_nearest(cut(visits(spark, sf_dir).select("id", "ts", "url", "referrer")))
+
+
 @query(f"WITH RECURSIVE {MEMBERS} SELECT id, tree_id FROM members")
 def tree_roots(spark, sf_dir):
     return members(spark, sf_dir).select("id", "tree_id")

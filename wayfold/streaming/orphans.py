@@ -7,10 +7,11 @@ the parent only, which is what replays and tests use.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -97,3 +98,91 @@ def attach_orphans(visits: DataFrame, timers: bool = False) -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(
         OrphanBuffer(timers), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if timers else "None"
     )
+
+
+# ------------------------------------------------------------------ event time
+TIMELINE = "tab long, id string, parent_id string, state string, retries int, at long"
+
+
+class OrphanTimeline(StatefulProcessor):
+    """The orphan buffer on event time: what happens depends on the visits' own times, not on when a job runs.
+
+    Keyed by tab; rows have id, is_child and at (milliseconds). A child takes the last parent at or before its time that is
+    remembered, else waits for the first later one. It is tried every `retry_ms`, `max_retries` times at most, and is too old
+    once more than `ttl_ms` have passed, so it waits for the shorter of both, its last moment included. A timer
+    one millisecond later expires it when the watermark gets there. Parents are forgotten `parent_ttl_ms` after their time.
+    """
+
+    def __init__(self, ttl_ms: int = TTL_MS, retry_ms: int = RETRY_MS, max_retries: int = MAX_RETRIES, parent_ttl_ms: int = PARENT_TTL_MS):
+        self.retry_ms, self.parent_ttl_ms = retry_ms, parent_ttl_ms
+        self.patience = min(ttl_ms, retry_ms * max_retries)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parents = handle.getListState("parents", "at long, id string")
+        self.waiting = handle.getListState("waiting", "at long, id string")
+
+    def _match(self, at: int, parents: list) -> tuple | None:
+        i = bisect_right(parents, (at, "\U0010ffff"))
+        if i and at - parents[i - 1][0] <= self.parent_ttl_ms:
+            return parents[i - 1][1], 0
+        if i < len(parents) and parents[i][0] - at <= self.patience:
+            return parents[i][1], (parents[i][0] - at) // self.retry_ms
+        return None
+
+    def _load(self, state) -> list:
+        return sorted(tuple(x) for x in state.get()) if state.exists() else []
+
+    def _settle(self, key, waiting: list, parents: list, timers) -> pd.DataFrame:
+        """Attach or expire what can be, keep the rest, and forget old parents."""
+        now, out, left = timers.getCurrentWatermarkInMs(), [], []
+        for at, child in waiting:
+            found = self._match(at, parents)
+            if found:
+                out.append((key[0], child, found[0], "attached", found[1], at))
+            elif at + self.patience < now:
+                out.append((key[0], child, None, "expired", self.patience // self.retry_ms, at))
+            else:
+                left.append((at, child))
+        parents = [p for p in parents if now - p[0] <= self.parent_ttl_ms]
+        for state, rows in ((self.waiting, left), (self.parents, parents)):
+            state.put(rows) if rows else state.clear()
+        for at, _ in left:
+            self.handle.registerTimer(at + self.patience + 1)
+        if parents:
+            self.handle.registerTimer(parents[-1][0] + self.parent_ttl_ms + 1)
+        return pd.DataFrame(out, columns=["tab", "id", "parent_id", "state", "retries", "at"])
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows))
+        pairs = lambda part: list(zip(part["at"].astype(int).tolist(), part["id"], strict=True))
+        child = got["is_child"].astype(bool)
+        parents = sorted(self._load(self.parents) + pairs(got[~child]))
+        yield self._settle(key, sorted(self._load(self.waiting) + pairs(got[child])), parents, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._settle(key, self._load(self.waiting), self._load(self.parents), timerValues)
+
+    def close(self) -> None:
+        pass
+
+
+def orphan_timeline(visits: DataFrame, late: str = "1 minute", **knobs: int) -> DataFrame:
+    """A stream of visits (id, tab_id, opener_tab_id, ts) to a stream of its children, each once: attached, with the retries it took, or expired.
+
+    Children not emitted are still waiting. Knobs are those of `OrphanTimeline`.
+    """
+    ship(visits.sparkSession)
+    parents = F.struct(F.col("tab_id").alias("tab"), "id", F.lit(False).alias("is_child"))
+    children = F.struct(F.col("opener_tab_id").alias("tab"), "id", F.lit(True).alias("is_child"))
+    events = (
+        visits.withWatermark("ts", late).select("ts", F.explode(F.array(parents, children)).alias("e"))
+        .select("ts", F.unix_millis("ts").alias("at"), "e.*").where("tab IS NOT NULL")
+    )
+    return events.groupBy("tab").transformWithStateInPandas(OrphanTimeline(**knobs), outputStructType=TIMELINE, outputMode="Append", timeMode="EventTime")
+
+
+def waiting_stats(waiting: DataFrame, now_ms: Column, ttl_ms: int = TTL_MS) -> DataFrame:
+    """(tab, orphans, oldest_age_ms) of waiting children (tab, at): those of more than `ttl_ms` are evicted before anything is counted."""
+    age = now_ms - F.col("at")
+    return waiting.where(age <= ttl_ms).groupBy("tab").agg(F.count("*").alias("orphans"), F.max(age).alias("oldest_age_ms"))
