@@ -53,7 +53,9 @@ def check(pages):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_whole_table(spark):
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_whole_table(spark, monkeypatch, most):
+    monkeypatch.setattr(arc, "BROADCAST_BYTES", most)
     p = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     check(p.unionByName(p.where("page_id < 9").selectExpr("page_id + 5000 AS page_id", "url", "html")))
 

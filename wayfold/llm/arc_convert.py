@@ -23,6 +23,8 @@ ARC_FIELDS = {
 #: Records of an ARC file, and bytes of records after which it is closed.
 RECORDS = 2048
 FILE_BYTES = 32 << 20
+#: Bytes up to which what revisits refer to is sent to every executor.
+BROADCAST_BYTES = 64 << 20
 # Fixed values of the file formats: how archives are named. Spark's own files have no suffix.
 ARC_NAMES = "{part-*,*.[aA][rR][cC],*.[aA][rR][cC].[gG][zZ]}"
 WARC_NAMES = "{part-*,*.[wW][aA][rR][cC],*.[wW][aA][rR][cC].[gG][zZ]}"
@@ -307,7 +309,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: i
     Payloads stay in the files. A first pass reads off a narrow row a record; the largest id
     of each payload is found with map-side aggregation, and what each revisit refers to
     goes to its file as one array. A second pass converts files, moved as they are,
-    compressed. The narrow rows of a payload that a third of the records share are
+    compressed, and only where what the revisits refer to, measured first, is more than `BROADCAST_BYTES`. The narrow rows of a payload that a third of the records share are
     a skewed join key, which adaptive execution splits.
     """
     records = cut(read_arc(spark, arc_path, payloads=False))
@@ -348,8 +350,10 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: i
                         done = []
                 yield pa.RecordBatch.from_arrays([pa.array(done, pa.binary())], schema=out)
 
-    # files are the streamed side: a sort would have to hold and spill their contents
-    joined = _files(spark, arc_path, ARC_NAMES).join(refers.hint("shuffle_hash"), "path", "left").select("path", "content", "refers")
+    # where what revisits refer to is small, files stay where they are; else they are the streamed side: a sort would have to hold and spill them
+    size = refers.select(F.explode("refers").alias("r"), "path").agg(F.sum(F.length("r.url") + F.length("path") + 200)).first()[0] or 0
+    refers = refers.hint("broadcast" if size <= BROADCAST_BYTES else "shuffle_hash")
+    joined = _files(spark, arc_path, ARC_NAMES).join(refers, "path", "left").select("path", "content", "refers")
     _write(joined.mapInArrow(run, "record binary"), warc_path, b"\r\n\r\n")
 
 
