@@ -75,18 +75,50 @@ def episodes_of(spark, sf_dir):
     return tables.episodes(spark, sf_dir).select("id", "domain", "original_decision")
 
 
-@query("SELECT * FROM (VALUES ('r1', 'first', 50, true), ('r3', 'third', 7, false)) t(id, name, priority, enabled)")
+@query("""
+    SELECT p_partkey AS id, p_name AS name,
+           CAST(CASE WHEN p_partkey % 3 = 0 THEN 1000 - p_size ELSE p_size END AS INTEGER) AS priority, p_partkey % 4 <> 0 AS enabled
+    FROM part WHERE p_partkey % 7 <> 0
+""")
 def store_rule_crud(spark, sf_dir):
-    """Rules created, updated, deleted, read back."""
-    row = "id string, name string, priority int, enabled boolean"
+    """A rule for each part: created, priorities changed twice in one change set, some disabled, others deleted; an unknown rule is an error."""
+    p = tables.table(spark, sf_dir, "part")
+    made = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").alias("priority"), F.lit(True).alias("enabled"))
+    third = made.where("id % 3 = 0")
+    twice = third.select("id", F.lit(-1).alias("priority"), F.lit(1).alias("said")).unionByName(third.select("id", (1000 - F.col("priority")).alias("priority"), F.lit(2).alias("said")))
+    with _Scratch(spark) as path:
+        kept = VersionedTable(spark, path, sort=["id"])
+        kept.create(made.schema)
+        kept.insert(made)
+        kept.update(twice, ["id"], ["said"], known=True)
+        kept.update(made.where("id % 4 = 0").select("id", F.lit(False).alias("enabled")), ["id"], known=True)
+        kept.delete(made.where("id % 7 = 0").select("id"), known=True)
+        try:
+            kept.update(made.limit(1).select((-F.col("id") - 1).alias("id"), F.lit(0).alias("priority")), ["id"], known=True)
+        except KeyError:
+            return cut(kept.read())
+        raise AssertionError("an unknown rule was updated")
+
+
+@query("""
+    WITH k AS (SELECT CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id END AS key, event_id, event_type FROM events), w AS (
+        SELECT key, max_by(event_type, event_id) AS value, max(event_id) AS written FROM k GROUP BY key
+    )
+    SELECT key, value, written, (SELECT count(*) FROM w) AS keys FROM w WHERE key IS NULL OR key % 3 <> 0
+""")
+def store_repeated_keys(spark, sf_dir):
+    """A change set that repeats keys, null among them, put twice: a row a key. Then some keys are deleted and the null one put back."""
+    e = tables.table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("key"), F.col("event_type").alias("value"), F.col("event_id").alias("written"))
     with _Scratch(spark) as path:
-        kept = VersionedTable(spark, path)
-        kept.create(row)
-        kept.insert(spark.createDataFrame([("r1", "first", 10, True), ("r2", "second", 20, True), ("r3", "third", 7, True)], row))
-        kept.update(spark.createDataFrame([("r1", 50)], "id string, priority int"), ["id"])
-        kept.put(spark.createDataFrame([("r3", "third", 7, False)], row), ["id"])
-        kept.delete(spark.createDataFrame([("r2",)], "id string"))
-        return cut(kept.read())
+        kv = VersionedTable(spark, path, sort=["key"])
+        kv.create(e.schema)
+        kv.put(e, ["key"], ["written"])
+        kv.put(e.where("written % 2 = 0"), ["key"], ["written"])
+        kv.put(e, ["key"], ["written"])
+        keys = kv.read().count()
+        kv.delete(e.where("key % 3 = 0 OR key IS NULL").select("key"))
+        kv.put(e.where("key IS NULL"), ["key"], ["written"])
+        return cut(kv.read().withColumn("keys", F.lit(keys)))
 
 
 @query("""
