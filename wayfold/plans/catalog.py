@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import browsing, live, lookups, memory, pages, search, streams, surface, writes  # noqa: F401  registering is importing
+from . import browsing, live, lookups, memory, pages, search, store_ops, streams, surface, writes  # noqa: F401  registering is importing
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
