@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_words
+from .order import numbered
 
 # What each page type is called where no reason is stored.
 TYPE_LABELS = {
@@ -123,3 +124,45 @@ def feedback_corrections(episodes: DataFrame, feedback: DataFrame) -> DataFrame:
     return feedback.where(~F.col("was_correct")).join(newest, "url").select(
         "e.id", (~F.col("e.original_decision")).alias("decision"), F.coalesce("type", "e.page_type").alias("type"), "explanation", "at"
     )
+
+
+def review_document(rows: DataFrame, now: Column, recent_days: int = 7, filtered_hours: int = 48) -> DataFrame:
+    """(section, position, line): the review of decisions, a row a line, in the order of section and position.
+
+    Section 0 is the head with the statistics of all episodes, 1 the accepted pages of the last days, 2 the filtered ones of the
+    last hours, each newest first with its reason, 3 the legend. A section without pages says so. Pages are numbered
+    a day at a time, so nothing of a section's size meets in one task; a page is three lines.
+    """
+    corrected = F.col("correction_timestamp").isNotNull()
+    said = rows.withColumns({"mark": F.when(corrected, F.lit(" ⚠️")).otherwise(""), "reason": brief_reason()})
+    link = F.concat(F.lit("["), F.coalesce("title", F.lit("")), F.lit("]("), F.col("url"), F.lit(")"))
+    parts = []
+    windows = ((1, F.col("original_decision"), recent_days * 24, F.concat(F.lit("- "), link, "mark")), (2, ~F.col("original_decision"), filtered_hours, F.concat(F.lit("- ~~"), link, F.lit("~~"), "mark")))
+    titles = {1: ("## Recent webpages", "accepted", f"{recent_days} days"), 2: ("## Filtered out webpages", "filtered", f"{filtered_hours} hours")}
+    spark = rows.sparkSession
+    for section, wanted, hours, head in windows:
+        pages = recent(said.where(wanted), now, hours).select("timestamp", "id", head.alias("head"), F.concat(F.lit("  "), "reason").alias("why"))
+        placed = numbered(pages.withColumn("_all", F.lit(0)), ["_all"], F.to_date("timestamp"), [F.desc("timestamp"), F.asc("id")], descending=True)
+        lines = F.array(F.col("head"), F.col("why"), F.lit(""))
+        parts.append(placed.select(F.lit(section).alias("section"), "position", F.posexplode(lines).alias("i", "line")).select("section", (4 + 3 * F.col("position") + F.col("i")).alias("position"), "line"))
+        name, kind, span = titles[section]
+        some = pages.agg(F.count("*").alias("n"))
+        text = F.when(F.col("n") > 0, f"*{kind.capitalize()} pages from the last {span}*").otherwise(f"*No {kind} pages in the last {span}*")
+        lines = F.array(F.lit(name), F.lit(""), text, F.lit(""))
+        parts.append(some.select(F.lit(section).alias("section"), F.posexplode(lines).alias("position", "line")).withColumn("position", F.col("position").cast("long")))
+    rate = F.when(F.col("n") > 0, F.col("c") / F.col("n") * 100).otherwise(F.lit(0.0))
+    stats = F.concat(F.lit("Stats: "), F.col("n").cast("string"), F.lit(" total pages | "), F.col("c").cast("string"), F.lit(" corrections | "), F.format_string("%.1f", rate), F.lit("% correction rate"))
+    made = F.concat(F.lit("> Generated: "), F.date_format(now, "yyyy-MM-dd HH:mm:ss"))
+    head = rows.agg(F.count("*").alias("n"), F.count("correction_timestamp").alias("c")).select(F.posexplode(F.array(F.lit("# Webpage Review"), F.lit(""), made, F.lit(""), stats, F.lit(""))).alias("position", "line"))
+    parts.append(head.select(F.lit(0).alias("section"), F.col("position").cast("long").alias("position"), "line"))
+    legend = ["", "---", "", "**Legend**: ⚠️ = User corrected", "", f"*Recent pages are shown for {recent_days} days, filtered pages for {filtered_hours} hours*"]
+    parts.append(spark.createDataFrame([(3, i, x) for i, x in enumerate(legend)], "section int, position long, line string"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def written(document: DataFrame, path: str) -> None:
+    """Write the lines of a review as text files whose names, and lines inside them, are in its order."""
+    document.repartitionByRange("section", "position").sortWithinPartitions("section", "position").select(F.col("line").alias("value")).write.mode("overwrite").text(path)

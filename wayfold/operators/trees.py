@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .order import numbered
 
 
 def roots(edges: DataFrame) -> DataFrame:
@@ -91,6 +92,25 @@ def children(members: DataFrame) -> DataFrame:
     )
 
 
+def built(members: DataFrame) -> DataFrame:
+    """(tree_id, root_id, parent_id, id, nth): each tree as it hangs from its first root.
+
+    A member without a parent in its own tree is a root; the first one in time order, then by id, is the tree's, and what hangs from
+    the others is left out. `nth` numbers a parent's children in time order, a day at a time, so a parent may have any number. A
+    tree without a root is a cycle and raises ValueError.
+    """
+    m = cut(members.select("tree_id", "id", "parent_id", "page_loaded_at"))
+    inside = m.select(F.col("tree_id").alias("_t"), F.col("id").alias("_p"))
+    hung = m.join(inside, (F.col("tree_id") == F.col("_t")) & (F.col("parent_id") == F.col("_p")), "left").select("tree_id", "id", "page_loaded_at", F.col("_p").alias("parent_id"))
+    hung = cut(hung)
+    key = lambda c: F.when(F.col(c).isNotNull(), F.struct("tree_id", F.col(c).alias("id")))  # noqa: E731  a visit may be in several trees
+    tops = roots(hung.select(key("id").alias("id"), key("parent_id").alias("parent_id"))).select("id.tree_id", "id.id", F.col("tree_id.id").alias("root_id"))
+    first = hung.where("parent_id IS NULL").groupBy("tree_id").agg(F.min_by("id", F.struct("page_loaded_at", "id")).alias("root_id"))
+    kept = hung.join(tops.join(first, ["tree_id", "root_id"]), ["tree_id", "id"])
+    out = numbered(kept, ["tree_id", "parent_id"], F.substring("page_loaded_at", 1, 10), [F.asc("page_loaded_at"), F.asc("id")], "nth")
+    return out.select("tree_id", "root_id", "parent_id", "id", F.col("nth").cast("int").alias("nth"))
+
+
 def preorder(members: DataFrame, steps: int = 40) -> DataFrame:
     """(tree_id, id, path): an array that sorts a tree's members before their descendants, siblings in time order.
 

@@ -56,9 +56,15 @@ def search_grouped(rows: DataFrame, query: Sequence[float], group: str, k: int)
     )
 
 
-def rerank_by_recency(rows: DataFrame, query: Sequence[float], now: Column, k: int = 3, days_back: int | None = None) -> DataFrame:
-    """Fetch k * k nearest of the recent rows, then order by closeness and age together."""
-    kept = rows if days_back is None else rows.where(F.col("updated_at") >= now - F.make_dt_interval(days=F.lit(days_back)))
+def rerank_by_recency(
+    rows: DataFrame, query: Sequence[float], now: Column, k: int = 3, days_back: int | None = None, min_date: Column | None = None
+) -> DataFrame:
+    """Fetch k * k nearest of the recent rows, then order by closeness and age together.
+
+    Recent is at most `days_back` days old, or, where that is not given, updated at `min_date` or later.
+    """
+    since = min_date if days_back is None else now - F.make_dt_interval(days=F.lit(days_back))
+    kept = rows if since is None else rows.where(F.col("updated_at") >= since)
     near = search(kept, query, k * k)
     age = (F.unix_micros(now) - F.unix_micros("updated_at")) / 86_400e6
     return near.withColumn("score", recency_score(F.col("_distance"), age)).orderBy(F.desc("score"), "key").limit(k)
