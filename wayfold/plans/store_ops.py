@@ -104,7 +104,7 @@ def namespace_recall(spark, sf_dir):
     with folder(spark, "namespace") as path:
         kept = namespaces.VectorNamespace(spark, path)
         kept.build(v)
-        probes = max(1, round(0.6 * len(kept.centroids())))
+        probes = max(1, round(0.5 * len(kept.centroids())))
         got = cut(kept.search(_asked(v), 10, probes))
         lists = kept.rows().groupBy("list").agg(F.count("*").alias("n"))
         read = _asked(v).select("ask", F.explode(namespaces._closest(kept.centroids(), probes, "vector")).alias("list")).join(lists, "list").agg(F.sum("n").alias("read"))
