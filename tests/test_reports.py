@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.operators import episodes, order, trees
+from wayfold.operators import episodes, order, rules, trees
 
 
 @pytest.mark.parametrize("descending", [False, True])
@@ -48,3 +48,10 @@ def test_review_without_pages_says_so(spark, tmp_path):
     episodes.written(doc, str(tmp_path / "review"))
     text = [x for f in sorted((tmp_path / "review").glob("part-*")) for x in f.read_text().split("\n")[:-1]]
     assert text == lines
+
+
+def test_blank_texts_are_zero_on_either_side(spark):
+    df = spark.createDataFrame([(0, ""), (1, "  "), (2, "5"), (3, "x"), (4, None), (5, "-1")], "i int, f string")
+    hit = lambda comparator, value: {r.i for r in df.where(rules.compile_condition({"field": "f", "comparator": comparator, "value": value}, df.schema)).collect()}
+    assert hit("less_than", 1) == {0, 1, 5} and hit("greater_than", -1) == {0, 1, 2}
+    assert hit("greater_than", "") == {2} and hit("less_than", " ") == {5} and hit("less_than", "many") == set()

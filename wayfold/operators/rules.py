@@ -30,7 +30,7 @@ def _plain(v: object) -> str:
 def _number(v: object) -> float:
     """A JSON value as a number; what is none is not a number."""
     try:
-        return float(v) if v is not None and v != "" else 0.0
+        return float(v) if v is not None and (not isinstance(v, str) or v.strip()) else 0.0
     except (TypeError, ValueError):
         return math.nan
 
@@ -48,8 +48,10 @@ def _equal(f: Column, v: object, kind: T.DataType) -> Column:
 
 
 def _compared(f: Column, v: object, compare: Callable[[Column, Column], Column]) -> Column:
+    """A blank text is 0 on either side; what is no number, and a missing field, compares with nothing."""
     n = _number(v)
-    return F.lit(False) if math.isnan(n) else F.coalesce(compare(f.try_cast("double"), F.lit(n)), F.lit(False))
+    blank = F.regexp_replace(f.cast("string"), r"\s+", "") == ""
+    return F.lit(False) if math.isnan(n) else F.coalesce(compare(F.when(blank, F.lit(0.0)).otherwise(f.try_cast("double")), F.lit(n)), F.lit(False))
 
 
 # The comparators of a condition's leaf.
