@@ -55,3 +55,18 @@ def test_blank_texts_are_zero_on_either_side(spark):
     hit = lambda comparator, value: {r.i for r in df.where(rules.compile_condition({"field": "f", "comparator": comparator, "value": value}, df.schema)).collect()}
     assert hit("less_than", 1) == {0, 1, 5} and hit("greater_than", -1) == {0, 1, 2}
     assert hit("greater_than", "") == {2} and hit("less_than", " ") == {5} and hit("less_than", "many") == set()
+
+
+def test_preceding_rows(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot", "hot", "x", None]), rng.randrange(30), i, f"p{i}") for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, said string")
+    got = {}
+    for r in order.preceding(df, ["k"], F.floor(F.col("t") / 7), [F.asc("t"), F.asc("id")], 3, "id", ["said"]).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.said)
+    want = {}
+    for k, t, i, _ in rows:
+        before = sorted(((r[1], r[2], r[3]) for r in rows if r[0] == k and (r[1], r[2]) < (t, i)), reverse=True)[:3]
+        if before:
+            want[i] = [b[2] for b in before]
+    assert got == want

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import decisions, episodes
+from ..operators import decisions, episodes, order
 from ..sources import tables
 from .registry import query
 
@@ -148,14 +147,10 @@ def memory_adjust(spark, sf_dir):
 
 
 def _similar(e, limit):
-    """For each episode the `limit` earlier ones next to it of its domain and type: lagged, not joined."""
-    w = Window.partitionBy("domain", "page_type").orderBy("timestamp", "id")
-    past = [F.lag(F.struct("original_decision", "correction_decision", "correction_type"), i).over(w) for i in range(1, limit + 1)]
-    lagged = e.select(F.col("id").alias("page_id"), *[x.alias(f"s{i}") for i, x in enumerate(past)])
-    return (
-        lagged.select("page_id", F.posexplode(F.array(*[f"s{i}" for i in range(limit)])).alias("pos", "s")).where("s IS NOT NULL")
-        .select("page_id", (F.col("pos") + 1).alias("rank"), "s.*")
-    )
+    """For each episode the `limit` earlier ones next to it of its domain and type, by their places in time."""
+    narrow = e.select(F.col("id").alias("page_id"), "domain", "page_type", "timestamp", "original_decision", "correction_decision", "correction_type")
+    said = ["original_decision", "correction_decision", "correction_type"]
+    return order.preceding(narrow, ["domain", "page_type"], F.to_date("timestamp"), [F.asc("timestamp"), F.asc("page_id")], limit, "page_id", said)
 
 
 @query(f"""
