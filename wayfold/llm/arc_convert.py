@@ -304,7 +304,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least_revisit: i
     page id becomes the response, the others revisits of it; all smaller ones
     are responses. HTTP records without a page id are responses, others are resources.
     Each ARC file's part of a WARC file opens with a warcinfo record. An IP address
-    that the ARC file states becomes WARC-IP-Address.
+    that the ARC file states becomes WARC-IP-Address. Of equal payloads whose largest id repeats, each record with that id is a response. Empty
+    payloads count as equal; archives without records, and a folder of empty ones, give WARC files without records.
 
     Payloads stay in the files. A first pass reads off a narrow row a record; the largest id
     of each payload is found with map-side aggregation, and what each revisit refers to

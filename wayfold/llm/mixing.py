@@ -226,7 +226,8 @@ def with_places(drawn: DataFrame, buckets: int = 256) -> DataFrame:
 def with_draws(docs: DataFrame, **options) -> DataFrame:
     """A row for each row of (doc_id, text, source): doc_id, size, source_size, target, taken, and draws: (pass, taken, shard, place).
 
-    Rows that share an id, or have none, stay apart.
+    Rows that share an id, or have none, stay apart. A null text has size 0 and no draws, a null source is a source like others and
+    the last one, equal sizes are ordered by hash, other columns than the three are ignored, and an empty table gives an empty result.
     """
     rows = cut(mix_by_row(docs, **options).drop("text", "source"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())  # of kept rows, so that it is the same each time
@@ -250,6 +251,8 @@ def mixed_documents(
     Rows are dealt by ranges of (shard, order), so partitions follow each other as the
     rows do, and a shard spreads over as many of them as its size asks for.
     A document drawn in part keeps its first words; `chars_col` follows, if there is one.
+    Null and wordless texts are never drawn; rows that repeat an id or a whole row are drawn as documents of their own. Columns of any
+    name are kept as they are. An empty table gives an empty result.
     """
     plain, name = neutral(docs)
     named = {k: name[options.pop(k, v)] for k, v in (("id_col", "doc_id"), ("source_col", "source"))}
