@@ -77,7 +77,7 @@ def fill_in_middle(
     A text is decoded to an array of code points, the places where tokens begin are those not between two letters,
     and the chosen ones cut the array. No row leaves its partition. A null text counts as empty and comes
     out as an empty plain fim_text. A null id draws as an id without digits; rows that repeat an id
-    are cut by the same numbers. A very long text is held whole by one task, at 4 bytes a code point.
+    are cut by the same numbers. A very long text is held whole by one task, at some 20 bytes a code point.
     Columns of `docs` with the new names are replaced. An empty table gives an empty result.
     """
     sentinels = _checked(sentinels)
