@@ -111,3 +111,23 @@ def test_empty_namespace(spark, tmp_path):
     kept = namespaces.VectorNamespace(spark, str(tmp_path))
     kept.build(df)
     assert kept.centroids().shape[0] == 0
+
+
+def test_a_search_meets_its_own_run_only(spark, monkeypatch):
+    """Runs of few spans give what one run of all gives, and a block holds about two copies of a span."""
+    held, rows, table, log = log_of(spark, 300, 3)
+    log = log.where("key IS NOT NULL")
+    sizes, near = [], []
+    whole = batches.nearest_in_blocks
+
+    def counted(dealt, asks, *args, **kwargs):
+        sizes.append((dealt.count(), dealt.groupBy("run").count().agg({"count": "max"}).first()[0]))
+        return whole(dealt, asks, *args, **kwargs)
+
+    monkeypatch.setattr(batches, "nearest_in_blocks", counted)
+    for least in (1_000_000, 8):
+        monkeypatch.setattr(batches, "LEAST", least)
+        near.append(sorted((r.seq, r.rank, r.key, round(r.distance, 9)) for r in batches.searches(table, log, 2).collect()))
+    assert near[0] == near[1] and len(near[0]) > 50
+    assert sizes[1][0] <= 3 * sizes[0][0] and sizes[1][1] < sizes[0][1] / 4
+    assert batches.searches(table, log.where("kind <> 'search'"), 2).count() == 0

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .namespaces import SLICE, nearest_in_blocks
+from ..session import cut
+from .namespaces import ASKS, SLICE, nearest_in_blocks
 
 # The kinds of an operation.
 KINDS = ("get", "put", "delete", "search")
@@ -13,6 +14,8 @@ BEFORE = -(2**63)
 AFTER = 2**63 - 1
 #: Operations of a run of the log inside which one task orders those of a key.
 RUN = 100_000
+#: Spans of a run of searches, at least.
+LEAST = 1_024
 
 
 def checked(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,12 +66,27 @@ def spans(table: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def searches(table: DataFrame, log: DataFrame, k: int = 10) -> DataFrame:
-    """(seq, rank, key, distance) of each search: the k nearest of the rows that the store held at that moment."""
-    held = spans(table, log).where("vector IS NOT NULL")
-    slices = max(1, -(-held.count() // SLICE))
-    dealt = held.select("key", "vector", "since", "until", F.pmod(F.xxhash64("key", "since"), F.lit(slices)).cast("int").alias("slice"))
-    asks = log.where("kind = 'search'").select(F.col("seq").alias("ask"), "seq", "vector", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    return nearest_in_blocks(dealt, asks, ["slice"], k, spans=True).select(F.col("ask").alias("seq"), "rank", "key", F.col("_distance").alias("distance"))
+    """(seq, rank, key, distance) of each search: the k nearest of the rows that the store held at that moment.
+
+    The log is dealt into runs of about as many spans as the store has keys, `LEAST` at least. A span goes to every run that it reaches
+    into, so there are about two copies of each, and a search is compared with what its own run held and not with the whole history.
+    """
+    held = cut(spans(table, log).where("vector IS NOT NULL"))
+    asks = log.where("kind = 'search'").select(F.col("seq").alias("ask"), "seq", "vector")
+    n, keys = held.agg(F.count("*"), F.approx_count_distinct("key")).first()
+    asked, low, high = asks.agg(F.count("*"), F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    width = -(-(high - low + 1) // max(1, n // max(keys, LEAST)))
+    run = lambda seq: F.expr(f"({seq} - {low}L) div {width}L")
+    dealt = held.where((F.col("since") < high) & (F.col("until") > low)).select(
+        "key", "vector", "since", "until", F.explode(F.sequence(run(f"greatest(since, {low}L)"), run(f"least(until, {high}L)"))).alias("run")
+    )
+    runs = -(-(high - low + 1) // width)
+    slices, parts = max(1, -(-2 * keys // SLICE)), max(1, -(-asked // (runs * ASKS)))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    dealt = dealt.withColumn("slice", F.pmod(F.xxhash64("key", "since"), F.lit(slices)).cast("int")).withColumn("part", every(parts))
+    asks = asks.withColumn("run", run("seq")).withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(parts)).cast("int")).withColumn("slice", every(slices))
+    near = nearest_in_blocks(dealt, asks, ["run", "slice", "part"], k, spans=True)
+    return near.select(F.col("ask").alias("seq"), "rank", "key", F.col("_distance").alias("distance"))
 
 
 def remaining(table: DataFrame, log: DataFrame) -> DataFrame:

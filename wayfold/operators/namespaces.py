@@ -18,6 +18,8 @@ from .vectors import predicate
 
 #: Rows of a list that one task compares with the queries that probe it.
 SLICE = 65_536
+#: Queries that one task compares with a slice.
+ASKS = 16_384
 #: Most lists, which bounds what a probe sends to executors.
 MOST_LISTS = 4096
 
@@ -49,10 +51,10 @@ def nearest_in_blocks(rows: DataFrame, asks: DataFrame, on: list[str], k: int, s
             since, until = (left.column(c).to_numpy() for c in ("since", "until"))
             seq = right.column("seq").to_numpy()
         for i in range(len(q)):
-            d = np.square(m - q[i]).sum(axis=1)
-            live = np.flatnonzero((since < seq[i]) & (seq[i] < until)) if spans else np.arange(len(d))
-            best = live[np.argsort(d[live], kind="stable")[:k]]  # rows are in key order, so ties go to smaller keys
-            out.append((i, best, d[best]))
+            live = np.flatnonzero((since < seq[i]) & (seq[i] < until)) if spans else np.arange(len(m))
+            d = np.square(m[live] - q[i]).sum(axis=1)
+            best = np.argsort(d, kind="stable")[:k]  # rows are in key order, so ties go to smaller keys
+            out.append((i, live[best], d[best]))
         at = np.concatenate([np.full(len(b), i) for i, b, _ in out]) if out else np.zeros(0, np.int64)
         near = np.concatenate([b for _, b, _ in out]) if out else np.zeros(0, np.int64)
         return pa.table({

@@ -12,7 +12,7 @@ from .registry import query
 
 
 def _log(spark, sf_dir):
-    """Events as operations on the vectors' keys, every tenth of an unknown kind; searches ask with the key's own vector."""
+    """Events as operations on the vectors' keys, every tenth of an unknown kind; puts and searches carry the key's own vector."""
     e = tables.table(spark, sf_dir, "events")
     v = tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vector"))
     kind = F.element_at(F.create_map(*[F.lit(x) for p in (("click", "get"), ("view", "put"), ("error", "delete"), ("signup", "search")) for x in p]), F.col("event_type"))
@@ -20,7 +20,8 @@ def _log(spark, sf_dir):
     key = F.col("user_id") % 97
     log = e.select(F.col("event_id").alias("seq"), kind.alias("kind"), key.alias("key"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("value"))
     held = v.where("key % 2 = 0").select("key", F.concat(F.lit("held "), F.col("key").cast("string")).alias("value"), "vector")
-    return held, log.join(v, "key", "left")
+    carried = F.when(F.col("kind").isin("put", "search"), F.col("vector"))
+    return held, log.join(v, "key", "left").withColumn("vector", carried)
 
 
 LOG = """
