@@ -133,6 +133,18 @@ def test_documents_as_files(spark, tmp_path):
     assert sorted(map(tuple, documents.load(spark, str(tmp_path / "notes")).collect())) == sorted(rows)
 
 
+def test_many_documents_share_files(spark, tmp_path):
+    """Files do not grow with documents; names, line ends and line feeds of any kind come back, and so does the form of a file each."""
+    rows = [(f"d/{i}", f"# {i}\r\n\n" * (i % 3)) for i in range(300)] + [("null", None)]
+    docs = spark.createDataFrame(rows, "doc string, text string").repartition(3)
+    documents.save(docs, str(tmp_path / "notes"))
+    assert len(list((tmp_path / "notes").rglob("part-*"))) <= 3
+    want = sorted((d, t or "") for d, t in rows)
+    assert sorted(map(tuple, documents.load(spark, str(tmp_path / "notes")).collect())) == want
+    documents.save_files(docs.where("doc < 'd/11'"), str(tmp_path / "each"))
+    assert sorted(map(tuple, documents.load_files(spark, str(tmp_path / "each")).collect())) == [r for r in want if r[0] < "d/11"]
+
+
 # ------------------------------------------------------------------- providers
 class Counting:
     """Tells how often it was loaded in this worker, and fails on one page."""

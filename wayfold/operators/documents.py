@@ -117,11 +117,21 @@ def edit_documents(docs: DataFrame, edits: DataFrame, heading: str, between: boo
 
 
 def save(docs: DataFrame, path: str) -> None:
-    """Write documents (doc, text) as text, a folder doc=<name> for each; a null text is an empty file."""
-    docs.select("doc", F.coalesce("text", F.lit("")).alias("value")).write.mode("overwrite").partitionBy("doc").option("lineSep", "\n").text(path)
+    """Write documents (doc, text), many to a file, so that a million notes are no million files; a null text is an empty one."""
+    docs.select("doc", F.coalesce("text", F.lit("")).alias("text")).write.mode("overwrite").parquet(path)
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(doc, text) of what `save` has written."""
+    return spark.read.schema("doc string, text string").parquet(path)
+
+
+def save_files(docs: DataFrame, path: str) -> None:
+    """Write documents (doc, text) as text for other programs, a folder doc=<name> for each: for as many as a file system takes."""
+    docs.select("doc", F.coalesce("text", F.lit("")).alias("value")).write.mode("overwrite").partitionBy("doc").option("lineSep", "\n").text(path)
+
+
+def load_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc, text) of what `save_files` has written."""
     rows = spark.read.schema("value string, doc string").text(path, wholetext=True)
     return rows.select("doc", F.expr("substring(value, 1, length(value) - 1)").alias("text"))
