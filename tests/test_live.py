@@ -103,6 +103,22 @@ def test_a_parent_is_forgotten_in_time(spark, tmp_path):
     assert lived(spark, tmp_path, rows, 4, parent_ttl_ms=5_000) == [("a", "p", "attached", 0), ("b", None, "expired", 5)]
 
 
+def test_the_moment_after_the_last_expires(spark, tmp_path):
+    """The watermark is one millisecond past the patience of a and at that of b."""
+    rows = [("a", 50, 1, 0), ("b", 51, 2, 1), ("end", 99, None, 26_001)]
+    assert lived(spark, tmp_path, rows, 3) == [("a", None, "expired", 5)]
+
+
+def test_milliseconds_are_rounded(spark, tmp_path):
+    """Half a millisecond goes up: 500 microseconds late is a retry's moment, and the child of the same millisecond is no orphan."""
+    rows = [("p", 1, None, 10_000_400), ("c", 50, 1, 10_000_500), ("d", 51, 2, 10_000_499), ("q", 2, None, 10_000_501), ("e", 52, 3, 10_000_600), ("r", 3, None, 10_000_500)]
+    df = spark.createDataFrame(rows, "id string, tab_id long, opener_tab_id long, t long").select("id", "tab_id", "opener_tab_id", F.timestamp_micros("t").alias("ts"))
+    assert [r[0] for r in df.orderBy("id").select(orphans.millis(F.col("ts"))).collect()] == [10_001, 10_000, 10_001, 10_000, 10_001, 10_001]
+    with rocksdb(spark):
+        got = run_through(orphans.orphan_timeline(replayed(df, str(tmp_path / "in"), "ts", 1)), str(tmp_path))
+    assert sorted((r.id, r.parent_id, r.retries, r.at) for r in got.collect()) == [("c", "p", 0, 10_001), ("d", "q", 0, 10_000), ("e", "r", 0, 10_001)]
+
+
 def test_stats_after_eviction(spark):
     waiting = spark.createDataFrame([(0, 100), (0, 400), (-1, 399), (5, 1000)], "tab long, at long")
     got = {r.tab: (r.orphans, r.oldest_age_ms) for r in orphans.waiting_stats(waiting, F.lit(1000), 600).collect()}

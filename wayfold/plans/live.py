@@ -100,9 +100,9 @@ def _lived(spark, sf_dir):
     v = _arrivals(spark, sf_dir)
     with folder(spark, "orphans") as path, rocksdb(spark):
         done = cut(run_through(orphans.orphan_timeline(replayed(v, f"{path}/in", "ts", SLICES), "1 minute", **KNOBS), path))
-    children = v.where("opener_tab_id IS NOT NULL").select("id", F.col("opener_tab_id").alias("tab"), F.unix_millis("ts").alias("at"))
+    children = v.where("opener_tab_id IS NOT NULL").select("id", F.col("opener_tab_id").alias("tab"), orphans.millis(F.col("ts")).alias("at"))
     lived = children.join(done.select("id", "parent_id", "state", "retries"), "id", "left").withColumn("state", F.coalesce("state", F.lit("waiting")))
-    return lived, v.agg(F.max(F.unix_millis("ts")).alias("now")).select(F.col("now") - 60_000)
+    return lived, v.agg(F.max(orphans.millis(F.col("ts"))).alias("now")).select(F.col("now") - 60_000)
 
 
 @query(f"WITH {TIMELINE} SELECT id, tab, parent_id, state, CAST(retries AS INTEGER) AS retries FROM lived")

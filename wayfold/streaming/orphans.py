@@ -11,6 +11,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -102,15 +103,24 @@ def attach_orphans(visits: DataFrame, timers: bool = False) -> DataFrame:
 
 # ------------------------------------------------------------------ event time
 TIMELINE = "tab long, id string, parent_id string, state string, retries int, at long"
+#: Groups of tabs, each with a state of its own. Fixed, as a restarted stream must find its tabs where they were.
+GROUPS = 256
+_HELD = pa.schema([("tab", pa.int64()), ("at", pa.int64()), ("id", pa.string()), ("is_child", pa.bool_())])
+
+
+def millis(ts: Column) -> Column:
+    """Milliseconds of a time, halves away from zero, as SQL's epoch_ms has them."""
+    return F.round(F.unix_micros(ts) / 1000).cast("long")
 
 
 class OrphanTimeline(StatefulProcessor):
     """The orphan buffer on event time: what happens depends on the visits' own times, not on when a job runs.
 
-    Keyed by tab; rows have id, is_child and at (milliseconds). A child takes the last parent at or before its time that is
-    remembered, else waits for the first later one. It is tried every `retry_ms`, `max_retries` times at most, and is too old
-    once more than `ttl_ms` have passed, so it waits for the shorter of both, its last moment included. A timer
-    one millisecond later expires it when the watermark gets there. Parents are forgotten `parent_ttl_ms` after their time.
+    Keyed by a group of tabs, so a call to the state store serves many of them; rows have tab, id, is_child and at (milliseconds). A
+    child takes the last parent of its tab at or before its time that is remembered, else waits for the first later one. It is tried
+    every `retry_ms`, `max_retries` times at most, and is too old once more than `ttl_ms` have passed, so it waits for the shorter
+    of both, its last moment included. The group's timer, at the first moment that anything ends, expires it once the
+    watermark is later. Parents are forgotten `parent_ttl_ms` after their time.
     """
 
     def __init__(self, ttl_ms: int = TTL_MS, retry_ms: int = RETRY_MS, max_retries: int = MAX_RETRIES, parent_ttl_ms: int = PARENT_TTL_MS):
@@ -119,8 +129,8 @@ class OrphanTimeline(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parents = handle.getListState("parents", "at long, id string")
-        self.waiting = handle.getListState("waiting", "at long, id string")
+        self.held = handle.getValueState("held", "rows binary")  # Arrow's stream format, so one value is read and written
+        self.next = handle.getValueState("next", "at long")
 
     def _match(self, at: int, parents: list) -> tuple | None:
         i = bisect_right(parents, (at, "\U0010ffff"))
@@ -130,56 +140,83 @@ class OrphanTimeline(StatefulProcessor):
             return parents[i][1], (parents[i][0] - at) // self.retry_ms
         return None
 
-    def _load(self, state) -> list:
-        return sorted(tuple(x) for x in state.get()) if state.exists() else []
-
-    def _settle(self, key, waiting: list, parents: list, timers) -> pd.DataFrame:
+    def _settle(self, rows: list, timers, fired: bool) -> pd.DataFrame:
         """Attach or expire what can be, keep the rest, and forget old parents."""
-        now, out, left = timers.getCurrentWatermarkInMs(), [], []
-        for at, child in waiting:
-            found = self._match(at, parents)
-            if found:
-                out.append((key[0], child, found[0], "attached", found[1], at))
-            elif at + self.patience < now:
-                out.append((key[0], child, None, "expired", self.patience // self.retry_ms, at))
-            else:
-                left.append((at, child))
-        parents = [p for p in parents if now - p[0] <= self.parent_ttl_ms]
-        for state, rows in ((self.waiting, left), (self.parents, parents)):
-            state.put(rows) if rows else state.clear()
-        for at, _ in left:
-            self.handle.registerTimer(at + self.patience + 1)
-        if parents:
-            self.handle.registerTimer(parents[-1][0] + self.parent_ttl_ms + 1)
+        now, out, left, ends = timers.getCurrentWatermarkInMs(), [], [], []
+        tabs: dict[int, tuple[list, list]] = {}
+        for tab, at, visit, is_child in (*rows, *self._load()):
+            tabs.setdefault(tab, ([], []))[is_child].append((at, visit))
+        for tab, (parents, waiting) in tabs.items():
+            parents.sort()
+            for at, child in waiting:
+                found = self._match(at, parents)
+                if found:
+                    out.append((tab, child, found[0], "attached", found[1], at))
+                elif at + self.patience < now:
+                    out.append((tab, child, None, "expired", self.patience // self.retry_ms, at))
+                else:
+                    left.append((tab, at, child, True))
+                    ends.append(at + self.patience)
+            kept = [(tab, at, visit, False) for at, visit in parents if now - at <= self.parent_ttl_ms]
+            left += kept
+            ends += [at + self.parent_ttl_ms for _, at, _, _ in kept[:1]]
+        self._store(left)
+        self._wake(min(ends, default=None), fired)
         return pd.DataFrame(out, columns=["tab", "id", "parent_id", "state", "retries", "at"])
 
+    def _load(self) -> Iterator[tuple]:
+        if not self.held.exists():
+            return iter(())
+        held = pa.ipc.open_stream(bytes(self.held.get()[0])).read_all()
+        return zip(*(c.to_pylist() for c in held.columns), strict=True)
+
+    def _store(self, rows: list) -> None:
+        if not rows:
+            self.held.clear()
+            return
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _HELD, strict=True)], schema=_HELD)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD) as out:
+            out.write_batch(batch)
+        self.held.update((sink.getvalue().to_pybytes(),))
+
+    def _wake(self, end: int | None, fired: bool) -> None:
+        """One timer a group."""
+        old = self.next.get()[0] if self.next.exists() else None
+        if old is not None and old != end and not fired:
+            self.handle.deleteTimer(old)
+        if end is None:
+            self.next.clear()
+        elif old != end or fired:
+            self.handle.registerTimer(end)
+            self.next.update((end,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows))
-        pairs = lambda part: list(zip(part["at"].astype(int).tolist(), part["id"], strict=True))
-        child = got["is_child"].astype(bool)
-        parents = sorted(self._load(self.parents) + pairs(got[~child]))
-        yield self._settle(key, sorted(self._load(self.waiting) + pairs(got[child])), parents, timerValues)
+        got = [zip(part["tab"].tolist(), part["at"].tolist(), part["id"], part["is_child"].tolist(), strict=True) for part in rows]
+        yield self._settle([r for part in got for r in part], timerValues, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._settle(key, self._load(self.waiting), self._load(self.parents), timerValues)
+        yield self._settle([], timerValues, True)
 
     def close(self) -> None:
         pass
 
 
-def orphan_timeline(visits: DataFrame, late: str = "1 minute", **knobs: int) -> DataFrame:
+def orphan_timeline(visits: DataFrame, late: str = "1 minute", groups: int = GROUPS, **knobs: int) -> DataFrame:
     """A stream of visits (id, tab_id, opener_tab_id, ts) to a stream of its children, each once: attached, with the retries it took, or expired.
 
-    Children not emitted are still waiting. Knobs are those of `OrphanTimeline`.
+    Children not emitted are still waiting. Tabs are dealt into `groups`, which bound the tasks. Knobs are those of `OrphanTimeline`.
     """
     ship(visits.sparkSession)
     parents = F.struct(F.col("tab_id").alias("tab"), "id", F.lit(False).alias("is_child"))
     children = F.struct(F.col("opener_tab_id").alias("tab"), "id", F.lit(True).alias("is_child"))
     events = (
-        visits.withWatermark("ts", late).select("ts", F.explode(F.array(parents, children)).alias("e"))
-        .select("ts", F.unix_millis("ts").alias("at"), "e.*").where("tab IS NOT NULL")
+        # the watermark has the milliseconds that visits are compared by
+        visits.withColumn("at", millis(F.col("ts"))).withColumn("ts", F.timestamp_millis("at")).withWatermark("ts", late)
+        .select("ts", "at", F.explode(F.array(parents, children)).alias("e")).select("ts", "at", "e.*").where("tab IS NOT NULL")
+        .withColumn("grp", F.pmod(F.xxhash64("tab"), F.lit(groups)).cast("int"))
     )
-    return events.groupBy("tab").transformWithStateInPandas(OrphanTimeline(**knobs), outputStructType=TIMELINE, outputMode="Append", timeMode="EventTime")
+    return events.groupBy("grp").transformWithStateInPandas(OrphanTimeline(**knobs), outputStructType=TIMELINE, outputMode="Append", timeMode="EventTime")
 
 
 def waiting_stats(waiting: DataFrame, now_ms: Column, ttl_ms: int = TTL_MS) -> DataFrame:
