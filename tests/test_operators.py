@@ -49,6 +49,19 @@ def test_orders_and_recent(spark):
     assert {r.tree_id for r in trees.recent(m, "q", 5).collect()} == {"r"} and {r.tree_id for r in api.recent_trees(m, limit=1).collect()} == {"q"}
 
 
+def test_rounds_move_numbers_and_paths_stay_short(spark):
+    """Columns ride along, numbers fit the edges, a path is an element a level, and siblings of one moment go by id."""
+    rows = [("r", None, "T0"), ("b", "r", "T1"), ("a", "r", "T1"), ("c", "b", "T2"), ("x", "gone", "T3"), ("s", "s", "T4")] + [(f"d{i:03d}", "c" if i == 0 else f"d{i - 1:03d}", "T5") for i in range(70)]
+    m = trees.rooted(spark.createDataFrame(rows, "id string, parent_id string, page_loaded_at string"), numbers=True)
+    got = {r.id: r for r in m.collect()}
+    assert got["d069"].tree_id == "r" and got["d069"].depth == 72 and got["x"].tree_id == "x" and got["s"].depth == 0
+    for i, p, at in rows:
+        r = got[i]
+        assert r.page_loaded_at == at and r.top == got[r.tree_id].n and r.up == (got[p].n if p in got and p != i else None)
+    path = {r.id: r.path for r in trees.preorder(m).collect()}
+    assert len(path["d069"]) == 73 and path["a"] < path["b"] < path["c"] < path["d000"] < path["d069"] and path["r"] == [0]
+
+
 VISITS = "id string, url string, referrer string, ts timestamp"
 
 

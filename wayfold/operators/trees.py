@@ -17,32 +17,44 @@ def roots(edges: DataFrame) -> DataFrame:
     join. A null parent, a parent that is no node, or the node itself makes a root. A cycle
     raises ValueError.
     """
-    nodes = edges.select("id", "parent_id")
-    known = nodes.select(F.col("id").alias("parent_id")).distinct()
-    rooted = nodes.join(known.withColumn("_in", F.lit(True)), "parent_id", "left").select(
-        "id", "parent_id", F.when(F.col("_in") & (F.col("parent_id") != F.col("id")), F.col("parent_id")).otherwise(F.col("id")).alias("up")
-    )
-    state = cut(rooted.withColumn("far", (F.col("up") != F.col("id")).cast("long")))
+    return rooted(edges.select("id", "parent_id"))
+
+
+def rooted(edges: DataFrame, numbers: bool = False) -> DataFrame:
+    """`edges` (id, parent_id, ...) with tree_id and depth, as `roots` tells them.
+
+    Nodes are numbered, so a round moves three numbers a row and no ids, and only of nodes that have not got to their root. With
+    `numbers` they are given too: n, up (the parent's, null for a root) and top (the root's).
+    """
+    own = ["first"] if numbers else []
+    nodes = cut(edges.withColumn("_n", F.monotonically_increasing_id()))  # kept, so the numbers stay what they are
+    known = nodes.groupBy(F.col("id").alias("_i")).agg(F.min("_n").alias("_p"))
+    given = nodes.where("parent_id IS NOT NULL AND parent_id <> id").select("_n", "parent_id")
+    state = cut(given.join(known, F.col("parent_id") == F.col("_i")).select(F.col("_n").alias("n"), F.col("_p").alias("up"), F.lit(1).cast("long").alias("far"), *[F.col("_p").alias(c) for c in own]))
+    active, done = state, None
     # the longest path has fewer steps than nodes, so what still moves after this runs in a cycle
     for _ in range(state.count().bit_length() + 1):
-        jump = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2")).where("far2 > 0")
-        if jump.isEmpty():
+        if active.isEmpty():
             break
-        new = cut(
-            state.join(jump, "up", "left").select(
-                "id", "parent_id", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"),
-                F.col("up2").isNotNull().alias("moved"),
-            )
-        )
-        if new.where("moved and id = up and far > 0").head(1):
+        rows = active if done is None else active.unionByName(done)
+        jump = rows.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
+        new = cut(active.join(jump, "up", "left").select("n", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("up2").isNotNull().alias("moved"), *own))
+        if new.where("moved and n = up").head(1):
             raise ValueError("the parent edges contain a cycle")
-        moved = new.where("moved").head(1)
-        state = new.drop("moved")
-        if not moved:
-            break
+        # a node whose ancestor has none itself is there
+        still = new.where("NOT moved").drop("moved")
+        done = still if done is None else done.unionByName(still)
+        active = new.where("moved").drop("moved")
     else:
-        raise ValueError("the parent edges contain a cycle")
-    return state.select("id", "parent_id", F.col("up").alias("tree_id"), F.col("far").alias("depth"))
+        if not active.isEmpty():
+            raise ValueError("the parent edges contain a cycle")
+    state = state if done is None else done
+    named = nodes.select(F.col("_n").alias("up"), F.col("id").alias("tree_id"))
+    below = state.join(named, "up").select("n", "tree_id", "far", F.col("up").alias("_top"), *own)
+    told = [F.col("_n").alias("n"), F.col("first").alias("up"), F.coalesce("_top", "_n").alias("top")] if numbers else []
+    return nodes.join(below, F.col("_n") == F.col("n"), "left").select(
+        *edges.columns, F.coalesce("tree_id", "id").alias("tree_id"), F.coalesce("far", F.lit(0)).cast("long").alias("depth"), *told
+    )
 
 
 def tree_times(members: DataFrame) -> DataFrame:
@@ -114,17 +126,30 @@ def built(members: DataFrame) -> DataFrame:
 def preorder(members: DataFrame, steps: int = 40) -> DataFrame:
     """(tree_id, id, path): an array that sorts a tree's members before their descendants, siblings in time order.
 
-    A path holds each ancestor's time and id, from the root down. Paths double their length each
-    round, like the pointers of `roots`, so a tree of any depth below 2^`steps` takes a few joins.
+    A path holds each ancestor's place among its siblings, from the root down, see `paths`.
+    """
+    m = cut(members.select("tree_id", "id", "page_loaded_at", "parent_id").withColumn("n", F.monotonically_increasing_id()))
+    above = m.select(F.col("tree_id").alias("_t"), F.col("id").alias("_i"), F.col("n").alias("up"))
+    hung = m.where("id <> tree_id").join(above, (F.col("tree_id") == F.col("_t")) & (F.col("parent_id") == F.col("_i"))).select("n", "up")
+    found = paths(m.join(hung, "n", "left").select("n", "up", "tree_id", "page_loaded_at", "id"), "tree_id", steps)
+    return m.select("n", "tree_id", "id").join(found, "n").select("tree_id", "id", "path")
+
+
+def paths(placed: DataFrame, tree: str, steps: int = 40) -> DataFrame:
+    """(n, path) of numbered members (n, up, page_loaded_at, id and the `tree` they are of); a null `up` is a top one.
+
+    Paths double their length each round, like the pointers of `rooted`, so a tree of any depth below 2^`steps` takes a few joins
+    of numbers.
     """
-    own = F.array(F.concat_ws(" ", "page_loaded_at", "id"))
-    state = cut(members.select("tree_id", "id", F.when(F.col("id") != F.col("tree_id"), F.col("parent_id")).alias("up"), own.alias("path")))
+    family = F.coalesce(F.col("up").cast("string"), F.concat(F.lit("of "), F.col(tree).cast("string")))
+    rows = placed.select("n", "up", family.alias("family"), "page_loaded_at", "id")
+    nth = numbered(rows, ["family"], F.substring("page_loaded_at", 1, 10), [F.asc("page_loaded_at"), F.asc("id")], "nth")
+    state = cut(nth.select("n", "up", F.array("nth").alias("path")))
+    active, done = state.where("up IS NOT NULL"), state.where("up IS NULL")
     for _ in range(steps):
-        above = state.select(F.col("tree_id").alias("_t"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("path").alias("_path"))
-        state = cut(
-            state.join(above, (F.col("tree_id") == F.col("_t")) & (F.col("up") == F.col("_i")), "left")
-            .select("tree_id", "id", F.col("_up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("_path", "path")).alias("path"))
-        )
-        if state.where("up IS NOT NULL").isEmpty():
-            return state.select("tree_id", "id", "path")
+        if active.isEmpty():
+            return done.select("n", "path")
+        above = active.unionByName(done).select(F.col("n").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
+        new = cut(active.join(above, "up").select("n", F.col("_up").alias("up"), F.concat("_path", "path").alias("path")))
+        active, done = new.where("up IS NOT NULL"), done.unionByName(new.where("up IS NULL"))
     raise ValueError("the parent edges contain a cycle")
