@@ -131,3 +131,25 @@ def test_a_search_meets_its_own_run_only(spark, monkeypatch):
     assert near[0] == near[1] and len(near[0]) > 50
     assert sizes[1][0] <= 3 * sizes[0][0] and sizes[1][1] < sizes[0][1] / 4
     assert batches.searches(table, log.where("kind <> 'search'"), 2).count() == 0
+
+
+def test_parts_of_asks_and_ties(spark, tmp_path, monkeypatch):
+    """Asks in parts meet every slice; copies go by key, and rows that a product of matrices cannot tell apart are measured."""
+    rng = np.random.default_rng(9)
+    near = [[1e6 + float(x), 0.0] for x in rng.normal(scale=1e-3, size=60)]
+    vectors = near + [[5.0, 5.0]] * 20 + [[float("inf"), 1.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "key long, vector array<double>")
+    asks = [(i, vectors[i]) for i in range(0, 80, 7)]
+    asked = spark.createDataFrame(asks, "ask long, vector array<double>")
+    want = {a: [k for _, k in sorted((sum((x - y) ** 2 for x, y in zip(o, v, strict=True)), k) for k, o in enumerate(vectors))[:6]] for a, v in asks}
+    monkeypatch.setattr(namespaces, "ASKS", 3)
+    for rows in (df, df.where("key < 80")):
+        assert found(namespaces.search_many(rows, asked, 6)) == want
+        assert found(namespaces.search_many(rows, asked, 6, slices=4)) == want
+    blocks = []
+    whole = namespaces.nearest_in_blocks
+    monkeypatch.setattr(namespaces, "nearest_in_blocks", lambda d, a, on, k: blocks.append(a.groupBy(*on).count().agg({"count": "max"}).first()[0]) or whole(d, a, on, k))
+    assert found(namespaces.search_many(df, asked, 6)) == want and blocks[0] < len(asks)
+    kept = namespaces.VectorNamespace(spark, str(tmp_path))
+    kept.build(df.where("key < 80"), lists=3)
+    assert found(kept.search(asked, 6, 3)) == want

@@ -20,6 +20,8 @@ from .vectors import predicate
 SLICE = 65_536
 #: Queries that one task compares with a slice.
 ASKS = 16_384
+#: Numbers of a product of matrices that are held at once.
+CELLS = 1 << 22
 #: Most lists, which bounds what a probe sends to executors.
 MOST_LISTS = 4096
 
@@ -29,6 +31,28 @@ def _matrix(column, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
 
 
+def _nearest(m: np.ndarray, q: np.ndarray, k: int):
+    """Yield (ask, rows, distances): the k rows of `m` nearest to each row of `q`, ties to smaller rows.
+
+    A product of matrices tells which rows may be among them, its error allowed for; those are measured exactly. Nothing larger than
+    `CELLS` numbers is held.
+    """
+    exactly = lambda i, at: np.square(m[at] - q[i]).sum(axis=1)
+    own, length = np.square(q).sum(axis=1), np.square(m).sum(axis=1)
+    safe = np.isfinite(own).all() and np.isfinite(length).all() and len(m) > k
+    step = max(1, CELLS // max(1, len(m)))
+    for a in range(0, len(q), step):
+        if safe:
+            rough = length[None, :] - 2 * (q[a : a + step] @ m.T)  # less the ask's own length, which orders nothing
+            error = 1e-9 * (own[a : a + step] + length.max()) + np.finfo(float).tiny
+            near = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error)[:, None]
+        for i in range(a, min(a + step, len(q))):
+            at = np.flatnonzero(near[i - a]) if safe else np.arange(len(m))
+            d = exactly(i, at)
+            best = np.argsort(d, kind="stable")[:k]
+            yield i, at[best], d[best]
+
+
 def nearest_in_blocks(rows: DataFrame, asks: DataFrame, on: list[str], k: int, spans: bool = False) -> DataFrame:
     """(ask, key, _distance, rank): the k rows nearest to each ask among those that share its block.
 
@@ -50,11 +74,13 @@ def nearest_in_blocks(rows: DataFrame, asks: DataFrame, on: list[str], k: int, s
         if spans:
             since, until = (left.column(c).to_numpy() for c in ("since", "until"))
             seq = right.column("seq").to_numpy()
-        for i in range(len(q)):
-            live = np.flatnonzero((since < seq[i]) & (seq[i] < until)) if spans else np.arange(len(m))
+        for i in range(len(q)) if spans else ():
+            live = np.flatnonzero((since < seq[i]) & (seq[i] < until))
             d = np.square(m[live] - q[i]).sum(axis=1)
             best = np.argsort(d, kind="stable")[:k]  # rows are in key order, so ties go to smaller keys
             out.append((i, live[best], d[best]))
+        if not spans:
+            out.extend(_nearest(m, q, k))
         at = np.concatenate([np.full(len(b), i) for i, b, _ in out]) if out else np.zeros(0, np.int64)
         near = np.concatenate([b for _, b, _ in out]) if out else np.zeros(0, np.int64)
         return pa.table({
@@ -71,13 +97,16 @@ def nearest_in_blocks(rows: DataFrame, asks: DataFrame, on: list[str], k: int, s
 def search_many(rows: DataFrame, asks: DataFrame, k: int, filters: Mapping[str, object] | None = None, slices: int | None = None) -> DataFrame:
     """The k rows (key, vector, ...) nearest to each ask (ask, vector), exactly: every row is compared with every ask.
 
-    Rows are dealt into slices and the asks go to each; a task sends on k rows an ask.
+    Rows are dealt into slices and asks into parts, and each slice meets each part in a task of its own, which sends on k rows an ask.
+    The work is rows x asks by nature; a task's is bounded.
     """
     rows = rows.where(predicate(filters))
-    slices = slices or max(1, -(-rows.count() // SLICE))
-    dealt = rows.select("key", "vector", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int").alias("slice"))
-    everywhere = asks.select("ask", "vector", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    return nearest_in_blocks(dealt, everywhere, ["slice"], k)
+    slices, parts = slices or max(1, -(-rows.count() // SLICE)), max(1, -(-asks.count() // ASKS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    dealt = rows.select("key", "vector", of("key", slices).alias("slice"), every(parts).alias("part"))
+    everywhere = asks.select("ask", "vector", of("ask", parts).alias("part"), every(slices).alias("slice"))
+    return nearest_in_blocks(dealt, everywhere, ["slice", "part"], k)
 
 
 def _closest(centroids: np.ndarray, n: int, vector: str) -> Column:
@@ -145,17 +174,20 @@ class VectorNamespace:
         """(ask, key, _distance, rank): the k nearest rows to each ask (ask, vector) in its `probes` closest lists, scored exactly.
 
         With as many probes as lists the result is exact. Lists that nobody probes are pruned as partitions; a long list is
-        dealt into slices, and its queries go to each.
+        dealt into slices and many queries of a list into parts, and each slice meets each part.
         """
         centroids = self.centroids()
         asked = cut(asks.select("ask", "vector", F.explode(_closest(centroids, probes, "vector")).alias("list")))
         wanted = [r[0] for r in asked.select("list").distinct().collect()]  # at most as many as there are lists
         rows = self.rows().where(F.col("list").isin(wanted) & predicate(filters))
         sizes = rows.groupBy("list").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-        sizes = F.broadcast(cut(sizes))  # a row a list
-        dealt = rows.join(sizes, "list").select("key", "vector", "list", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("slice"))
-        asked = asked.join(sizes, "list").select("ask", "vector", "list", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-        return nearest_in_blocks(dealt, asked, ["list", "slice"], k)
+        probed = asked.groupBy("list").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts"))
+        sizes = F.broadcast(cut(sizes.join(probed, "list")))  # a row a list
+        of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        dealt = rows.join(sizes, "list").select("key", "vector", "list", of("key", "slices").alias("slice"), every("parts").alias("part"))
+        asked = asked.join(sizes, "list").select("ask", "vector", "list", of("ask", "parts").alias("part"), every("slices").alias("slice"))
+        return nearest_in_blocks(dealt, asked, ["list", "slice", "part"], k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
