@@ -133,6 +133,20 @@ def test_documents_as_files(spark, tmp_path):
     assert sorted(map(tuple, documents.load(spark, str(tmp_path / "notes")).collect())) == sorted(rows)
 
 
+def test_files_of_frames_and_batches_are_bounded(spark, tmp_path, monkeypatch):
+    from wayfold.sources import frames
+
+    monkeypatch.setattr(frames, "FRAMES", 10)
+    frames.write_frames(spark.range(35).coalesce(1).selectExpr("concat('\"', id, '\"') AS value"), str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("part-*"))) == 4
+    assert sorted(int(r.value.strip().strip('"')) for r in frames.read_frames(spark, str(tmp_path / "in")).collect()) == list(range(35))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    with frames.small_batches(spark, 1000):
+        assert spark.conf.get(key).rstrip("b") == "1000"
+    assert spark.conf.get(key) == old
+
+
 def test_many_documents_share_files(spark, tmp_path):
     """Files do not grow with documents; names, line ends and line feeds of any kind come back, and so does the form of a file each."""
     rows = [(f"d/{i}", f"# {i}\r\n\n" * (i % 3)) for i in range(300)] + [("null", None)]

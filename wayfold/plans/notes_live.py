@@ -56,7 +56,7 @@ def _sorted_out(messages):
 @query(FRAMED)
 def ingest_framed(spark, sf_dir):
     """Length-prefixed messages read back, unpacked and sorted into accepted and rejected."""
-    with folder(spark, "frames") as path:
+    with folder(spark, "frames") as path, frames.small_batches(spark):
         _framed(spark, sf_dir, path)
         return cut(_sorted_out(frames.read_frames(spark, f"{path}/in")))
 
@@ -64,7 +64,7 @@ def ingest_framed(spark, sf_dir):
 @query(FRAMED)
 def stream_framed(spark, sf_dir):
     """The same from a stream, a file a batch."""
-    with folder(spark, "frames") as path:
+    with folder(spark, "frames") as path, frames.small_batches(spark):
         _framed(spark, sf_dir, path)
         messages = cut(run_through(frames.stream_frames(spark, f"{path}/in", 1).drop("path"), path))
         return cut(_sorted_out(messages))

@@ -7,6 +7,8 @@ partitions, and a stream's offsets are the files that it has seen.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +18,24 @@ from ..session import ship
 
 #: Bytes of the longest message that is taken; a length beyond it is no length.
 MOST = 64 << 20
+#: Frames of a file that is written, at most: a file is read whole by a task.
+FRAMES = 1_000
 _KINDS = "path string, nth long, value string, reason string"
 
 
-def split_frames(content: bytes, most: int = MOST):
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> Iterator[None]:
+    """Batches of at most about `size` bytes to Python while it holds: unpacked, a batch is many times as large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def split_frames(content: bytes | memoryview, most: int = MOST):
     """Yield (message, reason) of each frame; one of both is null.
 
     A frame that is no UTF-8 is told and passed over. After a length that is too long, or that the file does not
@@ -39,7 +55,7 @@ def split_frames(content: bytes, most: int = MOST):
             yield None, "frame cut short"
             return
         try:
-            yield body.decode(), None
+            yield str(body, "utf-8"), None
         except UnicodeDecodeError:
             yield None, "frame is not UTF-8"
         at += 4 + n
@@ -53,7 +69,7 @@ def _split(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, held = [], 0
-                for nth, (value, reason) in enumerate(split_frames(content.as_py())):
+                for nth, (value, reason) in enumerate(split_frames(memoryview(content.as_buffer()))):
                     rows.append((path, nth, value, reason))
                     held += len(value or "")
                     if held > 8 << 20:
@@ -86,4 +102,4 @@ def write_frames(messages: DataFrame, path: str, value: str = "value") -> None:
     n = F.octet_length(body) + 1
     size = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftrightunsigned(n, 8 * i).bitwiseAND(255).cast("long")), 2, "0") for i in range(4)]))
     frame = F.concat(size, body).cast("string")
-    messages.where(F.col(value).isNotNull()).select(frame.alias("value")).write.option("lineSep", "\n").text(path)
+    messages.where(F.col(value).isNotNull()).select(frame.alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FRAMES).text(path)
