@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wayfold.operators.asof import prefix_nearest
@@ -64,6 +65,80 @@ def test_nodes_of_a_tree_of_several_levels(spark, tmp_path):
     }
 
 
+class Held:
+    """A state variable in memory that counts the calls it gets."""
+
+    def __init__(self, calls):
+        self.calls, self.rows, self.map = calls, [], {}
+
+    def _call(self, result=None):
+        self.calls.append(1)
+        return result
+
+    def exists(self):
+        return self._call(bool(self.rows))
+
+    def get(self):
+        return self._call(iter(list(self.rows)))
+
+    def appendValue(self, row):
+        self._call(self.rows.append(row))
+
+    def put(self, rows):
+        self.rows = self._call(list(rows))
+
+    def containsKey(self, key):
+        return self._call(key in self.map)
+
+    def getValue(self, key):
+        return self._call(self.map[key])
+
+    def updateValue(self, key, value):
+        self._call(self.map.update({key: value}))
+
+    def keys(self):
+        return self._call(iter(list(self.map)))
+
+
+class Handle:
+    def __init__(self, calls):
+        self.calls = calls
+
+    def getListState(self, *_):
+        return Held(self.calls)
+
+    getMapState = getListState
+
+
+def placed_in(rows, batches):
+    """What the operator answers to one group's visits in so many micro-batches, and the calls to the state store that each takes."""
+    got, calls, operator = {}, [], trees.TreeInsert()
+    operator.init(Handle(calls))
+    taken = []
+    for i in range(batches):
+        part = pd.DataFrame(rows[i * len(rows) // batches : (i + 1) * len(rows) // batches], columns=["id", "owner", "at", "url", "referrer"]).astype({"owner": str})
+        before = len(calls)
+        for out in operator.handleInputRows((0,), iter([part[:3], part[3:]]), None):
+            for r in out.astype(object).where(out.notna(), None).itertuples():
+                assert r.is_new == (r.id not in got)
+                got.setdefault(r.id, (r.parent_id, r.tree_id))
+        taken.append(len(calls) - before)
+    return got, taken
+
+
+def test_calls_to_the_state_store_do_not_grow_with_the_visits():
+    for n in (60, 600):
+        got, taken = placed_in(browsing(n, 6), 3)
+        assert max(taken) <= 3 and got == brute_trees(browsing(n, 6))
+
+
+def test_pieces_of_a_state_are_made_one():
+    """More micro-batches than pieces, with ids that come again after that."""
+    rows = browsing(3 * trees.PIECES, 7)
+    got, taken = placed_in(rows + rows[:6], len(rows) // 2 + 3)
+    assert got == brute_trees(rows) and max(taken) <= 3
+
+
 def test_nearest_on_both_sides(spark):
     rng = random.Random(4)
     rows = [(f"v{i:03d}", 0, rng.randrange(0, 400_000, 1000), u, r) for i, (_, _, _, u, r) in enumerate(browsing(150, 3))]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -14,130 +17,118 @@ from ..session import ship
 
 OUT = "owner string, id string, parent_id string, tree_id string, at long, is_new boolean"
 _COLUMNS = ["owner", "id", "parent_id", "tree_id", "at", "is_new"]
-
-
-def authority(url: str) -> tuple[str, bool]:
-    """(scheme and host, whether a path follows, so that no other host can begin with it)."""
-    scheme, sep, rest = url.partition("://")
-    host, slash, _ = rest.partition("/")
-    return (f"{scheme}{sep}{host}", bool(slash)) if sep else (url, False)
+#: Groups of owners, each with a state of its own. Fixed, as a restarted stream must find its owners where they were.
+GROUPS = 1024
+#: Pieces of a group's state, one for each micro-batch that brought something, before they are made one.
+PIECES = 64
+_HELD = pa.schema([("owner", pa.string()), ("id", pa.string()), ("parent", pa.string()), ("tree", pa.string()), ("at", pa.int64()), ("url", pa.string())])
 
 
 class PrefixIndex:
-    """The pages of one owner: for each host its URLs in order, for each URL its visits in time order.
-
-    Both levels are maps in the state store, so a look-up reads the hosts and URLs that it
-    touches, and what it changed is written back once.
-    """
+    """The pages of one owner: their URLs in order, and for each URL its visits in time order."""
 
-    def __init__(self, hosts, pages):
-        self.stores = {"hosts": hosts, "pages": pages}
-        self.read: dict[str, dict] = {"hosts": {}, "pages": {}}
-        self.changed: dict[str, set] = {"hosts": set(), "pages": set()}
-        self.names: list[str] | None = None
-
-    def _get(self, level: str, key: str) -> list:
-        known = self.read[level]
-        if key not in known:
-            store = self.stores[level]
-            known[key] = list(store.getValue((key,))[0]) if store.containsKey((key,)) else []
-            if level == "pages":
-                known[key] = [tuple(v) for v in known[key]]
-        return known[key]
-
-    def _hosts(self, beginning: str) -> list[str]:
-        if self.names is None:
-            self.names = sorted({k[0] for k in self.stores["hosts"].keys()} | set(self.read["hosts"]))
-        return [h for h in self.names[bisect_left(self.names, beginning) :] if h.startswith(beginning)]
+    def __init__(self, visits: Iterable[tuple[str, int, str, str]] = ()):
+        self.visits: dict[str, list] = {}
+        for url, at, visit, tree in visits:
+            self.visits.setdefault(url, []).append((at, visit, tree))
+        for times in self.visits.values():
+            times.sort()
+        self.urls = sorted(self.visits)
 
     def add(self, url: str, at: int, visit: str, tree: str) -> None:
-        host = authority(url)[0]
-        urls = self._get("hosts", host)
-        if self.names is not None and not urls and host not in self.names:
-            insort(self.names, host)
-        place = bisect_left(urls, url)
-        if place == len(urls) or urls[place] != url:
-            urls.insert(place, url)
-            self.changed["hosts"].add(host)
-        insort(self._get("pages", url), (at, visit, tree))
-        self.changed["pages"].add(url)
+        if url not in self.visits:
+            insort(self.urls, url)
+            self.visits[url] = []
+        insort(self.visits[url], (at, visit, tree))
 
     def nearest(self, beginning: str, at: int) -> tuple[str, str] | None:
         """(id, tree) of the visit nearest in time whose URL begins so; equal gaps go to the later visit, then the larger id."""
-        host, whole = authority(beginning)
         best = None
-        for name in [host] if whole else self._hosts(beginning):
-            urls = self._get("hosts", name)
-            for url in urls[bisect_left(urls, beginning) :]:
-                if not url.startswith(beginning):
-                    break
-                visits = self._get("pages", url)
-                i = bisect_right(visits, (at, "\U0010ffff"))
-                around = [visits[i - 1]] if i else []
-                if i < len(visits):
-                    last = bisect_right(visits, (visits[i][0], "\U0010ffff")) - 1
-                    around.append(visits[last])
-                for when, visit, tree in around:
-                    found = (-abs(when - at), when, visit, tree)
-                    best = found if best is None or found > best else best
+        for i in range(bisect_left(self.urls, beginning), len(self.urls)):
+            if not self.urls[i].startswith(beginning):
+                break
+            visits = self.visits[self.urls[i]]
+            j = bisect_right(visits, (at, "\U0010ffff"))
+            around = [visits[j - 1]] if j else []
+            if j < len(visits):
+                last = bisect_right(visits, (visits[j][0], "\U0010ffff")) - 1
+                around.append(visits[last])
+            for when, visit, tree in around:
+                found = (-abs(when - at), when, visit, tree)
+                best = found if best is None or found > best else best
         return None if best is None else best[2:]
 
-    def write(self) -> None:
-        for level, store in self.stores.items():
-            for key in self.changed[level]:
-                store.updateValue((key,), (self.read[level][key],))
-
 
 class TreeInsert(StatefulProcessor):
-    """Keyed by owner: gives each arriving visit its parent and its tree.
+    """Keyed by a group of owners: gives each arriving visit its parent and its tree.
 
-    Visits of a micro-batch are taken by time, then id. A visit with a referrer joins the tree of the nearest visit
+    An owner's visits of a micro-batch are taken by time, then id. A visit with a referrer joins the tree of the nearest visit
     so far whose URL begins with it; any other, and one whose referrer nobody has seen, roots a tree under its own id. An
-    id that has been seen is answered as before, with is_new false, and changes nothing.
+    id that has been seen is answered as before, with is_new false, and changes nothing. A micro-batch reads a group's state once and adds
+    one piece to it, in Arrow's stream format, so calls to the state store are as many as groups and not as visits.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.hosts = handle.getMapState("hosts", "host string", "urls array<string>")
-        self.pages = handle.getMapState("pages", "url string", "visits array<struct<at:long,id:string,tree:string>>")
-        self.known = handle.getMapState("known", "id string", "parent string, tree string, at long")
+        self.held = handle.getListState("held", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        index, out, fresh = PrefixIndex(self.hosts, self.pages), [], {}
-        got = pd.concat(list(rows)).sort_values(["at", "id"])
-        for visit, at, url, referrer in zip(got["id"], got["at"], got["url"], got["referrer"], strict=True):
-            if visit not in fresh and self.known.containsKey((visit,)):
-                fresh[visit] = tuple(self.known.getValue((visit,)))
-            if visit in fresh:
-                parent, tree, first = fresh[visit]
-                out.append((key[0], visit, parent, tree, first, False))
-                continue
-            near = index.nearest(referrer, int(at)) if referrer else None
-            parent, tree = near or (None, visit)
-            if url is not None:
-                index.add(url, int(at), visit, tree)
-            fresh[visit] = (parent, tree, int(at))
-            self.known.updateValue((visit,), fresh[visit])
-            out.append((key[0], visit, parent, tree, int(at), True))
-        index.write()
+        got = pd.concat(list(rows)).sort_values(["owner", "at", "id"])
+        pieces = [pa.ipc.open_stream(bytes(p[0])).read_all() for p in self.held.get()] if self.held.exists() else []
+        past: dict[str, list] = {owner: [] for owner in got["owner"]}
+        for piece in pieces:
+            for owner, *visit in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                if owner in past:
+                    past[owner].append(visit)
+        arriving = zip(got["owner"], got["at"].tolist(), got["id"], got["url"], got["referrer"], strict=True)
+        out, fresh = [], []
+        for owner, visits in groupby(arriving, itemgetter(0)):
+            known = {visit: (parent, tree, at) for visit, parent, tree, at, _ in past[owner]}
+            index = PrefixIndex((url, at, visit, tree) for visit, _, tree, at, url in past[owner] if url is not None)
+            for _, at, visit, url, referrer in visits:
+                if visit in known:
+                    out.append((owner, visit, *known[visit], False))
+                    continue
+                near = index.nearest(referrer, at) if referrer else None
+                parent, tree = near or (None, visit)
+                if url is not None:
+                    index.add(url, at, visit, tree)
+                known[visit] = (parent, tree, at)
+                fresh.append((owner, visit, parent, tree, at, url))
+                out.append((owner, visit, parent, tree, at, True))
+        self._keep(pieces, fresh)
         yield pd.DataFrame(out, columns=_COLUMNS)
 
+    def _keep(self, pieces: list[pa.Table], fresh: list[tuple]) -> None:
+        if not fresh:
+            return
+        piece = pa.table([pa.array(c, f.type) for c, f in zip(zip(*fresh, strict=True), _HELD, strict=True)], schema=_HELD)
+        whole = len(pieces) >= PIECES
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+            out.write_table(pa.concat_tables([*pieces, piece]).combine_chunks() if whole else piece)
+        row = (sink.getvalue().to_pybytes(),)
+        if whole:
+            self.held.put([row])
+        else:
+            self.held.appendValue(row)
+
     def close(self) -> None:
         pass
 
 
-def insert_into_trees(visits: DataFrame, owner: str | Column = "tab_id") -> DataFrame:
+def insert_into_trees(visits: DataFrame, owner: str | Column = "tab_id", groups: int = GROUPS) -> DataFrame:
     """A stream of visits (id, url, referrer, ts and an owner) to a stream of their places in trees.
 
-    The owner is whose browsing it is: parents are looked for among the owner's visits only, so owners spread over the
-    cluster, and a look-up reads the state of one host, however long the history. Visits without an id, a time or an owner
-    are left out. Rows are owner, id, parent_id, tree_id, at (microseconds) and is_new.
+    The owner is whose browsing it is: parents are looked for among the owner's visits only, so owners are dealt into `groups`, which
+    bound the tasks and spread over the cluster; a micro-batch reads the state of the groups that it touches. Visits without an id,
+    a time or an owner are left out. Rows are owner, id, parent_id, tree_id, at (microseconds) and is_new.
     """
     ship(visits.sparkSession)
     own = (F.col(owner) if isinstance(owner, str) else owner).cast("string")
     rows = visits.select(own.alias("owner"), "id", F.unix_micros("ts").alias("at"), "url", "referrer").where(
         "owner IS NOT NULL AND id IS NOT NULL AND at IS NOT NULL"
-    )
-    return rows.groupBy("owner").transformWithStateInPandas(TreeInsert(), outputStructType=OUT, outputMode="Append", timeMode="None")
+    ).withColumn("grp", F.pmod(F.xxhash64("owner"), F.lit(groups)).cast("int"))
+    return rows.groupBy("grp").transformWithStateInPandas(TreeInsert(), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
 def kept_trees(placed: DataFrame) -> DataFrame:
