@@ -227,3 +227,16 @@ def test_rules_compare_kinds_strictly_and_paths_may_miss(spark):
     assert hit("n", "equals", 5) and hit("t", "equals", "5") and hit("s.b", "equals", "x") and hit("t", "greater_than", 4)
     for other in (("t", "equals", 5), ("n", "equals", "5"), ("s.c", "equals", "x"), ("s.b.d", "equals", "x"), ("t", "greater_than", "many"), ("t", "less_than", [1])):
         assert not hit(*other)
+
+
+def test_visits_move_no_texts_that_others_make(spark):
+    """The id and the time as text are made after the rows have been moved to their tabs, and edges keep wanted columns only."""
+    from wayfold.plans import browsing
+    from wayfold.sources import tables
+
+    data = "/root/testdata/sf0.001"
+    above, below = tables.visits(spark, data)._jdf.queryExecution().optimizedPlan().toString().split("Window", 1)
+    assert "md5(" in above and "md5(" not in below and "date_format(" not in below
+    assert browsing.edges(spark, data, ["tab_id"]).columns == ["id", "tab_id", "parent_id"]
+    want = {r.id: r.parent_id for r in browsing.edges(spark, data).collect()}
+    assert {r.id: r.parent_id for r in browsing.edges(spark, data, []).collect()} == want

@@ -18,16 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page visits read off the event stream: a user is a tab, a signup starts afresh."""
     e = table(spark, sf_dir, "events")
-    seen = (
-        e.select(
-            "event_id", "event_type", F.col("user_id").alias("tab_id"), F.col("ts").cast("timestamp").alias("ts"),
-            F.concat(F.lit("https://"), "event_type", F.lit(".example.com/"), F.get_json_object("props", "$.k")).alias("url"),
-        )
+    seen = e.select(
+        "event_id", "event_type", F.col("user_id").alias("tab_id"), F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("https://"), "event_type", F.lit(".example.com/"), F.get_json_object("props", "$.k")).alias("url"),
+    )
+    last = F.lag("url").over(Window.partitionBy("tab_id").orderBy("ts", "event_id"))
+    # the long texts are made of the others once those have been moved
+    return (
+        seen.withColumn("referrer", F.when(F.col("event_type") != "signup", last))
         .withColumn("page_loaded_at", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
         .withColumn("id", url.page_id(F.col("url"), F.col("page_loaded_at")))
     )
-    last = F.lag("url").over(Window.partitionBy("tab_id").orderBy("ts", "event_id"))
-    return seen.withColumn("referrer", F.when(F.col("event_type") != "signup", last))
 
 
 def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
