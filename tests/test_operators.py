@@ -240,3 +240,29 @@ def test_visits_move_no_texts_that_others_make(spark):
     assert browsing.edges(spark, data, ["tab_id"]).columns == ["id", "tab_id", "parent_id"]
     want = {r.id: r.parent_id for r in browsing.edges(spark, data).collect()}
     assert {r.id: r.parent_id for r in browsing.edges(spark, data, []).collect()} == want
+
+
+def test_trees_move_numbers_and_no_ids(spark):
+    """Ids are made last: visits are kept without them, and what climbs to the roots are numbers."""
+    from wayfold.plans import browsing
+
+    v = browsing.numbered_visits(spark, "/root/testdata/sf0.001", ["tab_id"])
+    assert dict(v.dtypes) == {"at": "bigint", "url": "string", "referrer": "string", "tab_id": "bigint", "n": "bigint"}
+    found = browsing.links(v)
+    assert {t for _, t in found.dtypes} == {t for _, t in trees.climbed(found).dtypes} == {"bigint"}
+
+
+def test_visits_of_one_id_have_one_parent(spark, tmp_path):
+    """Two tabs open one page in the same microsecond, from different pages: each visit is told once, with the latest parent, as in SQL."""
+    import duckdb
+
+    from wayfold.plans import browsing
+
+    rows = [(0, 0, 1, "view", 1), (1, 10, 2, "click", 2), (2, 20, 1, "purchase", 3), (3, 20, 2, "purchase", 3), (4, 30, 1, "error", 4)]
+    spark.createDataFrame([(i, t, u, k, json.dumps({"k": n})) for i, t, u, k, n in rows], "event_id long, t long, user_id long, event_type string, props string").select(
+        "event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "event_type", "props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(map(repr, c.sql(f"WITH {browsing.EDGES} SELECT id, parent_id, tab_id FROM edges").fetchall()))
+    assert sorted(repr(tuple(r)) for r in browsing.edges(spark, str(tmp_path), ["tab_id"]).select("id", "parent_id", "tab_id").collect()) == want
+    assert browsing.members(spark, str(tmp_path), ["tab_id"]).count() == 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, kept
 from .order import numbered
 
 
@@ -26,20 +26,31 @@ def rooted(edges: DataFrame, numbers: bool = False) -> DataFrame:
     Nodes are numbered, so a round moves three numbers a row and no ids, and only of nodes that have not got to their root. With
     `numbers` they are given too: n, up (the parent's, null for a root) and top (the root's).
     """
-    own = ["first"] if numbers else []
-    nodes = cut(edges.withColumn("_n", F.monotonically_increasing_id()))  # kept, so the numbers stay what they are
+    nodes = kept(edges.withColumn("_n", F.monotonically_increasing_id()))  # kept, so the numbers stay what they are
     known = nodes.groupBy(F.col("id").alias("_i")).agg(F.min("_n").alias("_p"))
     given = nodes.where("parent_id IS NOT NULL AND parent_id <> id").select("_n", "parent_id")
-    state = cut(given.join(known, F.col("parent_id") == F.col("_i")).select(F.col("_n").alias("n"), F.col("_p").alias("up"), F.lit(1).cast("long").alias("far"), *[F.col("_p").alias(c) for c in own]))
+    state = climbed(given.join(known, F.col("parent_id") == F.col("_i")).select(F.col("_n").alias("n"), F.col("_p").alias("up")))
+    named = nodes.select(F.col("_n").alias("top"), F.col("id").alias("tree_id"))
+    below = state.join(named, "top")
+    told = ["n", "up", "top"] if numbers else []
+    return nodes.join(below.withColumnRenamed("n", "_m"), F.col("_n") == F.col("_m"), "left").select(
+        *edges.columns, F.coalesce("tree_id", "id").alias("tree_id"), F.coalesce("far", F.lit(0)).cast("long").alias("depth"),
+        F.col("_n").alias("n"), "up", F.coalesce("top", "_n").alias("top"),
+    ).select(*edges.columns, "tree_id", "depth", *told)
+
+
+def climbed(links: DataFrame) -> DataFrame:
+    """(n, up, top, far) of numbered nodes with a parent (n, up): the root of each, and how far it is. A cycle raises ValueError."""
+    state = kept(links.select("n", "up", F.col("up").alias("top"), F.lit(1).cast("long").alias("far")))
     active, done = state, None
     # the longest path has fewer steps than nodes, so what still moves after this runs in a cycle
     for _ in range(state.count().bit_length() + 1):
         if active.isEmpty():
             break
         rows = active if done is None else active.unionByName(done)
-        jump = rows.select(F.col("n").alias("up"), F.col("up").alias("up2"), F.col("far").alias("far2"))
-        new = cut(active.join(jump, "up", "left").select("n", F.coalesce("up2", "up").alias("up"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("up2").isNotNull().alias("moved"), *own))
-        if new.where("moved and n = up").head(1):
+        jump = rows.select(F.col("n").alias("top"), F.col("top").alias("top2"), F.col("far").alias("far2"))
+        new = kept(active.join(jump, "top", "left").select("n", "up", F.coalesce("top2", "top").alias("top"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("top2").isNotNull().alias("moved")))
+        if new.where("moved and n = top").head(1):
             raise ValueError("the parent edges contain a cycle")
         # a node whose ancestor has none itself is there
         still = new.where("NOT moved").drop("moved")
@@ -48,13 +59,7 @@ def rooted(edges: DataFrame, numbers: bool = False) -> DataFrame:
     else:
         if not active.isEmpty():
             raise ValueError("the parent edges contain a cycle")
-    state = state if done is None else done
-    named = nodes.select(F.col("_n").alias("up"), F.col("id").alias("tree_id"))
-    below = state.join(named, "up").select("n", "tree_id", "far", F.col("up").alias("_top"), *own)
-    told = [F.col("_n").alias("n"), F.col("first").alias("up"), F.coalesce("_top", "_n").alias("top")] if numbers else []
-    return nodes.join(below, F.col("_n") == F.col("n"), "left").select(
-        *edges.columns, F.coalesce("tree_id", "id").alias("tree_id"), F.coalesce("far", F.lit(0)).cast("long").alias("depth"), *told
-    )
+    return state if done is None else done
 
 
 def tree_times(members: DataFrame) -> DataFrame:
@@ -111,16 +116,30 @@ def built(members: DataFrame) -> DataFrame:
     the others is left out. `nth` numbers a parent's children in time order, a day at a time, so a parent may have any number. A
     tree without a root is a cycle and raises ValueError.
     """
-    m = cut(members.select("tree_id", "id", "parent_id", "page_loaded_at"))
-    inside = m.select(F.col("tree_id").alias("_t"), F.col("id").alias("_p"))
-    hung = m.join(inside, (F.col("tree_id") == F.col("_t")) & (F.col("parent_id") == F.col("_p")), "left").select("tree_id", "id", "page_loaded_at", F.col("_p").alias("parent_id"))
-    hung = cut(hung)
-    key = lambda c: F.when(F.col(c).isNotNull(), F.struct("tree_id", F.col(c).alias("id")))  # noqa: E731  a visit may be in several trees
-    tops = roots(hung.select(key("id").alias("id"), key("parent_id").alias("parent_id"))).select("id.tree_id", "id.id", F.col("tree_id.id").alias("root_id"))
-    first = hung.where("parent_id IS NULL").groupBy("tree_id").agg(F.min_by("id", F.struct("page_loaded_at", "id")).alias("root_id"))
-    kept = hung.join(tops.join(first, ["tree_id", "root_id"]), ["tree_id", "id"])
-    out = numbered(kept, ["tree_id", "parent_id"], F.substring("page_loaded_at", 1, 10), [F.asc("page_loaded_at"), F.asc("id")], "nth")
-    return out.select("tree_id", "root_id", "parent_id", "id", F.col("nth").cast("int").alias("nth"))
+    m = kept(members.select("tree_id", "id", "parent_id", "page_loaded_at").withColumn("n", F.monotonically_increasing_id()))
+    inside = m.select(F.col("tree_id").alias("_t"), F.col("id").alias("_p"), F.col("n").alias("up"))
+    links = m.join(inside, (F.col("tree_id") == F.col("_t")) & (F.col("parent_id") == F.col("_p"))).select("n", "up")
+    placed = hung(m, links, F.substring("page_loaded_at", 1, 10), ["page_loaded_at", "id"])
+    ids = m.select("n", "id")
+    return (
+        placed.select("tree_id", "n", "up", "root", "id", "nth").join(ids.select(F.col("n").alias("root"), F.col("id").alias("root_id")), "root")
+        .join(ids.select(F.col("n").alias("up"), F.col("id").alias("parent_id")), "up", "left").select("tree_id", "root_id", "parent_id", "id", "nth")
+    )
+
+
+def hung(members: DataFrame, links: DataFrame, bucket: Column, order: list[str | Column]) -> DataFrame:
+    """Numbered members (n, tree_id, ...) that hang from their tree's first root in `order`, with up, root and nth; see `built`.
+
+    `links` are (n, up) inside of trees, and `bucket` must not run against the order. Only numbers climb.
+    """
+    state = climbed(links)
+    tops = members.join(state, "n", "left_anti")
+    first = kept(tops.groupBy("tree_id").agg(F.min(F.struct(*order, F.col("n").alias("_n")))["_n"].alias("root")).select("root"))
+    rows = first.select(F.col("root").alias("n"), F.lit(None).cast("long").alias("up"), "root").unionByName(
+        state.withColumnRenamed("top", "root").join(first, "root").select("n", "up", "root")
+    )
+    out = members.join(rows, "n")
+    return numbered(out, ["tree_id", "up"], bucket, [F.asc(c) if isinstance(c, str) else c.asc() for c in order], "nth").withColumn("nth", F.col("nth").cast("int"))
 
 
 def preorder(members: DataFrame, steps: int = 40) -> DataFrame:

@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -76,6 +77,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Cut lineage with Parquet files in the shared folder: fewer bytes than a checkpoint's, and only wanted columns are read again."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path in whatever store holds it."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
