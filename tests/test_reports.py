@@ -70,3 +70,10 @@ def test_preceding_rows(spark):
         if before:
             want[i] = [b[2] for b in before]
     assert got == want
+
+
+def test_only_numbers_climb_in_trees_from_their_first_root(spark):
+    """Roots of one moment are told apart by the tie, and only (n, up) of visits of one tree are taken."""
+    m = spark.createDataFrame([(1, "t", 5, "b"), (2, "t", 5, "a"), (3, "t", 6, "c"), (4, "t", 7, "d"), (5, "s", 1, "e")], "n long, tree_id string, at long, id string")
+    got = trees.hung(m, spark.createDataFrame([(3, 2), (4, 1)], "n long, up long"), F.col("at"), ["at", "id"]).collect()
+    assert sorted((r.n, r.up, r.root, r.nth) for r in got) == [(2, None, 2, 0), (3, 2, 2, 0), (5, None, 5, 0)]

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import asof, episodes, order, trees, upserts, vectors
-from ..session import cut
+from ..operators import episodes, order, trees, upserts, vectors
 from ..sources import tables
-from .browsing import EDGES
+from .browsing import EDGES, edges, links, named, numbered_visits, visit_id
 from .memory import EPISODES, NOW, REASON
 from .registry import query
 from .search import DISTANCE, _query
@@ -28,8 +27,13 @@ from .search import DISTANCE, _query
 """)
 def tree_built(spark, sf_dir):
     """A tab's visits as one tree: parents in other tabs do not count, and what hangs from later roots is left out."""
-    v = cut(tables.visits(spark, sf_dir).select("id", "ts", "page_loaded_at", "url", "tab_id", "referrer"))
-    return trees.built(v.join(asof.prefix_asof(v), "id", "left").select(F.col("tab_id").alias("tree_id"), "id", "parent_id", "page_loaded_at"))
+    v = numbered_visits(spark, sf_dir, ["tab_id"])
+    if "twice" in v.columns:  # a visit in several tabs has several places
+        return trees.built(edges(spark, sf_dir, ["tab_id", "page_loaded_at"]).withColumnRenamed("tab_id", "tree_id"))
+    up = v.select(F.col("n").alias("up"), F.col("tab_id").alias("_t"))
+    inside = links(v).join(v.select("n", "tab_id"), "n").join(up, "up").where("tab_id = _t").select("n", "up")
+    placed = trees.hung(v.withColumnRenamed("tab_id", "tree_id").drop("referrer"), inside, F.floor(F.col("at") / 86_400_000_000), ["at", visit_id()])
+    return named(placed, v, root="root_id", up="parent_id").select("tree_id", "root_id", "parent_id", visit_id().alias("id"), "nth")
 
 
 REVIEW = f"""
