@@ -221,3 +221,15 @@ def test_late_rows_are_counted_and_the_queue_is_told(spark, tmp_path):
     assert stats.rows == 6 and stats.late > 0 and stats.held >= 2
     # what is late for a batch was passed by the watermark before the last one: 1 and 3 count in two windows each, 5 and 6 do not
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0] == 4
+
+
+def test_held_rows_come_back_as_they_were():
+    """Missing parents and URLs stay None, and moments whole numbers, as columns are made Python's at once."""
+    import pyarrow as pa
+
+    from wayfold.streaming import trees
+
+    held = [("1", "a", None, "a", 1_704_067_211_172_425, "https://a/"), ("1", "b", "a", "a", -1, None), ("2", "é", None, "é", 0, None)]
+    got = list(trees.rows_of(pa.table([pa.array(c, f.type) for c, f in zip(zip(*held), trees._HELD)], schema=trees._HELD)))
+    assert got == held and {type(r[4]) for r in got} == {int}
+    assert list(trees.rows_of(trees._HELD.empty_table())) == []

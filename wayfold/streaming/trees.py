@@ -59,6 +59,11 @@ class PrefixIndex:
         return None if best is None else best[2:]
 
 
+def rows_of(piece: pa.Table) -> Iterator[tuple]:
+    """A table's rows as Python values, made a column at a time by NumPy: `to_pylist` makes a scalar of each value first and is slow."""
+    return zip(*(c.to_numpy().tolist() for c in piece.columns), strict=True)
+
+
 class TreeInsert(StatefulProcessor):
     """Keyed by a group of owners: gives each arriving visit its parent and its tree.
 
@@ -76,7 +81,7 @@ class TreeInsert(StatefulProcessor):
         pieces = [pa.ipc.open_stream(bytes(p[0])).read_all() for p in self.held.get()] if self.held.exists() else []
         past: dict[str, list] = {owner: [] for owner in got["owner"]}
         for piece in pieces:
-            for owner, *visit in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+            for owner, *visit in rows_of(piece):
                 if owner in past:
                     past[owner].append(visit)
         arriving = zip(got["owner"], got["at"].tolist(), got["id"], got["url"], got["referrer"], strict=True)
