@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -266,3 +267,38 @@ def test_visits_of_one_id_have_one_parent(spark, tmp_path):
     want = sorted(map(repr, c.sql(f"WITH {browsing.EDGES} SELECT id, parent_id, tab_id FROM edges").fetchall()))
     assert sorted(repr(tuple(r)) for r in browsing.edges(spark, str(tmp_path), ["tab_id"]).select("id", "parent_id", "tab_id").collect()) == want
     assert browsing.members(spark, str(tmp_path), ["tab_id"]).count() == 5
+
+
+def test_pages_are_joined_before_ids_are_made(spark):
+    """By tab, visits move what their ids are made of; the ids, which no codec shortens, are made above the join with the pages."""
+    from wayfold.plans import browsing
+
+    above, below = browsing.tree_members_meta(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)
+    assert "md5(" in above and "md5(" not in below
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_texts_by_number_or_as_they_are_give_the_same_parents(spark, monkeypatch, few):
+    """Numbers stand for texts where those are few; visits without a URL and referrers that no URL begins with keep their rows."""
+    moved = []
+    monkeypatch.setattr(asof, "FEW", few)
+    monkeypatch.setattr(asof, "kept", lambda df: moved.append(dict(df.dtypes)) or df.localCheckpoint())
+    rows = [(1, 5, "a/b", None), (2, 6, "a/c", "a/"), (3, 7, None, "a/c"), (4, 7, "b", "none"), (5, 8, "a/c", ""), (6, 8, "a/d", "a/"), (7, 8, "a/e", "a/")]
+    v = spark.createDataFrame(rows, "n long, at long, url string, referrer string")
+    got = asof.last_earlier(v, "n", F.md5("url")).collect()
+    # at moment 8 a/e, a/c and a/d are in the order of their hashes
+    order = sorted(("a/c", "a/d", "a/e"), key=lambda u: hashlib.md5(u.encode()).hexdigest())
+    number = {"a/c": 5, "a/d": 6, "a/e": 7}
+    before = {number[u]: number[order[i - 1]] if i else 2 for i, u in enumerate(order)}
+    assert {r.n: r.parent for r in got} == {2: 1, 3: 2, 4: None, 6: before[6], 7: before[7]} and len(got) == 5
+    assert [m["k"] for m in moved if "k" in m] == ["bigint" if few else "string"]
+
+
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_the_last_rounds_ask_for_few_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(trees, "FEW", few)
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(100, 7), (101, 100), (201, 200)], "n long, up long")
+    got = {r.n: (r.up, r.top, r.far) for r in trees.climbed(links).collect()}
+    assert got == {i: (i - 1, 0, i) for i in range(1, 40)} | {100: (7, 0, 8), 101: (100, 0, 9), 201: (200, 200, 1)}
+    with pytest.raises(ValueError):
+        trees.climbed(links.union(spark.createDataFrame([(200, 201)], "n long, up long")))

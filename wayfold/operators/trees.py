@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..session import cut, kept
 from .order import numbered
 
+#: Numbers that are sent to all tasks.
+FEW = 1_000_000
+
 
 def roots(edges: DataFrame) -> DataFrame:
     """(id, parent_id, tree_id, depth) from (id, parent_id).
@@ -44,11 +47,14 @@ def climbed(links: DataFrame) -> DataFrame:
     state = kept(links.select("n", "up", F.col("up").alias("top"), F.lit(1).cast("long").alias("far")))
     active, done = state, None
     # the longest path has fewer steps than nodes, so what still moves after this runs in a cycle
-    for _ in range(state.count().bit_length() + 1):
-        if active.isEmpty():
+    moving = state.count()
+    for _ in range(moving.bit_length() + 1):
+        if not moving:
             break
         rows = active if done is None else active.unionByName(done)
         jump = rows.select(F.col("n").alias("top"), F.col("top").alias("top2"), F.col("far").alias("far2"))
+        if moving <= FEW:  # the last rounds ask for few rows, and no others are moved
+            jump = jump.join(F.broadcast(active.select("top")), "top", "left_semi")
         new = kept(active.join(jump, "top", "left").select("n", "up", F.coalesce("top2", "top").alias("top"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("top2").isNotNull().alias("moved")))
         if new.where("moved and n = top").head(1):
             raise ValueError("the parent edges contain a cycle")
@@ -56,8 +62,9 @@ def climbed(links: DataFrame) -> DataFrame:
         still = new.where("NOT moved").drop("moved")
         done = still if done is None else done.unionByName(still)
         active = new.where("moved").drop("moved")
+        moving = active.count()
     else:
-        if not active.isEmpty():
+        if moving:
             raise ValueError("the parent edges contain a cycle")
     return state if done is None else done
 
