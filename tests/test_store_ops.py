@@ -153,3 +153,45 @@ def test_parts_of_asks_and_ties(spark, tmp_path, monkeypatch):
     kept = namespaces.VectorNamespace(spark, str(tmp_path))
     kept.build(df.where("key < 80"), lists=3)
     assert found(kept.search(asked, 6, 3)) == want
+
+
+def test_searches_alike_are_measured_once(spark, monkeypatch):
+    """Searches of few vectors measure a few rows for each vector and not the whole store for each search, and see what one after the other sees."""
+    rng = np.random.default_rng(4)
+    store, width = 3_000, 8
+    m = np.concatenate([rng.normal(size=(store, width)), np.zeros((400, width))])
+    m[store:] = m[rng.integers(0, 40, 400)]  # the same rows put again and again
+    owner = np.concatenate([np.arange(store), rng.integers(0, 40, 400)])
+    since = np.concatenate([np.full(store, -(2**63)), rng.integers(0, 5_000, 400)])
+    until = np.concatenate([np.full(store, 2**63 - 1), since[store:] + rng.integers(1, 300, 400)])
+    until[:40] = 0
+    order = np.argsort(owner, kind="stable")
+    owner, m, since, until = owner[order], m[order], since[order], until[order]
+    seq = rng.permutation(5_000)[:1_000]
+    q = rng.normal(size=(6, width))[rng.integers(0, 6, 1_000)]
+    q[::3] = m[:2][rng.integers(0, 2, len(q[::3]))]  # some stand where rows come and go
+    measured, whole = [], namespaces._measured
+    monkeypatch.setattr(namespaces, "_measured", lambda a, b: measured.append(len(a)) or whole(a, b))
+    for cells in (1 << 22, 50_000):
+        monkeypatch.setattr(namespaces, "CELLS", cells)
+        near = {}
+        for asks, rows, d in namespaces._nearest_live(owner, m, since, until, q, seq, 3):
+            for a, r, x in zip(asks.tolist(), rows.tolist(), d.tolist(), strict=True):
+                near.setdefault(a, []).append((x, int(owner[r])))
+        for i in range(len(q)):
+            live = np.flatnonzero((since < seq[i]) & (seq[i] < until))
+            assert near[i] == sorted(zip(np.square(m[live] - q[i]).sum(axis=1).tolist(), owner[live].tolist(), strict=True))[:3]
+    assert sum(measured) < 2 * store  # 2 * 1,000 * 3,000 if every search measured what is held
+
+
+def test_odd_searches(spark):
+    """A store without rows, one without searches, a key held twice, which is one row, a search at the very number of a put, vectors of several lengths."""
+    held = spark.createDataFrame([(1, "a", [0.0, 0.0]), (1, "b", [0.0, 0.0]), (2, "c", [3.0, 0.0]), (3, "d", [1.0]), (4, "e", None)], "key long, value string, vector array<double>")
+    log = spark.createDataFrame(
+        [(5, "search", 9, None, [1.0, 0.0]), (7, "put", 2, "f", [1.0, 0.0]), (7, "search", 9, None, [1.0, 0.0]), (8, "search", 9, None, [1.0, 0.0]), (9, "search", 9, None, [2.0])],
+        "seq long, kind string, key long, value string, vector array<double>",
+    )
+    near = [(r.seq, r["rank"], r.key, r.distance) for r in batches.searches(held, log, 3).orderBy("seq", "rank").collect()]
+    assert near == [(5, 1, 1, 1.0), (5, 2, 2, 4.0), (7, 1, 1, 1.0), (8, 1, 2, 0.0), (8, 2, 1, 1.0), (9, 1, 3, 1.0)]
+    assert batches.searches(held.limit(0), log.where("kind = 'search'"), 3).count() == 0
+    assert batches.searches(held, log.where("kind = 'put'"), 3).count() == 0

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,13 +32,17 @@ def _matrix(column, width: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, width)
 
 
+def _measured(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of the rows of `m` from `q`."""
+    return np.square(m - q).sum(axis=1)
+
+
 def _nearest(m: np.ndarray, q: np.ndarray, k: int):
     """Yield (ask, rows, distances): the k rows of `m` nearest to each row of `q`, ties to smaller rows.
 
     A product of matrices tells which rows may be among them, its error allowed for; those are measured exactly. Nothing larger than
     `CELLS` numbers is held.
     """
-    exactly = lambda i, at: np.square(m[at] - q[i]).sum(axis=1)
     own, length = np.square(q).sum(axis=1), np.square(m).sum(axis=1)
     safe = np.isfinite(own).all() and np.isfinite(length).all() and len(m) > k
     step = max(1, CELLS // max(1, len(m)))
@@ -48,11 +53,67 @@ def _nearest(m: np.ndarray, q: np.ndarray, k: int):
             near = rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error)[:, None]
         for i in range(a, min(a + step, len(q))):
             at = np.flatnonzero(near[i - a]) if safe else np.arange(len(m))
-            d = exactly(i, at)
+            d = _measured(m[at], q[i])
             best = np.argsort(d, kind="stable")[:k]
             yield i, at[best], d[best]
 
 
+def _alike(m: np.ndarray):
+    """(first, number): where each different row of `m` stands first, and which of those each row is."""
+    whole = np.ascontiguousarray(m).view(np.dtype((np.void, m.shape[1] * m.itemsize))).ravel()
+    _, first, number = np.unique(whole, return_index=True, return_inverse=True)
+    return first, number.ravel()
+
+
+def _nearest_live(owner: np.ndarray, m: np.ndarray, since: np.ndarray, until: np.ndarray, q: np.ndarray, seq: np.ndarray, k: int):
+    """Yield (asks, rows, distances): the k rows of `m` nearest to each row of `q` among those with since < seq < until, ties to smaller rows.
+
+    Rows must stand in the order of their keys, whose numbers are `owner`. Asks alike are measured once, and so are rows that hold one vector
+    under one key at several times. The nearest of the rows that all asks see bound how far a row of some may be; which asks
+    see a row is counted for `CELLS` pairs of row and ask at once.
+    """
+    turn = np.argsort(seq, kind="stable")
+    begin, end = np.searchsorted(seq[turn], since, "right"), np.searchsorted(seq[turn], until, "left")  # the asks in order that see a row
+    whole = (begin == 0) & (end == len(q))
+    always, some = np.flatnonzero(whole), np.flatnonzero(~whole & (begin < end))
+    begin, end = begin[some], end[some]
+    first, kind = _alike(q[turn])
+    asked = q[turn[first]]
+    steady = [(always[at], d) for _, at, d in _nearest(m[always], asked, k)]
+    last = np.array([d[k - 1] if len(d) == k and d[k - 1] == d[k - 1] else np.inf for _, d in steady])
+    alike = _alike(m[some])[1]
+    _, first, row = np.unique(owner[some] * (len(some) + 1) + alike, return_index=True, return_inverse=True)
+    place, row = some[first], row.ravel()
+    rows = m[place]
+    own, length = np.square(asked).sum(axis=1), np.square(rows).sum(axis=1)
+    safe = np.isfinite(own).all() and np.isfinite(length).all()
+    step = max(1, CELLS // max(1, len(place)))
+    for a in range(0, len(q), step):
+        width = min(step, len(q) - a)
+        live = np.zeros((len(place), width + 1), np.int32)
+        np.add.at(live, (row, np.clip(begin - a, 0, width)), 1)
+        np.subtract.at(live, (row, np.clip(end - a, 0, width)), 1)
+        live = np.cumsum(live, axis=1, out=live)[:, :-1]
+        kinds, of = np.unique(kind[a : a + width], return_inverse=True)
+        near = np.broadcast_to(live.any(axis=1), (len(kinds), len(place)))
+        if safe and len(place):
+            rough = length[None, :] - 2 * (asked[kinds] @ rows.T)
+            bound, all_see = last[kinds] - own[kinds], live.min(axis=1) > 0
+            if all_see.sum() >= k:
+                bound = np.minimum(bound, np.partition(rough[:, all_see], k - 1, axis=1)[:, k - 1])
+            near = near & (rough <= (bound + 2e-9 * (own[kinds] + length.max()) + np.finfo(float).tiny)[:, None])
+        for j, mine in enumerate(np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(np.bincount(of.ravel()))[:-1])):
+            at = np.flatnonzero(near[j])
+            held, d = steady[kinds[j]]
+            where, d = np.concatenate([held, place[at]]), np.concatenate([d, _measured(rows[at], asked[kinds[j]])])
+            best = np.lexsort((where, d))
+            seen = np.concatenate([np.ones((len(held), len(mine)), np.int32), live[np.ix_(at, mine)]])[best]
+            wanted = np.clip(k - (np.cumsum(seen, axis=0) - seen), 0, seen)
+            r, i = np.nonzero(wanted)
+            r, i = np.repeat(r, wanted[r, i]), np.repeat(i, wanted[r, i])
+            yield turn[a + mine[i]], where[best[r]], d[best[r]]
+
+
 def nearest_in_blocks(rows: DataFrame, asks: DataFrame, on: list[str], k: int, spans: bool = False) -> DataFrame:
     """(ask, key, _distance, rank): the k rows nearest to each ask among those that share its block.
 
@@ -74,14 +135,11 @@ def nearest_in_blocks(rows: DataFrame, asks: DataFrame, on: list[str], k: int, s
         if spans:
             since, until = (left.column(c).to_numpy() for c in ("since", "until"))
             seq = right.column("seq").to_numpy()
-        for i in range(len(q)) if spans else ():
-            live = np.flatnonzero((since < seq[i]) & (seq[i] < until))
-            d = np.square(m[live] - q[i]).sum(axis=1)
-            best = np.argsort(d, kind="stable")[:k]  # rows are in key order, so ties go to smaller keys
-            out.append((i, live[best], d[best]))
-        if not spans:
-            out.extend(_nearest(m, q, k))
-        at = np.concatenate([np.full(len(b), i) for i, b, _ in out]) if out else np.zeros(0, np.int64)
+            owner = pc.fill_null(left.column("key").combine_chunks().dictionary_encode().indices, -1).to_numpy().astype(np.int64)
+            out.extend(_nearest_live(owner, m, since, until, q, seq, k))
+        else:
+            out.extend((np.full(len(at), i), at, d) for i, at, d in _nearest(m, q, k))
+        at = np.concatenate([a for a, *_ in out]) if out else np.zeros(0, np.int64)
         near = np.concatenate([b for _, b, _ in out]) if out else np.zeros(0, np.int64)
         return pa.table({
             "ask": right.column("ask").take(pa.array(at)), "key": left.column("key").take(pa.array(near)),
