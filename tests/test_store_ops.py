@@ -195,3 +195,20 @@ def test_odd_searches(spark):
     assert near == [(5, 1, 1, 1.0), (5, 2, 2, 4.0), (7, 1, 1, 1.0), (8, 1, 2, 0.0), (8, 2, 1, 1.0), (9, 1, 3, 1.0)]
     assert batches.searches(held.limit(0), log.where("kind = 'search'"), 3).count() == 0
     assert batches.searches(held, log.where("kind = 'put'"), 3).count() == 0
+
+
+def test_many_searches_make_more_runs(spark, monkeypatch):
+    """Many searches shorten the runs, and rows are not sent once more for each part of a run's searches."""
+    _, _, table, log = log_of(spark, 300, 5)
+    whole, blocks, near = batches.nearest_in_blocks, [], []
+
+    def counted(dealt, asks, *args, **kwargs):
+        blocks.append(asks.agg(F.countDistinct("run"), F.countDistinct("part")).first())
+        return whole(dealt, asks, *args, **kwargs)
+
+    monkeypatch.setattr(batches, "nearest_in_blocks", counted)
+    for most in (batches.ASKS, 10):
+        monkeypatch.setattr(batches, "ASKS", most)
+        near.append(sorted((r.seq, r["rank"], -1 if r.key is None else r.key, round(r.distance, 9)) for r in batches.searches(table, log, 2).collect()))
+    assert near[0] == near[1] and tuple(blocks[0]) == (1, 1)
+    assert blocks[1][0] >= 4 and blocks[1][1] == 1

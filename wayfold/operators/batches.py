@@ -68,14 +68,15 @@ def spans(table: DataFrame, log: DataFrame) -> DataFrame:
 def searches(table: DataFrame, log: DataFrame, k: int = 10) -> DataFrame:
     """(seq, rank, key, distance) of each search: the k nearest of the rows that the store held at that moment.
 
-    The log is dealt into runs of about as many spans as the store has keys, `LEAST` at least. A span goes to every run that it reaches
-    into, so there are about two copies of each, and a search is compared with what its own run held and not with the whole history.
+    The log is dealt into runs of about as many spans as the store has keys, `LEAST` at least, and of `ASKS` searches on the mean at most. A span
+    goes to every run that it reaches into, so there are about two copies of each, or one a run of `ASKS` searches if that is more, and a search
+    is compared with what its own run held and not with the whole history.
     """
-    held = cut(spans(table, log).where("vector IS NOT NULL"))
+    held = cut(spans(table, log).where("vector IS NOT NULL").drop("value"))
     asks = log.where("kind = 'search'").select(F.col("seq").alias("ask"), "seq", "vector")
     n, keys = held.agg(F.count("*"), F.approx_count_distinct("key")).first()
     asked, low, high = asks.agg(F.count("*"), F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
-    width = -(-(high - low + 1) // max(1, n // max(keys, LEAST)))
+    width = -(-(high - low + 1) // max(1, n // max(keys, LEAST), -(-asked // ASKS)))
     run = lambda seq: F.expr(f"({seq} - {low}L) div {width}L")
     dealt = held.where((F.col("since") < high) & (F.col("until") > low)).select(
         "key", "vector", "since", "until", F.explode(F.sequence(run(f"greatest(since, {low}L)"), run(f"least(until, {high}L)"))).alias("run")

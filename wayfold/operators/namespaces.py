@@ -8,8 +8,6 @@ from collections.abc import Mapping
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -199,6 +197,9 @@ class VectorNamespace:
         Without `lists` there are about as many as the root of the rows, `MOST_LISTS` at most. Rows whose vector is null or of another length
         than most lie in a list of their own, which searches do not probe.
         """
+        from pyspark.ml.clustering import KMeans  # here, as the workers that compare blocks import this module and do without
+        from pyspark.ml.functions import array_to_vector
+
         ship(self.spark)
         rows = cut(rows)
         widths = rows.where("vector IS NOT NULL").groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
